@@ -23,5 +23,14 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(table(spark, sf_dir, "documents"), word_tokenizer(), END_ID)
 
 
-QUERIES = {"op1_token_codes": op1_token_codes}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents, packing_digest
+
+    return packing_digest(*pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), END_ID, CAPACITY))
+
+
+QUERIES = {
+    "op1_token_codes": op1_token_codes,
+    "op5_best_fit_packing": op5_best_fit_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
