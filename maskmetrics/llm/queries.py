@@ -23,6 +23,12 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(table(spark, sf_dir, "documents"), word_tokenizer(), END_ID)
 
 
+def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents, packing_digest
 
@@ -31,6 +37,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_codes": op1_token_codes,
+    "op4_byte_shards": op4_byte_shards,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
