@@ -24,6 +24,15 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(table(spark, sf_dir, "documents"), word_tokenizer(), END_ID)
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    found = predict(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import chat_digest, format_conversations
 
@@ -51,6 +60,12 @@ def op6_vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_classes(table(spark, sf_dir, "embeddings"))
 
 
+def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_classes
 
@@ -60,10 +75,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_codes": op1_token_codes,
+    "op2_language_mixture": op2_language_mixture,
     "op3_reply_trees": op3_reply_trees,
     "op4_byte_shards": op4_byte_shards,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_vector_classes": op6_vector_classes,
+    "op8_benchmark_passages": op8_benchmark_passages,
     "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
