@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from array import array
 from functools import lru_cache
@@ -11,17 +10,54 @@ from unicodedata import normalize
 import numpy as np
 
 #: Words remembered by one Python worker; the memo is emptied when it is full.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 #: Characters at which str.split() cuts although the tokenizer sees no white space,
-#: and the start of a control string: such texts go to the tokenizer as they are.
-_PLAIN = re.compile("[\x1c-\x1f]|<\\|")
-
+#: and the start of a control string: texts with one go to the tokenizer as they are.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: The byte-level alphabet: visible Latin-1 characters stand for themselves, the other
 #: bytes, in order, for the characters from U+0100 on.
 _VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
+class _Memo(dict):
+    """Word to ids; a word asked for the first time is encoded.
+
+    A run of letters followed by a run of punctuation is cut between them by the
+    pre-tokenizer, and case is dropped, so such words share the ids of their
+    lower-case letters, which the tokenizer's model merges without the steps that
+    only other words need.
+    """
+
+    def __init__(self, whole, merge, code: str):
+        self.whole, self.merge, self.code = whole, merge, code
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(".,;:!?#$%&*)")
+        if not stem.isalpha() or max(stem) >= "\u0250":
+            ids = self[word] = self.whole(word)
+            return ids
+        tail = word[len(stem) :]
+        if stem.isascii():
+            stem = key = stem.lower()
+        else:
+            stem = "".join([c.lower() for c in normalize("NFC", stem)])
+            if not stem.isalpha():  # a letter whose lower case carries a mark
+                ids = self[word] = self.whole(word)
+                return ids
+            key = stem.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        ids = self.get(stem)
+        if ids is None:
+            ids = self[stem] = array(self.code, [t.id for t in self.merge(key)]).tobytes()
+        if tail:
+            end = self.get(tail)
+            if end is None:
+                end = self[tail] = self.whole(tail)
+            ids += end
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encode texts to ids exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
@@ -34,49 +70,13 @@ class WordEncoder:
     def __init__(self, path: str, by_word: bool = True):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"  # arrays of the machine's byte order
         if sys.byteorder != "little":
             raise NotImplementedError("ids are kept as little-endian bytes")
+        self.tok = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.by_word = by_word
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Add words to the memo.
-
-        A run of letters followed by a run of punctuation is cut between them by the
-        pre-tokenizer, and case is dropped, so such words share the ids of their
-        lower-case letters, which the tokenizer's model merges without the steps
-        that only other words need.
-        """
-        memo, merge, code = self.memo, self.tok.model.tokenize, self.code
-        if len(memo) + 2 * len(words) > MEMO_WORDS:
-            memo.clear()
-        for w in words:
-            stem = w.rstrip(".,;:!?#$%&*)")
-            tail = w[len(stem) :]
-            if stem.isalpha() and max(stem) < "\u0250":
-                if stem.isascii():
-                    stem = key = stem.lower()
-                else:
-                    stem = "".join([c.lower() for c in normalize("NFC", stem)])
-                    if not stem.isalpha():  # a letter whose lower case carries a mark
-                        memo[w] = self._whole(w)
-                        continue
-                    key = stem.encode().decode("latin-1").translate(_BYTE_LEVEL)
-                ids = memo.get(stem)
-                if ids is None:
-                    ids = memo[stem] = array(code, [t.id for t in merge(key)]).tobytes()
-                if tail:
-                    end = memo.get(tail)
-                    if end is None:
-                        end = memo[tail] = self._whole(tail)
-                    ids += end
-                memo[w] = ids
-            else:
-                memo[w] = self._whole(w)
+        self.memo = _Memo(self._whole, self.tok.model.tokenize, self.code)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -84,19 +84,14 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``self.dtype``."""
         out: list[bytes] = []
+        known = self.memo.__getitem__
         for text in texts:
-            if not text:
-                out.append(b"")
-            elif not self.by_word or _PLAIN.search(text):
+            if not self.by_word or any(c in text for c in _ODD):
                 out.append(self._whole(text))
             else:
-                words = text.split()
-                new = set(words).difference(self.memo)
-                if new:
-                    self._learn(list(new))
-                    if not set(words) <= self.memo.keys():  # the memo was emptied for the new words
-                        self._learn(list(set(words).difference(self.memo)))
-                out.append(b"".join(map(self.memo.__getitem__, words)))
+                out.append(b"".join(map(known, text.split())))
+            if len(self.memo) > MEMO_WORDS:
+                self.memo.clear()
         return out
 
 
