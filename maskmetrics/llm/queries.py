@@ -73,6 +73,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_token_codes": op1_token_codes,
     "op2_language_mixture": op2_language_mixture,
@@ -82,6 +88,7 @@ QUERIES = {
     "op6_vector_classes": op6_vector_classes,
     "op8_benchmark_passages": op8_benchmark_passages,
     "op9_simhash": op9_simhash,
+    "op10_main_text": op10_main_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_reply_trees": r"""
