@@ -141,23 +141,41 @@ def blocks_of(page: str) -> list[tuple[Path, str, int]]:
     return out
 
 
+#: Names that layouts give to what is not the article, by kind, and to what is.
+NAMES = {
+    "nav": ["menu", "nav", "navigation", "navbar", "breadcrumb", "topnav", "site-nav", "tabs", "pagination", "toc"],
+    "header": ["header", "masthead", "site-header", "page-header", "top-bar", "branding", "logo"],
+    "footer": ["footer", "site-footer", "page-footer", "copyright", "legal", "bottom", "colophon"],
+    "aside": ["sidebar", "side", "widget", "related", "recommended", "popular", "trending", "more-stories", "author-box", "tags", "share", "social"],
+    "ad": ["ad", "ads", "advert", "advertisement", "ad-slot", "banner", "promo", "sponsored", "sponsor", "adsense"],
+    "notice": ["notice", "cookie", "cookies", "cookie-notice", "consent", "gdpr", "alert", "popup", "modal", "overlay", "paywall", "newsletter", "subscribe", "warning"],
+    "form": ["form", "login", "search", "signup", "contact-form", "search-form", "subscribe"],
+    "comments": ["comments", "comment", "comment-list", "responses", "discussion", "replies", "disqus", "reader-comments"],
+    "main": ["content", "article", "post", "entry", "story", "article-body", "post-content", "main", "text", "body", "entry-content", "page"],
+}
+#: Words of such names that do not also name an article.
+NOISE = {w for kind, names in NAMES.items() if kind != "main" for n in names for w in n.split("-")} - {w for n in NAMES["main"] for w in n.split("-")}
+
+
 def path_features(path: Path) -> list[str]:
     """What a block's ancestors say of it."""
     found = {"any"}
     inside: set[str] = set()
-    section = "none"
+    section, noisy = "none", False
     for tag, names in path:
         found.add(f"tag {tag}")
         for outer in inside:
             found.add(f"{tag} in {outer}")
         for word in _WORD.findall(names):
             found.add(f"name {word}")
+            noisy |= word in NOISE
         if tag in SECTIONS:
             section = tag
             inside.add(tag)
+    found.add(f"section {section}, {'noisy' if noisy else 'clean'}")
     if path:
-        found.add(f"own {path[-1][0]}")
-    found.add(f"section {section}")
+        found.add(f"own {path[-1][0]}, {'noisy' if noisy else 'clean'}")
+        found.add(f"own {path[-1][0]} in {section}")
     return sorted(found)
 
 
@@ -258,20 +276,6 @@ def train(pages: list[tuple[list[tuple[Path, str, int]], list[bool]]], rounds: i
     return Field({f: float(w[k]) for f, k in index.items()}, first, change)
 
 
-#: Names that layouts give to what is not the article, by kind, and to what is.
-NAMES = {
-    "nav": ["menu", "nav", "navigation", "navbar", "breadcrumb", "topnav", "site-nav", "tabs", "pagination", "toc"],
-    "header": ["header", "masthead", "site-header", "page-header", "top-bar", "branding", "logo"],
-    "footer": ["footer", "site-footer", "page-footer", "copyright", "legal", "bottom", "colophon"],
-    "aside": ["sidebar", "side", "widget", "related", "recommended", "popular", "trending", "more-stories", "author-box", "tags", "share", "social"],
-    "ad": ["ad", "ads", "advert", "advertisement", "ad-slot", "banner", "promo", "sponsored", "sponsor", "adsense"],
-    "notice": ["notice", "cookie", "cookies", "cookie-notice", "consent", "gdpr", "alert", "popup", "modal", "overlay", "paywall", "newsletter", "subscribe", "warning"],
-    "form": ["form", "login", "search", "signup", "contact-form", "search-form", "subscribe"],
-    "comments": ["comments", "comment", "comment-list", "responses", "discussion", "replies", "disqus", "reader-comments"],
-    "main": ["content", "article", "post", "entry", "story", "article-body", "post-content", "main", "text", "body", "entry-content", "page"],
-}
-
-
 def labelled_page(seed: int) -> tuple[str, list[str]]:
     """A made page and the blocks of its main text."""
     r = random.Random(seed)
