@@ -60,6 +60,12 @@ def op6_vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_classes(table(spark, sf_dir, "embeddings"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
@@ -86,6 +92,7 @@ QUERIES = {
     "op4_byte_shards": op4_byte_shards,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_vector_classes": op6_vector_classes,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_benchmark_passages": op8_benchmark_passages,
     "op9_simhash": op9_simhash,
     "op10_main_text": op10_main_text,
