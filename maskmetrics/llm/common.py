@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Rows in one Arrow batch handed to Python.  Texts are whole documents, so a
 #: batch is kept small to bound a worker's memory.
@@ -77,3 +78,19 @@ def drop_files(df: DataFrame) -> None:
         if base.replace("file://", "").rstrip("/") in parent:
             p = jvm.org.apache.hadoop.fs.Path(parent)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Ids that are broadcast to drop rows; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not in the one column of ``ids``; rows with a null id stay.
+
+    The ids are written first; as long as they are few they are broadcast and no text is shuffled.
+    """
+    column = ids.columns[0]
+    ids = materialise(ids.where(ids[column].isNotNull()).select(ids[column].alias("_gone_id")).distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = broadcast(ids)
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["_gone_id"], "left_anti")

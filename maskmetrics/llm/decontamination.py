@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,3 +221,23 @@ def _search(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["doc_id", "item_id", "edits", "start", "end"])
 
     return rows.mapInArrow(search, FOUND)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs(text)`` that hold no item of ``benchmark(item_id, text)``; all columns stay, null texts hold nothing."""
+    bounded_batches(docs.sparkSession)
+    for block in item_blocks(benchmark):
+        docs = docs.where(~_holds(docs, block)("text"))
+    return docs
+
+
+def _holds(docs: DataFrame, block: list[tuple[int, str]]):
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    @F.pandas_udf("boolean")
+    def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items = Items(sent.value)
+        for texts in parts:
+            yield texts.map(lambda t: bool(t) and bool(find_items(plain(t), items)), na_action=None).astype(bool)
+
+    return holds

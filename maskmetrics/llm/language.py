@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,3 +177,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
+
+
+#: A document is kept if one language has at least this share of it.
+MIN_SHARE = 0.35
+
+
+def with_a_language(docs: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of ``docs(text)`` with a predicted language, whose share is at least ``min_share``; all columns stay.
+
+    Null texts and texts without letters go.
+    """
+    bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def accepted(texts: pd.Series) -> pd.Series:
+        own = sent.value
+
+        def one(text: str | None) -> bool:
+            counts = counts_of(text) if text and own.languages else None
+            return counts is not None and float(max(own.mixture(counts)[1])) >= min_share
+
+        return texts.map(one, na_action=None).astype(bool)
+
+    return docs.where(accepted("text"))

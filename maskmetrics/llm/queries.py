@@ -85,6 +85,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_token_codes": op1_token_codes,
     "op2_language_mixture": op2_language_mixture,
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_benchmark_passages": op8_benchmark_passages,
     "op9_simhash": op9_simhash,
     "op10_main_text": op10_main_text,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_reply_trees": r"""

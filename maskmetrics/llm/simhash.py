@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, without_ids
 from .components import components
 
 #: Fingerprints in a tile of a bucket.
@@ -216,3 +216,17 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = joined.select("fp", "component").join(named, "component").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_copies(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one document of each component left, the one with the smallest ``doc_id``; all columns stay.
+
+    Of repeated rows with that id one is left.  Rows with a null ``doc_id`` cannot be named and stay.
+    """
+    found = materialise(simhash_classes(docs, shingle, radius).where("doc_id is not null"), "simhash")
+    kept = without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+    twice = materialise(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice.select(F.col("doc_id").alias("_twice_id")), kept["doc_id"] == F.col("_twice_id"), "left_semi").dropDuplicates(["doc_id"])
+    return without_ids(kept, twice).unionByName(once)
