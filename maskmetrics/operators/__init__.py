@@ -1,0 +1 @@
+"""Relational and array operators over masks, instances and detections."""

@@ -1,0 +1 @@
+"""The image analysis and the registered queries."""

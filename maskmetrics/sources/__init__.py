@@ -1,0 +1 @@
+"""Image files, models and result files."""

@@ -1,0 +1,4 @@
+"""Streams are not part of the analysis: its input is a finished folder of images.
+
+``plans.pipeline.predict`` uses no operator that a stream lacks, so it also runs on ``readStream`` of the image source.
+"""
