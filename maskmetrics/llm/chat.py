@@ -63,14 +63,15 @@ def best_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     # sum and length cover the messages from the node up to, not including, up
     jump = materialise(jump.select("tree", "node", F.col("n").alias("up"), "sum", F.lit(1).cast("long").alias("length")), "jump")
     limit = messages.count().bit_length() + 1
-    levels = [jump]
-    while levels[-1].where("up is not null").limit(1).count() and len(levels) <= limit:
-        last = levels[-1]
-        above = last.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("length").alias("length2"))
-        far = last.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        far = far.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"))
-        levels.append(materialise(far, "jump"))
-    done = levels[-1].where("up is null")
+    done, active = jump.where("up is null"), [jump.where("up is not null")]
+    while not active[-1].isEmpty() and len(active) <= limit:
+        # only messages that have not come to their root are joined again
+        last = active[-1]
+        above = done.unionByName(last).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("length").alias("length2"))
+        far = last.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        far = materialise(far.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("length") + F.col("length2")).alias("length")), "jump")
+        done, last = done.unionByName(far.where("up is null")), far.where("up is not null")
+        active.append(last)
     parents = jump.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("length")), "node")) - 1
@@ -78,9 +79,9 @@ def best_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     if branches is not None:
         leaves = leaves.where(F.col("branch") < branches)
     paths = materialise(leaves.select("tree", F.col("node").alias("leaf"), "branch", "node", (F.col("length") - 1).alias("depth")), "paths")
-    for k in reversed(range(len(levels) - 1)):
+    for k in reversed(range(len(active) - 1)):
         # whoever is on a path brings in the message 2 ** k steps above
-        step = levels[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        step = active[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = paths.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
         more = more.select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         old, paths = paths, materialise(paths.unionByName(more), "paths")
