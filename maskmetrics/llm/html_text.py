@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, released
 
 #: Elements whose content is never text of the page.
 RAW = {"script", "style", "template", "noscript", "svg", "iframe", "object", "canvas", "math", "textarea", "select"}
@@ -89,8 +89,6 @@ def blocks_of(page: str) -> list[tuple[Path, str, int]]:
             if not closing:
                 ended = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
                 at = ended.end() if ended else n
-            if tag not in INLINE:
-                flush()
             continue
         inline = tag in INLINE
         if tag == "br" or tag == "img":
@@ -427,4 +425,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(released(run), "page_id long, url string, text string, n_chars long")
