@@ -17,6 +17,9 @@ from maskmetrics.llm.passages import cut_passages, repeated_passages
 from maskmetrics.llm.queries import CAPACITY, END_ID, word_tokenizer
 from maskmetrics.llm.simhash import drop_copies
 
+#: Words that a worker remembers; fewer than by default, as the earlier stages' memory is still with the executors.
+MEMO_WORDS = 200_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which one language prevails; those without letters or without such a language go."""
@@ -40,7 +43,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
-    return packing_digest(*pack_documents(docs, word_tokenizer(), END_ID, CAPACITY))
+    return packing_digest(*pack_documents(docs, word_tokenizer(), END_ID, CAPACITY, memo_words=MEMO_WORDS))
 
 
 STAGES = [

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, released
 
 Q = 10
 #: Edits allowed per character of the item.
@@ -220,7 +220,7 @@ def _search(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-    return rows.mapInArrow(search, FOUND)
+    return rows.mapInArrow(released(search), FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from unicodedata import normalize
 import numpy as np
 
 #: Words remembered by one Python worker; the memo is emptied when it is full.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 500_000
 #: Characters at which str.split() cuts although the tokenizer sees no white space,
 #: and the start of a control string: texts with one go to the tokenizer as they are.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -67,7 +67,7 @@ class WordEncoder:
     Otherwise each text is encoded as one.  An empty text has no ids.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str, by_word: bool = True, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         if sys.byteorder != "little":
@@ -75,7 +75,7 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.by_word = by_word
+        self.by_word, self.memo_words = by_word, memo_words
         self.memo = _Memo(self._whole, self.tok.model.tokenize, self.code)
 
     def _whole(self, text: str) -> bytes:
@@ -90,12 +90,12 @@ class WordEncoder:
                 out.append(self._whole(text))
             else:
                 out.append(b"".join(map(known, text.split())))
-            if len(self.memo) > MEMO_WORDS:
+            if len(self.memo) > self.memo_words:
                 self.memo.clear()
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, by_word: bool = True) -> WordEncoder:
+def encoder(path: str, by_word: bool = True, memo_words: int = MEMO_WORDS) -> WordEncoder:
     """One encoder per Python worker and tokenizer file."""
-    return WordEncoder(path, by_word)
+    return WordEncoder(path, by_word, memo_words)

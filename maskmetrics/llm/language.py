@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, released
 
 #: Hashed n-grams that the model tells apart.
 BUCKETS = 1 << 15
@@ -142,7 +142,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     chosen = rows.where(mark < bound).select("text", "lang").repartition(8)
     table = np.full((BUCKETS, len(languages)), ALPHA)
-    for lang, raw in chosen.mapInArrow(add, "lang string, counts binary").collect():
+    for lang, raw in chosen.mapInArrow(released(add), "lang string, counts binary").collect():
         table[:, languages.index(lang)] += np.frombuffer(raw, "<i8")
     return Model(languages, table / table.sum(axis=0))
 
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
+    return rows.mapInArrow(released(run), "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
 #: A document is kept if one language has at least this share of it.

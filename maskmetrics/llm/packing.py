@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
-from .encoding import encoder
+from .common import bounded_batches, materialise, released
+from .encoding import MEMO_WORDS, encoder
 
 PIECE_SCHEMA = "doc_id long, copy long, piece int, start long, length int, ids binary"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, by_word: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, by_word: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Cut each document's ids (``end_id`` last) into pieces of at most ``capacity``.
 
     ``docs(doc_id, text)``; a null text counts as empty.  ``ids`` holds little-endian unsigned
@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, by
     kind = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = encoder(tokenizer, by_word), TaskContext.get().partitionId() << 40
+        enc, row = encoder(tokenizer, by_word, memo_words), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[list] = [[] for _ in kind]
             for key, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, by
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, kind, strict=True)], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(cut, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(released(cut), PIECE_SCHEMA)
 
 
 def sweep(lengths: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -157,7 +157,7 @@ def rank_pieces(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(np.full(len(n), part, np.int32)), pa.array(own)], schema=kind)
 
     ordered = narrow.repartitionByRange("length", "doc_id", "copy", "piece").sortWithinPartitions("length", "doc_id", "copy", "piece")
-    ranked = materialise(ordered.mapInArrow(number, "doc_id long, copy long, piece int, length int, part int, own_rank long"), "ranked")
+    ranked = materialise(ordered.mapInArrow(released(number), "doc_id long, copy long, piece int, length int, part int, own_rank long"), "ranked")
     counts = sorted(ranked.groupBy("length", "part").count().collect())
     before: dict[int, int] = defaultdict(int)
     offsets = []
@@ -193,17 +193,17 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
                 seq[at], off[at] = sequence[k] + ranks[at] - first[k], offset[k]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(seq), pa.array(off)], names=["doc_id", "copy", "piece", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(put, "doc_id long, copy long, piece int, sequence_id long, offset long")
+    return ranked.mapInArrow(released(put), "doc_id long, copy long, piece int, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, memo_words: int = MEMO_WORDS) -> tuple[DataFrame, DataFrame]:
     """Pack ``docs(doc_id, text)`` into sequences; returns the pieces with their ids, and their places.
 
     A null text is empty (the end id alone), a null ``doc_id`` is kept, repeated rows are packed
     each, other columns are ignored, an empty table gives no rows.  Only documents of more than
-    ``capacity`` ids are cut.  Both tables share the key ``copy, piece``.
+    ``capacity`` ids are cut.  ``memo_words`` bounds what a worker remembers of words.  Both tables share the key ``copy, piece``.
     """
-    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, end_id, capacity, memo_words=memo_words), "pieces")
     return pieces, place(pieces, capacity).drop("doc_id")
 
 

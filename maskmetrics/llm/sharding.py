@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, released
 
 #: A group of at least ``total / (shards * LARGE)`` bytes is placed by itself: at most ``shards * LARGE`` are.
 LARGE = 400
@@ -121,7 +121,7 @@ def bundle_groups(groups: DataFrame, cutoff: int) -> DataFrame:
             if waiting[scale]:
                 yield settle(scale)
 
-    return groups.select("key", "size").mapInArrow(run, "key binary, size long, part int, scale int, slot int")
+    return groups.select("key", "size").mapInArrow(released(run), "key binary, size long, part int, scale int, slot int")
 
 
 def shard_rows(rows: DataFrame, shards: int) -> DataFrame:

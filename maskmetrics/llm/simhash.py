@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, without_ids
+from .common import bounded_batches, materialise, released, without_ids
 from .components import components
 
 #: Fingerprints in a tile of a bucket.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint_of(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, fp long")
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, bands: int = 4) -> DataFr
         if held and len(held[0][0]) + sum(len(h[0]) for h in held[1:]):
             yield link([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long")
+    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(compare), "u long, v long")
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:

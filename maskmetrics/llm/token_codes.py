@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path
+from .common import bounded_batches, new_path, released
 from .encoding import encoder
 
 MAGIC = b"DAC1"
@@ -161,7 +161,7 @@ def write_codes(
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(released(encode), SEGMENT_SCHEMA).write.parquet(path)
 
 
 SEGMENT_ARROW = pa.schema(
@@ -201,7 +201,7 @@ def digests(segments: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.select("base", "doc_ids", "starts", "lengths", "payload").mapInArrow(decode, DIGEST_SCHEMA)
+    return segments.select("base", "doc_ids", "starts", "lengths", "payload").mapInArrow(released(decode), DIGEST_SCHEMA)
 
 
 def token_codes(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

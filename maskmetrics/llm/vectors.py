@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, released
 from .components import components
 
 #: Vectors in a tile.
@@ -147,7 +147,7 @@ def vector_classes(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE
                 at = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(least[at])], names=["node", "links", "least_node"])
 
-    spans = materialise(pairs.mapInArrow(compare, "node long, links long, least_node long"), "vector-links")
+    spans = materialise(pairs.mapInArrow(released(compare), "node long, links long, least_node long"), "vector-links")
     nodes = components(spans.select(F.col("node").alias("u"), F.col("least_node").alias("v")))
     known = classes.select("label", "x", "node", "least", "copies").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = known.join(spans.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
