@@ -12,10 +12,9 @@ Texts are compared as letters and digits: lower case, every other run of charact
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,17 +226,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs(text)`` that hold no item of ``benchmark(item_id, text)``; all columns stay, null texts hold nothing."""
     bounded_batches(docs.sparkSession)
     for block in item_blocks(benchmark):
-        docs = docs.where(~_holds(docs, block)("text"))
+        docs = docs.mapInArrow(released(_clean_of(docs, block)), docs.schema)
     return docs
 
 
-def _holds(docs: DataFrame, block: list[tuple[int, str]]):
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+def _clean_of(docs: DataFrame, block: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    sent, at = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(sent.value)
-        for texts in parts:
-            yield texts.map(lambda t: bool(t) and bool(find_items(plain(t), items)), na_action=None).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array([not (t and find_items(plain(t), items)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return holds
+    return clean

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,15 +189,16 @@ def with_a_language(docs: DataFrame, model: Model, min_share: float = MIN_SHARE)
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
 
         def one(text: str | None) -> bool:
             counts = counts_of(text) if text and own.languages else None
             return counts is not None and float(max(own.mixture(counts)[1])) >= min_share
 
-        return texts.map(one, na_action=None).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(map(one, batch.column(at).to_pylist()), pa.bool_()))
 
-    return docs.where(accepted("text"))
+    return docs.mapInArrow(released(accept), docs.schema)
