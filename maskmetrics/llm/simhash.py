@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, released, without_ids
+from .common import bounded_batches, materialise, released, texts_of, without_ids
 from .components import components
+from .passages import mix, word_hashes
 
 #: Fingerprints in a tile of a bucket.
 TILE = 1024
@@ -124,9 +125,16 @@ def near_links(fps: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray
     room = ends - np.arange(n)  # how far a shift stays in the group
     side = None if side is None else side[perm]
     planes, parent = _planes(fps), np.arange(n)
+    own = np.repeat(np.arange(len(sizes)), sizes[order])
     left, right = [], []
     for d in range(1, int(sizes.max()) if n else 0):
-        reach = int((room > d).nonzero()[0][-1]) + 1
+        if d & (d - 1) == 0 and left:  # now and then, groups that hang together already are done with
+            parts = np.bincount(own[parent == np.arange(n)], minlength=len(sizes))
+            room[parts[own] == 1] = 0
+        open_ = np.flatnonzero(room > d)
+        if not len(open_):
+            break
+        reach = int(open_[-1]) + 1
         want = room[:reach] > d
         if side is not None:
             want &= (side[:reach] == 0) | (side[:reach] != side[d : d + reach])
@@ -165,13 +173,21 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, bands: int = 4) -> DataFr
     masks = [sum(((1 << cuts[b + 1]) - (1 << cuts[b])) for b in pick) for pick in combinations(range(bands), bands - radius)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("pick"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bucket")) for k, m in enumerate(masks)]))
-    filed = fps.select("fp", keyed.alias("at")).select("fp", "at.pick", "at.bucket")
+    filed = fps.select("fp", keyed.alias("at")).select("at.pick", "at.bucket", F.col("fp").alias("node"), "fp")
+    return bucket_links(filed, radius)
+
+
+def bucket_links(filed: DataFrame, radius: int) -> DataFrame:
+    """Links ``u, v`` between nodes of ``filed(pick, bucket, node, fp)`` that share a bucket and whose fingerprints differ in at most ``radius`` bits.
+
+    Within a pair of tiles only links that connect something new are written.
+    """
     full = filed.groupBy("pick", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = filed.join(full, ["pick", "bucket"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    own = filed.join(full, ["pick", "bucket"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = spread.select(
-        "pick", "bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"), "fp"
+        "pick", "bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"), "node", "fp"
     )
     keys = ["pick", "bucket", "a", "b"]
 
@@ -179,12 +195,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, bands: int = 4) -> DataFr
         held: list[tuple[np.ndarray, ...]] = []
 
         def link(columns: list[np.ndarray]) -> pa.RecordBatch:
-            *key, side, fp = columns
+            *key, side, node, fp = columns
             change = np.zeros(len(fp), bool)
             for c in key:
                 change[1:] |= c[1:] != c[:-1]
             u, v = near_links(fp.view(np.uint64), np.cumsum(change), radius, side)
-            return pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
 
         for batch in batches:
             held.append(tuple(c.to_numpy() for c in batch.columns))
@@ -218,12 +234,122 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_copies(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each component left, the one with the smallest ``doc_id``; all columns stay.
+#: Bits of the wide fingerprint that similarity is estimated from, and standard deviations of that estimate within which a link is checked exactly.
+WIDE = 1024
+SLACK = 3.0
+#: Chance that a pair just at the threshold shares no bucket.
+MISS = 0.01
+
+
+def bit_rate(similarity: float) -> float:
+    """The share of bits in which SimHashes of two equally large sets of this Jaccard similarity differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text's lower-case words (of all words as one if they are fewer), sorted."""
+    words = word_hashes(text or "")
+    own = words[: max(1, len(words) - shingle + 1)].copy()
+    for k in range(1, min(shingle, len(words))):
+        own = mix(own * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(own)])
+    return np.unique(own)
+
+
+def wide_bits(text: str | None, shingle: int) -> np.ndarray:
+    """``WIDE`` bits of a text: majorities over the hashes of its distinct shingles; all 0 without words."""
+    own = shingle_set(text, shingle)
+    seeds = mix(np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    ones = np.zeros((8, WIDE // 8), np.int64)
+    for lo in range(0, len(own), 255):  # sums of up to 255 bits fit a byte
+        hashes = mix(own[lo : lo + 255, None] ^ seeds[None, :]).view(np.uint8)
+        for bit in range(8):
+            ones[bit] += ((hashes >> bit) & 1).sum(axis=0, dtype=np.uint8)
+    return (2 * ones.T.ravel() > len(own)).astype(np.uint8)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs(doc_id, text)`` with an id: near copies by their shingles' Jaccard similarity.
+
+    Similarity is estimated from ``WIDE`` bits (standard deviation about 0.02 at 0.8); pairs that are surely similar are linked, and of those within ``SLACK``
+    deviations of the threshold the ones that connect something new are checked on their shingles.  Candidates share a bucket: a choice of bits of which there are so many that a pair at the
+    threshold shares none with a chance of ``MISS``; the bits in a choice grow with the number of documents.  In a bucket the first 64 bits are compared bit-sliced.  Documents with
+    equal bits are one class.
+    Null and empty texts link with each other; rows with a null ``doc_id`` are left out; repeated rows are each returned.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).where("doc_id is not null")
+    rate = bit_rate(similarity)
+    width = max(16, rows.count().bit_length() - 8)
+    tables = int(np.ceil(np.log(MISS) / np.log(1 - (1 - rate) ** width)))
+    order = np.random.default_rng(0)
+    picks = np.concatenate([order.permutation(WIDE) for _ in range(-(-tables * width // WIDE))])[: tables * width]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, WIDE), np.uint8)
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                bits[k] = wide_bits(text, shingle)
+            wide = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(wide.ravel()), WIDE // 64).cast(pa.list_(pa.int64()))], names=["doc_id", "wide"])
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.int64(1) << np.arange(width, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wide = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
+            keys = bits[:, picks].reshape(len(wide), tables, width).astype(np.int64) @ powers
+            node = np.asarray(batch.column(0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(wide))), pa.array(keys.ravel()), pa.array(np.repeat(node, tables)), pa.array(np.repeat(wide[:, 0], tables))], names=["pick", "bucket", "node", "fp"]
+            )
+
+    own = materialise(rows.mapInArrow(released(run), "doc_id long, wide array<long>"), "wide")
+    classes = materialise(own.groupBy("wide").agg(F.min("doc_id").alias("node")), "wide-classes")
+    filed = classes.select("node", "wide").mapInArrow(released(file), "pick int, bucket long, node long, fp long")
+    links = materialise(bucket_links(filed, int(64 * rate + 3 * np.sqrt(64 * rate * (1 - rate)))).distinct(), "wide-links")
+    ends = links.join(classes.select(F.col("node").alias("u"), F.col("wide").alias("u_wide")), "u").join(classes.select(F.col("node").alias("v"), F.col("wide").alias("v_wide")), "v")
+    distance = F.aggregate(F.zip_with("u_wide", "v_wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    deviation = SLACK * np.sqrt(WIDE * rate * (1 - rate))
+    scored = materialise(ends.select("u", "v", distance.alias("distance")).where(F.col("distance") <= int(WIDE * rate + deviation)), "wide-scored")
+    sure = scored.where(F.col("distance") < int(WIDE * rate - deviation)).select("u", "v")
+    nodes = materialise(components(sure), "wide-nodes")
+    part = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    unsure = scored.where(F.col("distance") >= int(WIDE * rate - deviation)).join(part("u"), "u", "left").join(part("v"), "v", "left")
+    unsure = materialise(unsure.where(F.coalesce("u_part", "u") != F.coalesce("v_part", "v")).select("u", "v"), "wide-unsure")
+    if not unsure.isEmpty():
+        nodes = components(sure.union(similar_links(docs, unsure, similarity, shingle)))
+    named = classes.join(nodes, "node", "left").select("wide", F.coalesce("component", "node").alias("component_id"))
+    return own.join(named, "wide").select("doc_id", "component_id")
+
+
+def similar_links(docs: DataFrame, links: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``links(u, v)`` whose documents' shingle sets have at least this Jaccard similarity."""
+    texts = texts_of(docs, links.select("u").union(links.select("v"))).dropDuplicates(["doc_id"])
+    joined = links.join(texts.toDF("u", "u_text"), "u").join(texts.toDF("v", "v_text"), "v")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, other = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            fit = []
+            for v, u_text, v_text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if v != known:  # rows come sorted by v
+                    known, other = v, shingle_set(v_text, shingle)
+                own = shingle_set(u_text, shingle)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                fit.append(both >= similarity * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(fit, pa.bool_()))
+
+    return joined.select("u", "v", "u_text", "v_text").mapInArrow(released(check), "u long, v long")
+
+
+def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``docs`` with one document of each component of near copies left, the one with the smallest ``doc_id``; all columns stay.
 
     Of repeated rows with that id one is left.  Rows with a null ``doc_id`` cannot be named and stay.
     """
-    found = materialise(simhash_classes(docs, shingle, radius).where("doc_id is not null"), "simhash")
+    found = materialise(near_copies(docs, similarity, shingle), "near-copies")
     kept = without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
     twice = materialise(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if twice.isEmpty():

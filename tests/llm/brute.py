@@ -48,3 +48,22 @@ def repeated_windows(texts, n):
 
 def pairs(xs):
     return itertools.combinations(xs, 2)
+
+
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar(a, b, similarity=0.8):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) >= similarity * len(a | b)
+
+
+def edited(text, seed, edits):
+    """A copy with so many words replaced."""
+    r = random.Random(seed)
+    words = text.split()
+    for _ in range(edits):
+        words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+    return " ".join(words)

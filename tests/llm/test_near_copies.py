@@ -5,10 +5,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from brute import components, pairs, prose
+from brute import components, edited, pairs, prose, similar
 
 from maskmetrics.llm.components import components as spark_components
-from maskmetrics.llm.simhash import drop_copies, fingerprint_of, near_links, simhash_classes
+from maskmetrics.llm.simhash import bit_rate, drop_copies, fingerprint_of, near_copies, near_links, simhash_classes, wide_bits, WIDE
 from maskmetrics.llm.vectors import quantise, unit, vector_classes
 
 
@@ -60,11 +60,39 @@ def test_simhash_classes(docs):
     assert simhash_classes(docs([])).count() == 0
 
 
+def near_corpus():
+    rows = []
+    for k in range(15):
+        text = prose(k, 100 + 40 * k)
+        rows += [(10 * k + e, edited(text, e, e * (2 + k) // 2)) for e in range(8)]
+    return [*rows, (900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one  TWO"), (905, "one three"), (906, prose(77, 20_000)), (907, prose(77, 20_000) + " x"), (904, "one  TWO")]
+
+
+def test_near_copies_are_those_of_brute_force(docs):
+    rows = near_corpus()
+    texts = dict(rows)
+    want = components(texts, [(a, b) for a, b in pairs(texts) if similar(texts[a], texts[b])])
+    assert len(set(want.values())) not in (1, len(want))
+    got = near_copies(docs([*rows, (None, "x")])).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+    assert near_copies(docs([])).count() == 0
+
+
+def test_estimate_of_similarity():
+    for seed in range(20):
+        text = prose(seed, 400)
+        other = edited(text, seed, 3 * seed)
+        a, b = (set(zip(*[t.split()[k:] for k in range(5)])) for t in (text, other))
+        rate = bit_rate(len(a & b) / len(a | b))
+        assert abs(int((wide_bits(text, 5) != wide_bits(other, 5)).sum()) - WIDE * rate) <= 4.5 * (WIDE * rate * (1 - rate)) ** 0.5 + 1
+
+
 def test_one_document_of_each_group_stays(docs):
-    rows = [(1, "a b c d"), (2, "a b c d"), (3, "other words stand here"), (3, "other words stand here"), (None, "a b c d"), (None, None)]
+    long = prose(1, 100)
+    rows = [(1, "a b c d"), (2, "A b  c d"), (3, "other words stand here"), (3, "other words stand here"), (None, "a b c d"), (None, None), (4, long), (5, edited(long, 1, 1)), (6, edited(long, 2, 40))]
     kept = drop_copies(docs(rows))
     assert kept.columns == docs(rows).columns
-    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, "a b c d"), (3, "other words stand here"), (None, "a b c d"), (None, None)], key=repr)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6], rows[8]], key=repr)
 
 
 def test_components(spark):
