@@ -175,6 +175,17 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write ``docs`` as one folder per shard, in slot order within each file, by the places of :func:`shard_documents`."""
-    joined = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one folder per shard, in slot order within each file, by the places of :func:`shard_documents`.
+
+    Rows are matched by id and text; rows with both equal take their places in turn.
+    """
+    same = Window.partitionBy("_id", "_crc")
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_crc", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long"))
+    rows = rows.withColumn("_copy", F.row_number().over(same.orderBy("text")))
+    places = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    places = places.withColumn("_copy", F.row_number().over(same.orderBy("_slot")))
+    places = places.select(*[F.col(c).alias(f"_at{c}") for c in places.columns])
+    match = F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_crc") == F.col("_at_crc")) & (F.col("_copy") == F.col("_at_copy"))
+    joined = rows.join(places, match).withColumn("shard", F.col("_at_shard")).withColumn("slot", F.col("_at_slot"))
+    kept = list(dict.fromkeys([*docs.columns, "shard", "slot"]))
+    joined.select(kept).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
