@@ -185,7 +185,7 @@ MIN_SHARE = 0.35
 def with_a_language(docs: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of ``docs(text)`` with a predicted language, whose share is at least ``min_share``; all columns stay.
 
-    Null texts and texts without letters go.
+    Null texts and texts without letters go; a model without languages rejects nothing else.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -195,8 +195,8 @@ def with_a_language(docs: DataFrame, model: Model, min_share: float = MIN_SHARE)
         own = sent.value
 
         def one(text: str | None) -> bool:
-            counts = counts_of(text) if text and own.languages else None
-            return counts is not None and float(max(own.mixture(counts)[1])) >= min_share
+            counts = counts_of(text) if text else None
+            return counts is not None and (not own.languages or float(max(own.mixture(counts)[1])) >= min_share)
 
         for batch in batches:
             yield batch.filter(pa.array(map(one, batch.column(at).to_pylist()), pa.bool_()))

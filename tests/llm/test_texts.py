@@ -39,6 +39,7 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in rows) and 0.5 < [r["score"] for r in rows if r["doc_id"] == 4][0] < 0.8
     assert sorted(r["doc_id"] or 0 for r in with_a_language(odd, model).collect()) == [0, 4, 4]
     empty = fit(table.limit(0))
+    assert sorted(r["doc_id"] or 0 for r in with_a_language(odd, empty).collect()) == [0, 4, 4]
     assert empty.languages == [] and predict(odd, empty).first()["lang_pred"] == UNKNOWN
     assert predict(odd.limit(0), model).count() == 0
 
