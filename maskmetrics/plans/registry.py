@@ -199,10 +199,11 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
+    """Boxes of every second line; an image holds the lines of 80 orders, so images get more with the data and not fuller."""
     rows = _table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") % 2) == parity)
     ids = rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
     x, y = (F.col("p") % 40).cast("double"), (F.col("s") % 30).cast("double")
-    return ids.select((F.col("l_orderkey") % 200).alias("image_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x.alias("x1"), y.alias("y1"), (x + 5 + F.col("q") % 20).alias("x2"), (y + 5 + F.col("q") % 15).alias("y2"))
+    return ids.select(F.floor(F.col("l_orderkey") / 80).alias("image_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x.alias("x1"), y.alias("y1"), (x + 5 + F.col("q") % 20).alias("x2"), (y + 5 + F.col("q") % 15).alias("y2"))
 
 
 def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +244,7 @@ _STATS = ", ".join(f"round(CASE WHEN s.kind = 'mean' THEN avg({c}) ELSE median({
 
 
 def _box_sql(parity: int) -> str:
-    return f"""SELECT l_orderkey % 200 AS image_id, l_orderkey * 10 + l_linenumber AS id, x AS x1, y AS y1, x + 5 + q % 20 AS x2, y + 5 + q % 15 AS y2 FROM (
+    return f"""SELECT l_orderkey // 80 AS image_id, l_orderkey * 10 + l_linenumber AS id, x AS x1, y AS y1, x + 5 + q % 20 AS x2, y + 5 + q % 15 AS y2 FROM (
     SELECT l_orderkey, l_linenumber, CAST(max(l_partkey) % 40 AS DOUBLE) AS x, CAST(max(l_suppkey) % 30 AS DOUBLE) AS y, max(l_quantity) AS q
     FROM lineitem WHERE l_linenumber % 2 = {parity} GROUP BY ALL)"""
 
