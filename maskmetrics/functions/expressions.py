@@ -43,7 +43,7 @@ def local_iso(ts: Column) -> Column:
 
 def compactness(area: Column, perimeter: Column) -> Column:
     """``4 pi A / P ** 2``, at most 1; null without a perimeter."""
-    return F.least(F.lit(1.0), 4 * F.pi() * area / F.nullif(perimeter * perimeter, F.lit(0.0)))
+    return F.when(perimeter > 0, F.least(F.lit(1.0), 4 * F.pi() * area / (perimeter * perimeter)))
 
 
 def strip(text: Column) -> Column:

@@ -75,7 +75,7 @@ _COLOUR = """gray AS (
   SELECT image_id, ann, avg(level) AS mean_brightness, stddev_pop(level) AS std_brightness, avg(r) AS mean_r, avg(g) AS mean_g, avg(b) AS mean_b FROM gray GROUP BY ALL
 )"""
 _FEATURES = f"""feat AS (
-  SELECT b.image_id, b.ann, CAST(b.area AS DOUBLE) AS area_px, least(1.0, 4 * pi() * b.area / nullif(p.perimeter * p.perimeter, 0)) AS compactness, f.fractal_dimension,
+  SELECT b.image_id, b.ann, CAST(b.area AS DOUBLE) AS area_px, CASE WHEN p.perimeter > 0 THEN least(1.0, 4 * pi() * b.area / (p.perimeter * p.perimeter)) END AS compactness, f.fractal_dimension,
     c.mean_brightness, c.std_brightness, c.mean_r, c.mean_g, c.mean_b, b.w / b.h AS elongation, b.area / {_FRAME}.0::DOUBLE AS area_fraction
   FROM box b JOIN per p USING (image_id, ann) LEFT JOIN fit f USING (image_id, ann) JOIN colour c USING (image_id, ann)
 )"""
