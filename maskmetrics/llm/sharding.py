@@ -4,8 +4,8 @@ A partial partition is a vector of ``k`` sums.  Differencing takes the two with
 spread and adds them in opposite order, largest to smallest, until one is left.  Every
 executor task differences its own groups into bundles of three scales, and the driver
 differences the bundles and the few groups that are large by themselves into the shards.
-What the driver holds is bounded by the number of tasks times the bundles of a task, and
-the large groups by ``shards * LARGE``; the finer bundles even out what the coarser leave.
+What the driver holds is bounded by the number of tasks times the bundles of a task,
+``shards * LARGE`` large groups and about ``DUST`` others that are placed by themselves; the finer even out what the coarser leave.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import materialise, released
 
 #: A group of at least ``total / (shards * LARGE)`` bytes is placed by itself: at most ``shards * LARGE`` are.
 LARGE = 400
+#: Groups, about, that are placed by themselves whatever their size, chosen by their keys: they even out what the bundles leave.
+DUST = 4000
 #: Bundles of a task per scale; one group in 64 goes to the next finer scale.
 BUNDLES = (96, 24, 24)
 #: Groups differenced at once by a task.
@@ -75,10 +77,10 @@ def partition(sizes: list[int], k: int) -> np.ndarray:
     return np.array([t[0] for t in to], np.int64)
 
 
-def bundle_groups(groups: DataFrame, cutoff: int) -> DataFrame:
+def bundle_groups(groups: DataFrame, cutoff: int, dust: float) -> DataFrame:
     """``key, size, part, scale, slot``: the bundle of each group of ``groups(key, size)``.
 
-    Scale 3 holds the groups of at least ``cutoff`` bytes, each a bundle of its own.
+    Scale 3 holds the groups of at least ``cutoff`` bytes and a share of ``dust`` of all, each a bundle of its own.
     """
     kind = pa.schema([("key", pa.binary()), ("size", pa.int64()), ("part", pa.int32()), ("scale", pa.int32()), ("slot", pa.int32())])
 
@@ -106,7 +108,7 @@ def bundle_groups(groups: DataFrame, cutoff: int) -> DataFrame:
         for batch in batches:
             alone: list[tuple[bytes, int]] = []
             for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if size >= cutoff:
+                if size >= cutoff or int.from_bytes(key[2:6], "little") < dust * (1 << 32):
                     alone.append((key, size))
                     continue
                 mark = int.from_bytes(key[:2], "little")
@@ -133,9 +135,9 @@ def shard_rows(rows: DataFrame, shards: int) -> DataFrame:
     """
     spark = rows.sparkSession
     groups = materialise(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("_size").alias("size")), "groups")
-    total = groups.agg(F.sum("size")).first()[0] or 0
+    total, count = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     cutoff = max(1, -(-total // (shards * LARGE)))
-    bundled = materialise(bundle_groups(groups, cutoff), "bundles")
+    bundled = materialise(bundle_groups(groups, cutoff, DUST / max(1, count)), "bundles")
     bundles = sorted(bundled.groupBy("part", "scale", "slot").agg(F.sum("size").alias("size")).collect())
     placed = [(*b[:3], int(s)) for b, s in zip(bundles, partition([b[3] for b in bundles], shards), strict=True)]
     where = spark.createDataFrame(placed, "part int, scale int, slot int, shard int")
