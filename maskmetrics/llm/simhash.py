@@ -110,10 +110,11 @@ def near_at_shift(planes: np.ndarray, d: int, want: np.ndarray, radius: int) ->
     return blocks[block] * 64 + bit
 
 
-def near_links(fps: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def near_links(fps: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray | None = None, wide: np.ndarray | None = None, bound: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (positions) of the near pairs inside each group; ``group`` is sorted.
 
-    With ``side`` (0: both, 1, 2) pairs within side 1 or within side 2 are not compared.
+    With ``side`` (0: both, 1, 2) pairs within side 1 or within side 2 are not compared.  With ``wide`` (further bits, a row of words each) only pairs that
+    also differ in at most ``bound`` of these count: links span that relation, not the cruder one of the fingerprints.
     """
     n = len(fps)
     starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if n else np.zeros(0, int)
@@ -124,6 +125,7 @@ def near_links(fps: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray
     fps, ends = fps[perm], np.repeat(np.cumsum(sizes[order]), sizes[order])
     room = ends - np.arange(n)  # how far a shift stays in the group
     side = None if side is None else side[perm]
+    wide = None if wide is None else wide.view(np.uint64)[perm]
     planes, parent = _planes(fps), np.arange(n)
     own = np.repeat(np.arange(len(sizes)), sizes[order])
     left, right = [], []
@@ -148,7 +150,11 @@ def near_links(fps: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray
             if np.array_equal(up, parent):
                 break
             parent = up
-        for i in found[parent[found] != parent[found + d]].tolist():
+        found = found[parent[found] != parent[found + d]]
+        if wide is not None:  # before anything is thinned
+            apart = [np.bitwise_count(wide[i] ^ wide[i + d]).sum(axis=1, dtype=np.int64) for i in np.split(found, range(ROUND, len(found), ROUND))]
+            found = found[np.concatenate(apart) <= bound]
+        for i in found.tolist():
             a, b = i, i + d
             while parent[a] != a:
                 a = parent[a]
@@ -177,10 +183,11 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, bands: int = 4) -> DataFr
     return bucket_links(filed, radius)
 
 
-def bucket_links(filed: DataFrame, radius: int) -> DataFrame:
+def bucket_links(filed: DataFrame, radius: int, wides: DataFrame | None = None, bounds: tuple[int, ...] = ()) -> DataFrame:
     """Links ``u, v`` between nodes of ``filed(pick, bucket, node, fp)`` that share a bucket and whose fingerprints differ in at most ``radius`` bits.
 
-    Within a pair of tiles only links that connect something new are written.
+    Within a pair of tiles only links that connect something new are written.  With ``wides(node, wide)`` the links are ``u, v, bound``: for each of
+    ``bounds`` those that connect the pairs that also differ in at most so many wide bits.
     """
     full = filed.groupBy("pick", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
@@ -190,20 +197,29 @@ def bucket_links(filed: DataFrame, radius: int) -> DataFrame:
         "pick", "bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"), "node", "fp"
     )
     keys = ["pick", "bucket", "a", "b"]
+    schema = "u long, v long"
+    if wides is not None:
+        pairs, schema = pairs.join(wides, "node").select(*pairs.columns, "wide"), "u long, v long, bound int"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def link(columns: list[np.ndarray]) -> pa.RecordBatch:
-            *key, side, node, fp = columns
+            *key, side, node, fp = columns[:7]
             change = np.zeros(len(fp), bool)
             for c in key:
                 change[1:] |= c[1:] != c[:-1]
-            u, v = near_links(fp.view(np.uint64), np.cumsum(change), radius, side)
-            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+            if len(columns) == 7:
+                u, v = near_links(fp.view(np.uint64), np.cumsum(change), radius, side)
+                return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+            found = [near_links(fp.view(np.uint64), np.cumsum(change), radius, side, columns[7], bound) for bound in bounds]
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(np.repeat(np.array(bounds, np.int32), [len(x) for x, _ in found]))], names=["u", "v", "bound"])
 
         for batch in batches:
-            held.append(tuple(c.to_numpy() for c in batch.columns))
+            if not batch.num_rows:
+                continue
+            held.append(tuple(c.to_numpy() if k < 7 else np.asarray(c.flatten()).reshape(batch.num_rows, -1) for k, c in enumerate(batch.columns)))
             if sum(len(h[0]) for h in held) >= ROUND:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
                 ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)) + 1
@@ -214,7 +230,7 @@ def bucket_links(filed: DataFrame, radius: int) -> DataFrame:
         if held and len(held[0][0]) + sum(len(h[0]) for h in held[1:]):
             yield link([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(compare), "u long, v long")
+    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(compare), schema)
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -239,6 +255,10 @@ WIDE = 1024
 SLACK = 3.0
 #: Chance that a pair just at the threshold shares no bucket.
 MISS = 0.01
+#: Sets of up to so many shingles are compared exactly: theirs differ in more bits than the rate says.
+FEW = 0
+#: Shingles in a tile of sets that are compared exactly.
+TILE_SHINGLES = 1 << 17
 
 
 def bit_rate(similarity: float) -> float:
@@ -257,7 +277,11 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 def wide_bits(text: str | None, shingle: int) -> np.ndarray:
     """``WIDE`` bits of a text: majorities over the hashes of its distinct shingles; all 0 without words."""
-    own = shingle_set(text, shingle)
+    return set_bits(shingle_set(text, shingle))
+
+
+def set_bits(own: np.ndarray) -> np.ndarray:
+    """``WIDE`` bits of a set of shingles."""
     seeds = mix(np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     ones = np.zeros((8, WIDE // 8), np.int64)
     for lo in range(0, len(own), 255):  # sums of up to 255 bits fit a byte
@@ -270,10 +294,10 @@ def wide_bits(text: str | None, shingle: int) -> np.ndarray:
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs(doc_id, text)`` with an id: near copies by their shingles' Jaccard similarity.
 
-    Similarity is estimated from ``WIDE`` bits (standard deviation about 0.02 at 0.8); pairs that are surely similar are linked, and of those within ``SLACK``
-    deviations of the threshold the ones that connect something new are checked on their shingles.  Candidates share a bucket: a choice of bits of which there are so many that a pair at the
-    threshold shares none with a chance of ``MISS``; the bits in a choice grow with the number of documents.  In a bucket the first 64 bits are compared bit-sliced.  Documents with
-    equal bits are one class.
+    Similarity is estimated from ``WIDE`` bits (standard deviation about 0.02 at 0.8); pairs that are surely similar are linked.  Those within ``SLACK``
+    deviations of the threshold join documents into blocks, and inside a block all pairs that are not connected yet are checked on their shingles.  Candidates share a bucket: a choice of bits of which there are so many that a pair at the
+    threshold shares none with a chance of ``MISS``; the bits in a choice grow with the number of documents.  In a bucket the first 64 bits are compared bit-sliced, then all, and only pairs that
+    pass are thinned to links.  Documents of at most ``FEW`` shingles are compared exactly with those they share a rare shingle with.  Documents with equal bits are one class.
     Null and empty texts link with each other; rows with a null ``doc_id`` are left out; repeated rows are each returned.
     """
     bounded_batches(docs.sparkSession)
@@ -286,11 +310,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.zeros((batch.num_rows, WIDE), np.uint8)
+            bits, few = np.zeros((batch.num_rows, WIDE), np.uint8), []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                bits[k] = wide_bits(text, shingle)
+                own = shingle_set(text, shingle)
+                bits[k] = set_bits(own)
+                few.append(own.view(np.int64) if similarity * len(own) <= FEW else None)
             wide = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(wide.ravel()), WIDE // 64).cast(pa.list_(pa.int64()))], names=["doc_id", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(wide.ravel()), WIDE // 64).cast(pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "wide", "few"])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = np.int64(1) << np.arange(width, dtype=np.int64)
@@ -305,43 +331,123 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
                 [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(wide))), pa.array(keys.ravel()), pa.array(np.repeat(node, tables)), pa.array(np.repeat(wide[:, 0], tables))], names=["pick", "bucket", "node", "fp"]
             )
 
-    own = materialise(rows.mapInArrow(released(run), "doc_id long, wide array<long>"), "wide")
-    classes = materialise(own.groupBy("wide").agg(F.min("doc_id").alias("node")), "wide-classes")
-    filed = classes.select("node", "wide").mapInArrow(released(file), "pick int, bucket long, node long, fp long")
-    links = materialise(bucket_links(filed, int(64 * rate + 3 * np.sqrt(64 * rate * (1 - rate)))).distinct(), "wide-links")
-    ends = links.join(classes.select(F.col("node").alias("u"), F.col("wide").alias("u_wide")), "u").join(classes.select(F.col("node").alias("v"), F.col("wide").alias("v_wide")), "v")
-    distance = F.aggregate(F.zip_with("u_wide", "v_wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    own = materialise(rows.mapInArrow(released(run), "doc_id long, wide array<long>, few array<long>"), "wide")
+    classes = materialise(own.groupBy("wide").agg(F.min("doc_id").alias("node"), F.min_by("few", "doc_id").alias("few")), "wide-classes")
+    some = classes.where(f"few is null or size(few) > {FEW}").select("node", "wide")
+    filed = materialise(some.mapInArrow(released(file), "pick int, bucket long, node long, fp long"), "filed")
+    radius = int(64 * rate + 3 * np.sqrt(64 * rate * (1 - rate)))
+    # what has no partner in the first 64 bits goes; these links are not those of similar pairs
+    crude = bucket_links(filed, radius)
+    paired = materialise(crude.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wide-paired")
     deviation = SLACK * np.sqrt(WIDE * rate * (1 - rate))
-    scored = materialise(ends.select("u", "v", distance.alias("distance")).where(F.col("distance") <= int(WIDE * rate + deviation)), "wide-scored")
-    sure = scored.where(F.col("distance") < int(WIDE * rate - deviation)).select("u", "v")
-    nodes = materialise(components(sure), "wide-nodes")
-    part = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    unsure = scored.where(F.col("distance") >= int(WIDE * rate - deviation)).join(part("u"), "u", "left").join(part("v"), "v", "left")
-    unsure = materialise(unsure.where(F.coalesce("u_part", "u") != F.coalesce("v_part", "v")).select("u", "v"), "wide-unsure")
+    near, sure = int(WIDE * rate + deviation), int(WIDE * rate - deviation) - 1
+    links = materialise(bucket_links(filed.join(paired, "node", "left_semi").select(filed.columns), radius, some.join(paired, "node", "left_semi"), (near, sure)).distinct(), "wide-links")
+    real = links.where(F.col("bound") == sure).select("u", "v").union(few_links(classes.where("few is not null").select("node", "few"), similarity))
+    real = materialise(real, "real-links")
+    nodes = materialise(components(real), "wide-nodes")
+    blocks = components(links.where(F.col("bound") == near).select("u", "v")).withColumnRenamed("component", "block")
+    blocks = materialise(blocks.join(nodes, "node", "left").select("node", "block", F.coalesce("component", "node").alias("part")), "blocks")
+    mixed = blocks.groupBy("block").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("block")
+    unsure = materialise(blocks.join(mixed, "block"), "wide-unsure")
     if not unsure.isEmpty():
-        nodes = components(sure.union(similar_links(docs, unsure, similarity, shingle)))
+        nodes = components(real.union(set_links(shingle_sets(docs, unsure, shingle).select(F.col("block").alias("key"), "node", "part", "shingles"), similarity)))
     named = classes.join(nodes, "node", "left").select("wide", F.coalesce("component", "node").alias("component_id"))
     return own.join(named, "wide").select("doc_id", "component_id")
 
 
-def similar_links(docs: DataFrame, links: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of ``links(u, v)`` whose documents' shingle sets have at least this Jaccard similarity."""
-    texts = texts_of(docs, links.select("u").union(links.select("v"))).dropDuplicates(["doc_id"])
-    joined = links.join(texts.toDF("u", "u_text"), "u").join(texts.toDF("v", "v_text"), "v")
+def few_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u, v`` that connect every two nodes of ``classes(node, few)`` whose sets have at least this Jaccard similarity.
+
+    Similar sets share one of the first ``n - ceil(similarity * n) + 1`` elements of each in any order that holds for all; here the rarest come first.
+    """
+    single = classes.select("node", F.explode("few").alias("key"))
+    often = single.groupBy("key").count()
+    ranked = single.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("ranked"))
+    first = F.slice("ranked", F.lit(1), F.size("ranked") - F.ceil(similarity * F.size("ranked") - 1e-9).cast("int") + 1)
+    filed = ranked.select("node", F.explode(first).alias("at")).select("node", "at.key")
+    return set_links(filed.join(classes, "node").select("key", "node", F.col("node").alias("part"), F.col("few").alias("shingles")), similarity).distinct()
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``nodes(node, block, part)`` with the ``shingles`` of their documents."""
+    texts = texts_of(docs, nodes.select("node")).dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return materialise(texts.mapInArrow(released(run), "node long, shingles array<long>").join(nodes, "node"), "shingle-sets")
+
+
+def similar_sets(values: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (positions) that connect all pairs of sets with at least this Jaccard similarity, where ``part`` does not connect them already.
+
+    ``values`` holds the sets one after the other.  Pairs within side 1 or within side 2 are not compared.
+    """
+    n = len(sizes)
+    ids, at = np.unique(values, return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    part = np.unique(part, return_inverse=True)[1]
+    members = np.bincount(part)
+    # of two sets of different parts one at least is outside the largest
+    left, right = [], []
+    has = np.zeros(len(ids), np.int32)
+    for i in np.flatnonzero(part != members.argmax()).tolist():
+        other = np.flatnonzero((part != part[i]) & ((side == 0) | (side != side[i])) & (sizes >= similarity * sizes[i]) & (similarity * sizes <= sizes[i]))
+        if not len(other):
+            continue
+        own = at[starts[i] : ends[i]]
+        has[own] = 1
+        if 4 * len(other) > n:
+            both = np.add.reduceat(has[at], starts)[other]
+        else:
+            both = np.array([has[at[starts[j] : ends[j]]].sum() for j in other.tolist()])
+        has[own] = 0
+        for j in other[both >= similarity * (sizes[i] + sizes[other] - both)].tolist():
+            if part[i] != part[j]:
+                left.append(i)
+                right.append(j)
+                part[part == part[j]] = part[i]
+    return left, right
+
+
+def set_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u, v`` of nodes of ``sets(key, node, part, shingles)`` that have a key in common and sets with at least this Jaccard similarity; they connect what ``part`` does not connect already.
+
+    A key's sets are cut into tiles by their sizes, and pairs of tiles are compared by separate tasks, each pair of sets exactly; only links that connect something new are written.
+    """
+    n = F.size("shingles")
+    full = sets.groupBy("key").agg(F.count("*").alias("n"), F.sum(n).alias("all")).where("n > 1")
+    tiles = F.greatest(F.ceil(F.col("all") / TILE_SHINGLES), F.ceil(F.col("n") / TILE)).cast("int")
+    own = sets.where(n > 0).join(full, "key").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("byte")
+    pairs = spread.select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), side.alias("side"), "node", "part", "shingles")
+    keys = ["key", "a", "b"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = None, []
+
+        def link() -> pa.RecordBatch:
+            side, node, part = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3])
+            u, v = similar_sets(np.concatenate([x[3] for x in held]), np.array([len(x[3]) for x in held]), part, side, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(node[u], pa.int64()), pa.array(node[v], pa.int64())], names=["u", "v"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, other = None, np.zeros(0, np.uint64)
         for batch in batches:
-            fit = []
-            for v, u_text, v_text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if v != known:  # rows come sorted by v
-                    known, other = v, shingle_set(v_text, shingle)
-                own = shingle_set(u_text, shingle)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                fit.append(both >= similarity * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(fit, pa.bool_()))
-
-    return joined.select("u", "v", "u_text", "v_text").mapInArrow(released(check), "u long, v long")
+            values, ends = np.asarray(batch.column(6).flatten()), (np.asarray(batch.column(6).offsets) - batch.column(6).offsets[0].as_py()).tolist()
+            for k, (key, a, b, side, node, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+                if (key, a, b) != known and held:
+                    if len(held) > 1:
+                        yield link()
+                    held = []
+                known = key, a, b
+                held.append((side, node, part, values[ends[k] : ends[k + 1]].copy()))
+        if len(held) > 1:
+            yield link()
+
+    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(compare), "u long, v long")
 
 
 def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -138,3 +138,24 @@ def test_vector_classes(spark):
     assert vector_classes(table.limit(0)).count() == 0
     same = spark.createDataFrame([(None, [1.0, 0.0], 0), (None, [1.0, 0.01], 0), (4, [0.0, 1.0], 0), (4, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
     assert sorted(map(tuple, vector_classes(same).collect()), key=repr) == sorted([(None, 1, None, True), (None, 1, None, True), (4, 1, 4, True), (4, 1, 4, True)], key=repr)
+
+
+def test_star_of_edited_copies(docs):
+    """Copies that are near to the original and not to one another: links that fail must not stand in for true ones."""
+    r = random.Random(5)
+    rows = []
+    for star in range(3):
+        words = prose(500 + star, 300).split()
+        rows.append((1000 * star + 500, " ".join(words)))
+        for k in range(250):
+            own = list(words)
+            for at in r.sample(range(0, 300, 8), 5):
+                own[at] = f"new{star}x{k}x{at}"
+            rows.append((1000 * star + k, " ".join(own)))
+    texts = dict(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    near = [(a, b) for a, b in pairs(texts) if a // 1000 == b // 1000 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = components(texts, near)
+    assert max(sum(c == w for c in want.values()) for w in set(want.values())) > 200
+    got = {x["doc_id"]: x["component_id"] for x in near_copies(docs(rows)).collect()}
+    assert got == want
