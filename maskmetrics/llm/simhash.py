@@ -256,7 +256,7 @@ SLACK = 3.0
 #: Chance that a pair just at the threshold shares no bucket.
 MISS = 0.01
 #: Sets of up to so many shingles are compared exactly: theirs differ in more bits than the rate says.
-FEW = 0
+FEW = 32
 #: Shingles in a tile of sets that are compared exactly.
 TILE_SHINGLES = 1 << 17
 

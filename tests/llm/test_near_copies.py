@@ -159,3 +159,15 @@ def test_star_of_edited_copies(docs):
     assert max(sum(c == w for c in want.values()) for w in set(want.values())) > 200
     got = {x["doc_id"]: x["component_id"] for x in near_copies(docs(rows)).collect()}
     assert got == want
+
+
+def test_short_copies(docs):
+    """Texts of 8 and 9 words: one without its first or last word is just near enough."""
+    rows = []
+    for k in range(300):
+        words = prose(9000 + k, 9).split()
+        words[4] = f"w{k}"
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[1:] if k % 2 else words[:-1])), (10 * k + 2, " ".join([*words[:-1], "other"]))]
+    texts = dict(rows)
+    want = components(texts, [(a, b) for a, b in pairs(texts) if a // 10 == b // 10 and similar(texts[a], texts[b])])
+    assert {x["doc_id"]: x["component_id"] for x in near_copies(docs(rows)).collect()} == want
