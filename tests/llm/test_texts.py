@@ -110,6 +110,21 @@ def test_near_passages_are_verified():
     assert matching_passages(x, x[:30], [(0, 0, 30)]) == []
 
 
+def test_passages_of_a_group_edited_one_by_one(docs):
+    """A passage that neither the first nor the previous document of a signature has, but another one."""
+    words = prose(31, 300).split()
+    rows = []
+    for k in range(150):
+        r, own = random.Random(k), list(words)
+        for at in r.sample(range(300), 18):
+            own[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(own)))
+    got = repeated_passages(docs(rows)).collect()
+    covered = {(r["doc_id"], i) for r in got for i in range(r["start"], r["end"] - 49)}
+    need = repeated_windows(rows, 50)
+    assert need and need <= covered
+
+
 def test_cutting(docs):
     assert without_words("a b  c\nd e", [(1, 3)]) == "a d e" and without_words("a b", [(0, 2)]) == "" and without_words(" a b c ", [(1, 2), (0, 1)]) == " c "
     rows = passage_corpus()
