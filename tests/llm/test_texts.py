@@ -125,6 +125,16 @@ def test_passages_of_a_group_edited_one_by_one(docs):
     assert need and need <= covered
 
 
+def test_near_passages_over_wide_gaps():
+    for n, gap, at in ((90, 9, 45), (98, 10, 49), (100, 10, 40), (400, 60, 300)):
+        p = list(range(n))
+        q = [*p[:at], *range(10**6, 10**6 + gap), *p[at:]]
+        for x, f, size in ((q, p, n + gap), (p, q, n)):
+            x, f = (np.array([*range(a, a + 30), *m, *range(b, b + 30)], np.uint64) for a, b, m in ((10**8, 2 * 10**8, x), (3 * 10**8, 4 * 10**8, f)))
+            got = matching_passages(x, f, [(0, 20, n)])
+            assert [g[:2] for g in got] == [(30, 30 + size)] and got[0][4] >= 0.8
+
+
 def test_cutting(docs):
     assert without_words("a b  c\nd e", [(1, 3)]) == "a d e" and without_words("a b", [(0, 2)]) == "" and without_words(" a b c ", [(1, 2), (0, 1)]) == " c "
     rows = passage_corpus()
