@@ -27,6 +27,11 @@ from .common import bounded_batches, released
 
 #: Elements whose content is never text of the page.
 RAW = {"script", "style", "template", "noscript", "svg", "iframe", "object", "canvas", "math", "textarea", "select"}
+#: Those of them that run to the end of the page if they are not closed, and those that may be closed in their own tag.
+TO_THE_END = {"script", "style", "textarea"}
+FOREIGN = {"svg", "math"}
+#: Elements that may stand in a head; any other start tag ends it.
+HEAD = {"html", "head", "title", "base", "link", "meta", "basefont", "bgsound", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp",
@@ -75,6 +80,9 @@ def blocks_of(page: str) -> list[tuple[Path, str, int]]:
         end = m.start() if m else n
         if end > at:
             piece = page[at:end]
+            if stack and stack[-1][0] == "head" and not piece.isspace():
+                flush()
+                close(len(stack) - 1)
             parts.append(piece)
             if in_link:
                 linked += len(piece)
@@ -86,10 +94,16 @@ def blocks_of(page: str) -> list[tuple[Path, str, int]]:
             continue
         tag, closing = tag.lower(), bool(m[1] or m[4])
         if tag in RAW:
-            if not closing:
+            if not closing and not (tag in FOREIGN and (m[3] or m[6] or "").rstrip().endswith("/")):
                 ended = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-                at = ended.end() if ended else n
+                at = ended.end() if ended else n if tag in TO_THE_END else at
             continue
+        if not closing and tag not in HEAD:  # a head whose end tag is left out
+            for k, (open_tag, _) in enumerate(stack[:2]):
+                if open_tag == "head":
+                    flush()
+                    close(k)
+                    break
         inline = tag in INLINE
         if tag == "br" or tag == "img":
             parts.append(" ")

@@ -244,3 +244,13 @@ def test_decoding_is_the_likeliest_sequence():
 def test_blocks():
     got = [(p[-1][0] if p else "", t) for p, t, _ in blocks_of("a<p>b<p>c<ul><li>d<li>e</ul>f<br>g</div>h<td>i<script>x</script>j")]
     assert got == [("", "a"), ("p", "b"), ("p", "c"), ("li", "d"), ("li", "e"), ("", "f g"), ("", "h"), ("td", "ij")]
+
+
+def test_text_after_unclosed_elements():
+    text = lambda page: [t for _, t, _ in body_blocks(page)]
+    assert text("<p>a</p><svg width='1'/><p>b</p><math/><p>c</p>") == ["a", "b", "c"]
+    assert text("<p>a</p><svg><text>x</text></svg><p>b</p><script>x") == ["a", "b"]
+    for tag in ("object", "canvas", "select", "noscript"):
+        assert text(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"]
+    for start in ("<body><p>", "<p>", "", "<a href=x>"):
+        assert text(f"<html><head><title>t</title><meta charset=x>{start}b") == ["b"]
