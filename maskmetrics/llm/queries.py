@@ -63,7 +63,7 @@ def op6_vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash", "other_hash")
 
 
 def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
