@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast, col
 
 #: Rows and bytes of one Arrow batch handed to Python.  Texts are whole documents, so a
 #: batch is kept small to bound a worker's memory.
@@ -102,29 +101,5 @@ def drop_files(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Ids that are broadcast to drop rows; more are joined by shuffle.
+#: Ids that are broadcast to drop or pick rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-
-
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is not in the one column of ``ids``; rows with a null id stay.
-
-    The ids are written first; as long as they are few they are broadcast and no text is shuffled.
-    """
-    column = ids.columns[0]
-    ids = materialise(ids.where(ids[column].isNotNull()).select(ids[column].alias("_gone_id")).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = broadcast(ids)
-    return docs.join(ids, docs["doc_id"].cast("long") == ids["_gone_id"], "left_anti")
-
-
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the rows of ``docs`` whose id is in the one column of ``ids``; written to the shared folder.
-
-    The ids are written first; as long as they are few they are broadcast and only the texts asked for are moved.
-    """
-    ids = materialise(ids.toDF("doc_id").distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = broadcast(ids)
-    texts = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return materialise(texts.join(ids, "doc_id", "left_semi"), "texts")
