@@ -19,10 +19,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, released, texts_of, without_ids
+from .common import BROADCAST_IDS, bounded_batches, drop_files, materialise, released
 from .components import components
 from .passages import mix, word_hashes
 
@@ -253,6 +253,8 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 #: Bits of the wide fingerprint that similarity is estimated from, and standard deviations of that estimate within which a link is checked exactly.
 WIDE = 1024
 SLACK = 3.0
+#: And those of the bit-sliced comparison of the first 64 bits.
+NARROW_SLACK = 4.0
 #: Chance that a pair just at the threshold shares no bucket.
 MISS = 0.01
 #: Sets of up to so many shingles are compared exactly: theirs differ in more bits than the rate says.
@@ -291,32 +293,36 @@ def set_bits(own: np.ndarray) -> np.ndarray:
     return (2 * ones.T.ravel() > len(own)).astype(np.uint8)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``doc_id, component_id`` for every row of ``docs(doc_id, text)`` with an id: near copies by their shingles' Jaccard similarity.
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, miss: float = MISS, width: int | None = None) -> DataFrame:
+    """``doc_id, text_hash, component_id, component_hash`` for every row of ``docs(doc_id, text)`` with an id: near copies by their shingles' Jaccard similarity.
 
     Similarity is estimated from ``WIDE`` bits (standard deviation about 0.02 at 0.8); pairs that are surely similar are linked.  Those within ``SLACK``
-    deviations of the threshold join documents into blocks, and inside a block all pairs that are not connected yet are checked on their shingles.  Candidates share a bucket: a choice of bits of which there are so many that a pair at the
-    threshold shares none with a chance of ``MISS``; the bits in a choice grow with the number of documents.  In a bucket the first 64 bits are compared bit-sliced, then all, and only pairs that
+    deviations of the threshold join documents into blocks, and inside a block all pairs that are not connected yet are checked on their shingles.  Candidates share a bucket: a choice of ``width`` bits of which there are so many that a pair at the
+    threshold shares none with a chance of ``miss``, whatever the width; by default the width grows with the number of documents, so that buckets stay small.  In a bucket the first 64 bits are compared bit-sliced, within a radius that a pair at the threshold
+    fails with a chance of about 1e-4, then all bits, and only pairs that
     pass are thinned to links.  Documents of at most ``FEW`` shingles are compared exactly with those they share a rare shingle with.  Documents with equal bits are one class.
+
+    A document is an id with a text: ``text_hash`` tells texts with one id apart, and a component is named by its smallest id and, of those with that id, the smallest hash.
     Null and empty texts link with each other; rows with a null ``doc_id`` are left out; repeated rows are each returned.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"), F.col("text").cast("string")).where("doc_id is not null")
     rate = bit_rate(similarity)
-    width = max(16, rows.count().bit_length() - 8)
-    tables = int(np.ceil(np.log(MISS) / np.log(1 - (1 - rate) ** width)))
+    width = width or max(16, rows.count().bit_length() - 8)
+    tables = int(np.ceil(np.log(miss) / np.log(1 - (1 - rate) ** width)))
     order = np.random.default_rng(0)
     picks = np.concatenate([order.permutation(WIDE) for _ in range(-(-tables * width // WIDE))])[: tables * width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits, few = np.zeros((batch.num_rows, WIDE), np.uint8), []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 own = shingle_set(text, shingle)
                 bits[k] = set_bits(own)
                 few.append(own.view(np.int64) if similarity * len(own) <= FEW else None)
             wide = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(wide.ravel()), WIDE // 64).cast(pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "wide", "few"])
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(wide.ravel()), WIDE // 64).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "wide", "few"])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = np.int64(1) << np.arange(width, dtype=np.int64)
@@ -331,28 +337,38 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
                 [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(wide))), pa.array(keys.ravel()), pa.array(np.repeat(node, tables)), pa.array(np.repeat(wide[:, 0], tables))], names=["pick", "bucket", "node", "fp"]
             )
 
-    own = materialise(rows.mapInArrow(released(run), "doc_id long, wide array<long>, few array<long>"), "wide")
-    classes = materialise(own.groupBy("wide").agg(F.min("doc_id").alias("node"), F.min_by("few", "doc_id").alias("few")), "wide-classes")
+    own = materialise(rows.mapInArrow(released(run), "doc_id long, text_hash long, wide array<long>, few array<long>"), "wide")
+    first = F.min(F.struct("doc_id", "text_hash"))
+    # a class is named by a number of its own, as texts with one id may be in several
+    classes = own.groupBy("wide").agg(first.alias("first"), F.min_by("few", F.struct("doc_id", "text_hash")).alias("few"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "wide-classes")
     some = classes.where(f"few is null or size(few) > {FEW}").select("node", "wide")
     filed = materialise(some.mapInArrow(released(file), "pick int, bucket long, node long, fp long"), "filed")
-    radius = int(64 * rate + 3 * np.sqrt(64 * rate * (1 - rate)))
+    radius = int(64 * rate + NARROW_SLACK * np.sqrt(64 * rate * (1 - rate)))
     # what has no partner in the first 64 bits goes; these links are not those of similar pairs
     crude = bucket_links(filed, radius)
     paired = materialise(crude.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wide-paired")
     deviation = SLACK * np.sqrt(WIDE * rate * (1 - rate))
     near, sure = int(WIDE * rate + deviation), int(WIDE * rate - deviation) - 1
     links = materialise(bucket_links(filed.join(paired, "node", "left_semi").select(filed.columns), radius, some.join(paired, "node", "left_semi"), (near, sure)).distinct(), "wide-links")
+    drop_files(filed)
     real = links.where(F.col("bound") == sure).select("u", "v").union(few_links(classes.where("few is not null").select("node", "few"), similarity))
     real = materialise(real, "real-links")
     nodes = materialise(components(real), "wide-nodes")
     blocks = components(links.where(F.col("bound") == near).select("u", "v")).withColumnRenamed("component", "block")
     blocks = materialise(blocks.join(nodes, "node", "left").select("node", "block", F.coalesce("component", "node").alias("part")), "blocks")
     mixed = blocks.groupBy("block").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("block")
-    unsure = materialise(blocks.join(mixed, "block"), "wide-unsure")
+    unsure = materialise(blocks.join(mixed, "block").join(classes.select("node", "first.*"), "node"), "wide-unsure")
     if not unsure.isEmpty():
         nodes = components(real.union(set_links(shingle_sets(docs, unsure, shingle).select(F.col("block").alias("key"), "node", "part", "shingles"), similarity)))
-    named = classes.join(nodes, "node", "left").select("wide", F.coalesce("component", "node").alias("component_id"))
-    return own.join(named, "wide").select("doc_id", "component_id")
+    parts = classes.join(nodes, "node", "left").select("wide", "first", F.coalesce("component", "node").alias("component"))
+    names = parts.groupBy("component").agg(F.min("first").alias("name"))
+    named = parts.join(names, "component").select("wide", F.col("name.doc_id").alias("component_id"), F.col("name.text_hash").alias("component_hash"))
+    return own.join(named, "wide").select("doc_id", "text_hash", "component_id", "component_hash")
+
+
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
 
 
 def few_links(classes: DataFrame, similarity: float) -> DataFrame:
@@ -369,15 +385,20 @@ def few_links(classes: DataFrame, similarity: float) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """``nodes(node, block, part)`` with the ``shingles`` of their documents."""
-    texts = texts_of(docs, nodes.select("node")).dropDuplicates(["doc_id"])
+    """``nodes(node, block, part, doc_id, text_hash)`` with the ``shingles`` of their documents."""
+    keys = nodes.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "node", "block", "part")
+    if keys.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash(docs).alias("hash"), F.col("text").cast("string").alias("text"))
+    # rows with equal id and text are one document
+    texts = rows.join(keys, (rows["id"] == keys["key_id"]) & (rows["hash"] == keys["key_hash"])).select("node", "block", "part", "text").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "block", "part", "shingles"])
 
-    return materialise(texts.mapInArrow(released(run), "node long, shingles array<long>").join(nodes, "node"), "shingle-sets")
+    return materialise(texts.mapInArrow(released(run), "node long, block long, part long, shingles array<long>"), "shingle-sets")
 
 
 def similar_sets(values: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
@@ -451,14 +472,25 @@ def set_links(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``docs`` with one document of each component of near copies left, the one with the smallest ``doc_id``; all columns stay.
+    """``docs`` with one document of each component of near copies left, the one with the smallest ``doc_id``; all columns stay, whatever their names.
 
-    Of repeated rows with that id one is left.  Rows with a null ``doc_id`` cannot be named and stay.
+    Rows are told apart by id and text, so a row that shares its id with a copy stays if its own text has no copy before it; of rows with equal id and text one is left.
+    Rows with a null ``doc_id`` cannot be named and stay.
     """
     found = materialise(near_copies(docs, similarity, shingle), "near-copies")
-    kept = without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
-    twice = materialise(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
+    kept = without_rows(docs, found.where(~first).select("doc_id", "text_hash"))
+    twice = materialise(found.where(first).groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice.select(F.col("doc_id").alias("_twice_id")), kept["doc_id"] == F.col("_twice_id"), "left_semi").dropDuplicates(["doc_id"])
-    return without_ids(kept, twice).unionByName(once)
+    return without_rows(kept, twice).unionByName(without_rows(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` whose id and text are not (``left_semi``: are) those of a row of ``keys(doc_id, text_hash)``; rows with a null id are in no key.
+
+    The keys are written first; as long as they are few they are broadcast and no text is shuffled.
+    """
+    keys = materialise(keys.distinct(), "keys")
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return docs.join(few, (docs["doc_id"].cast("long") == few["doc_id"]) & (text_hash(docs) == few["text_hash"]), how)
