@@ -95,6 +95,17 @@ def test_one_document_of_each_group_stays(docs):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6], rows[8]], key=repr)
 
 
+def test_unequal_texts_with_one_id(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (3, a), (3, b), (3, b), (4, b + " x"), (3, None), (2, ""), (None, a)]
+    table = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in rows], "doc_id long, text string, _gone_id long, _twice_id long, text_hash string, component_id int")
+    kept = drop_copies(table)
+    assert kept.columns == table.columns
+    assert sorted([tuple(r)[:2] for r in kept.collect()], key=repr) == sorted([(1, a), (3, b), (2, ""), (None, a)], key=repr)
+    classes = {(r["doc_id"], r["text_hash"]): r["component_id"] for r in near_copies(table).collect()}
+    assert sorted(classes.values()) == [1, 1, 2, 2, 3, 3]
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randint(-50, 400), r.randint(-50, 400)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (None, 3)]

@@ -1,6 +1,8 @@
 """Language, passages, decontamination, pages."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from brute import edit_distance_inside, prose, repeated_windows
 from maskmetrics.llm.decontamination import Items, allowed_edits, contaminated, decontaminate, find_items, plain
 from maskmetrics.llm.html_text import blocks_of, body_blocks, extract, labelled_page, labels_for, main_text, train, trained
 from maskmetrics.llm.language import UNKNOWN, counts_of, fit, predict, with_a_language
-from maskmetrics.llm.passages import compact_windows, cut_passages, matching_passages, repeated_passages, without_words
+from maskmetrics.llm.passages import compact_windows, cut_passages, matching_passages, repeated_passages, window_rows, without_words, word_hashes
 
 # letters of made languages
 SOUNDS = {"aa": ["ka", "ro", "mi", "tu"], "bb": ["sch", "ein", "ung", "ver"], "cc": ["é", "eau", "ou", "que"]}
@@ -59,15 +61,35 @@ def test_mixture_is_the_likeliest(spark):
 def test_windows_are_those_of_the_cartesian_tree():
     r = random.Random(1)
     for _ in range(100):
-        order = np.array([r.randint(0, 20) for _ in range(r.randint(0, 40))], np.uint32)
+        values = [r.randint(0, 20) for _ in range(r.randint(0, 60))]
+        order = np.array([v << 32 | k for k, v in enumerate(values)], np.uint64)
+        cuts = sorted(r.sample(range(len(order) + 1), min(len(order), 2)))
+        first, end = np.array([0, *cuts]), np.array([*cuts, len(order)])
         width = r.randint(1, 8)
+        some = end - first >= width
+        first, end = first[some], end[some]
         want = set()
-        for c in range(len(order)):
-            lo = next((k + 1 for k in range(c - 1, -1, -1) if order[k] <= order[c]), 0)
-            hi = next((k for k in range(c + 1, len(order)) if order[k] < order[c]), len(order))
-            if hi - lo >= width:
-                want.add((lo, c, hi))
-        assert set(zip(*compact_windows(order, width), strict=True)) == want
+        for s, e in zip(first.tolist(), end.tolist(), strict=True):
+            for c in range(s, e):
+                lo = next((k + 1 for k in range(c - 1, s - 1, -1) if order[k] < order[c]), s)
+                hi = next((k for k in range(c + 1, e) if order[k] < order[c]), e)
+                if hi - lo >= width:
+                    want.add((lo, c, hi))
+        assert {tuple(map(int, w)) for w in zip(*compact_windows(order, first, end, width), strict=True)} == want
+
+
+def test_one_word_said_two_million_times():
+    began = time.perf_counter()
+    rows = window_rows(["of " * 2_000_000, "a b " * 100_000], np.array([1, 2]), np.zeros(2, np.int32), 4, 50)
+    assert time.perf_counter() - began < 30
+    assert (rows[2] == 1).sum() < 2_000_000 and len(rows[0]) < 2_000_000
+
+
+def test_hashes_of_long_texts_do_not_depend_on_portions(monkeypatch):
+    text = prose(1, 3000) + " " + "x" * 9000 + "  " + prose(2, 500)
+    whole = word_hashes(text)
+    monkeypatch.setattr("maskmetrics.llm.passages.PORTION", 1000)
+    assert np.array_equal(word_hashes(text), whole) and len(whole) == 3501 == len(text.split())
 
 
 def passage_corpus():
@@ -95,6 +117,62 @@ def test_repeated_passages_are_all_found(docs):
     assert repeated_passages(docs([])).count() == 0
 
 
+def test_passages_of_words_said_many_times(docs):
+    """Runs of one word that begin and end anywhere, beside each other and in periods."""
+    r = random.Random(8)
+    rows = []
+    for k in range(40):
+        parts = [prose(k, r.randint(0, 30))]
+        for _ in range(3):
+            parts.append(" ".join(r.choice([["of"], ["of"], ["to"], ["a", "b"]]) * r.randint(1, 130)))
+        rows.append((k, " ".join(parts)))
+    got = repeated_passages(docs(rows)).collect()
+    covered = {(x["doc_id"], i) for x in got for i in range(x["start"], x["end"] - 49)}
+    need = repeated_windows(rows, 50)
+    assert need and need <= covered
+    assert all(x["other_end"] - x["other_start"] >= 0.8 * (x["end"] - x["start"]) for x in got)
+
+
+def test_near_passages_are_found(docs):
+    """Passages with a word changed here and there, each in two documents: through the whole operator."""
+    rows, want = [], []
+    for k in range(150):
+        r = random.Random(k)
+        n = r.randint(50, 400)
+        words = prose(3000 + k, n).split()
+        other = list(words)
+        for at in r.sample(range(5, n - 5), max(1, n // 80)):
+            other[at] = f"new{at}"
+        if similar_bags(words, other):
+            before = prose(5000 + k, 40).split()
+            rows += [(2 * k, " ".join([*before, *words])), (2 * k + 1, " ".join([*prose(7000 + k, 30).split(), *other, *prose(9000 + k, 30).split()]))]
+            want.append((2 * k + 1, 30, 30 + n))
+    assert len(want) > 100
+    got = repeated_passages(docs(rows)).collect()
+    caught = 0
+    for doc, lo, hi in want:
+        own = {i for x in got if x["doc_id"] == doc for i in range(x["start"], x["end"])}
+        caught += len(own & set(range(lo, hi))) >= 0.9 * (hi - lo)
+    assert caught >= 0.95 * len(want)
+    assert {x["doc_id"] for x in got} <= {w[0] for w in want}
+
+
+def similar_bags(a, b):
+    a, b = (Counter(zip(*(w[k:] for k in range(5)))) for w in (a, b))
+    return (a & b).total() >= 0.8 * (a | b).total()
+
+
+def test_texts_with_one_id_stay_apart(spark):
+    shared, own, tail = prose(81, 80), prose(82, 100), prose(83, 20)
+    rows = [(1, shared), (5, own), (5, f"{shared} {tail}"), (5, f"{shared} {tail}"), (None, shared)]
+    names = "doc_id long, text string, _spans string, _cut_id long, spans string, row int, id int, hash int"
+    table = spark.createDataFrame([(*r, "s", 1, "t", 2, 3, 4) for r in rows], names)
+    cut = cut_passages(table, repeated_passages(table))
+    assert cut.columns == table.columns
+    assert sorted([tuple(r)[:2] for r in cut.collect()], key=repr) == sorted([(1, shared), (5, own), (5, tail), (5, tail), (None, shared)], key=repr)
+    assert {tuple(r)[2:] for r in cut.collect()} == {("s", 1, "t", 2, 3, 4)}
+
+
 def test_near_passages_are_verified():
     r = random.Random(5)
     for _ in range(100):
