@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskmetrics.llm.common import materialise, table
+from maskmetrics.llm.common import materialise, table, tidy
 from maskmetrics.llm.decontamination import decontaminate
 from maskmetrics.llm.language import fit, held_out, with_a_language
 from maskmetrics.llm.packing import pack_documents, packing_digest
@@ -59,8 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``, each one's result written and read again."""
+    """Apply all stages to ``documents``, each one's result written and read again; what a stage writes besides goes with it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with tidy(spark) as kept:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return docs

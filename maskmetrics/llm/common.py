@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 4096
 ARROW_BYTES = 4 << 20
 _own_dir: dict[str, str] = {}
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,5 +103,19 @@ def drop_files(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete what :func:`materialise` wrote inside the block, but for the tables that the block puts into the list it gets."""
+    before, kept = len(_made), []
+    yield kept
+    keep = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in kept for f in df.inputFiles()}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made[before:]:
+        if path.rsplit("/", 1)[-1] not in keep:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(hadoop).delete(p, True)
+    del _made[before:]
+
+
 #: Ids that are broadcast to drop or pick rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
