@@ -1,12 +1,14 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is read into leaf blocks: runs of text between block-level tags, each with the
-elements that it lies in.  Every block is described by its ancestors (tags, words of class and
-id, nesting) and its text (length, share of links, end mark).  The field labels the whole
+element that it lies in.  Every block is described by its ancestors (tags, words of class and
+id, sections, repeated siblings, forms, names that mark noise in the labelled pages, whether the page has an article elsewhere) and its text (length, share of links, end mark).  The field labels the whole
 sequence as main text or not; it is trained by gradient ascent on the likelihood of labelled
 pages and decoded by Viterbi.
 
-The labelled pages are made here, from layouts with a known answer.
+Reading and scoring take time and memory in proportion to the page: blocks share their elements, and an element holds what it adds to its parent.
+
+The labelled pages are made here, from layouts with a known answer; part of them name their elements with words that are met nowhere else.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import html
 import math
 import random
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, released
 
 #: Elements whose content is never text of the page.
-RAW = {"script", "style", "template", "noscript", "svg", "iframe", "object", "canvas", "math", "textarea", "select"}
+RAW = {"script", "style", "template", "noscript", "svg", "iframe", "object", "canvas", "math", "textarea", "select", "button"}
 #: Those of them that run to the end of the page if they are not closed, and those that may be closed in their own tag.
 TO_THE_END = {"script", "style", "textarea"}
 FOREIGN = {"svg", "math"}
@@ -43,22 +46,114 @@ IMPLIED = {
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}),
 }
 SECTIONS = {"article", "main", "nav", "aside", "header", "footer", "form", "section", "dialog", "body"}
-#: A tag, its attributes with quoted values; else a comment, declaration or instruction.
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: Elements that make what is around them look like a form.
+CONTROLS = {"form", "input", "textarea", "select", "button", "fieldset", "label"}
+_OTHER = r"<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)"
+#: A tag, its attributes with quoted values; else a comment, declaration or instruction.  From where a quote is not closed on, a tag ends at the first ``>``.
+_TAG = re.compile(rf"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|{_OTHER}|(<)(?=/?[a-zA-Z])""", re.S)
+_LOOSE = re.compile(rf"""<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|{_OTHER}""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-Path = tuple[tuple[str, str], ...]
-
 
-def blocks_of(page: str) -> list[tuple[Path, str, int]]:
-    """The leaf blocks of a page in order: path of ``(tag, names)`` from the outside in, text, characters inside links."""
-    out: list[tuple[Path, str, int]] = []
-    stack: list[tuple[str, str]] = []
-    block_path: Path = ()
+class Node:
+    """A block-level element: its parent, and the features that it adds to those of its ancestors."""
+
+    __slots__ = ("parent", "tag", "names", "fresh", "section", "again", "form", "article", "head", "known")
+
+    def __init__(self, parent: Node | None, tag: str, names: str, fresh: tuple[str, ...], section: str, article: bool):
+        self.parent, self.tag, self.names, self.fresh, self.section, self.article = parent, tag, names, fresh, section, article
+        self.head = tag in ("head", "title") or parent is not None and parent.head
+        self.again = self.form = False  # has a sibling of the same names; has a form, or something of one, in or beside it
+        self.known: tuple[float, bool, bool, bool] | None = None
+
+
+Block = tuple[Node, str, int]
+
+
+@lru_cache(maxsize=1 << 16)
+def _element_features(tag: str, names: str, inside: frozenset[str]) -> tuple[str, ...]:
+    return tuple({f"tag {tag}", *(f"{tag} in {outer}" for outer in inside), *(f"name {w}" for w in _WORD.findall(names))})
+
+
+class _Reader:
+    """The open elements while a page is read."""
+
+    def __init__(self) -> None:
+        self.root = Node(None, "", "", ("any",), "none", False)
+        self.tags: list[str] = []
+        self.nodes: list[Node | None] = []  # None for inline elements
+        self.own: list[tuple[str, ...]] = []
+        self.where: dict[str, list[int]] = defaultdict(list)  # places of the open elements by tag
+        self.blocks: list[int] = []  # places of the open block-level elements
+        self.child: list[Node | None] = [None]  # the last child of the root and of each of those
+        self.open: Counter[str] = Counter()  # features of the open elements
+        self.sections: Counter[str] = Counter()
+        self.inside: frozenset[str] = frozenset()
+        self.node = self.root
+
+    def push(self, tag: str, names: str) -> None:
+        self.where[tag].append(len(self.tags))
+        self.tags.append(tag)
+        if tag in INLINE:
+            self.nodes.append(None)
+            self.own.append(())
+            return
+        own = _element_features(tag, names, self.inside)
+        fresh = tuple(f for f in own if not self.open[f])
+        self.open.update(own)
+        node = Node(self.node, tag, names, fresh, tag if tag in SECTIONS else self.node.section, self.node.article or tag in ("article", "main"))
+        before = self.child[-1]
+        if names and before is not None and (before.tag, before.names) == (tag, names):
+            before.again = node.again = True
+        self.child[-1] = node
+        self.child.append(None)
+        self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.own.append(own)
+        self.node = node
+        if tag in SECTIONS:
+            self.sections[tag] += 1
+            self.inside |= {tag}
+
+    def close(self, k: int) -> None:
+        """End the open elements from place ``k`` on."""
+        while len(self.tags) > k:
+            tag, node, own = self.tags.pop(), self.nodes.pop(), self.own.pop()
+            self.where[tag].pop()
+            if node is None:
+                continue
+            self.open.subtract(own)
+            self.blocks.pop()
+            self.child.pop()
+            self.node = node.parent
+            if tag in SECTIONS:
+                self.sections[tag] -= 1
+                if not self.sections[tag]:
+                    self.inside -= {tag}
+
+    def last(self, tags: set[str] | tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags, -1 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def control(self) -> None:
+        """Mark the elements near a part of a form, up to the section that they are in."""
+        node = self.node
+        for _ in range(3):
+            if node.parent is None or node.tag in SECTIONS - {"form", "section", "aside"} or node.form:
+                return
+            node.form, node = True, node.parent
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The leaf blocks of a page in order: the element they lie in, text, characters inside links."""
+    out: list[Block] = []
+    open_ = _Reader()
+    ends: dict[str, int] = {}  # where the next end tag of an element without text stands
+    pattern = _TAG
     parts: list[str] = []
-    linked = in_link = 0
+    linked = 0
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -66,44 +161,45 @@ def blocks_of(page: str) -> list[tuple[Path, str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((block_path, text, linked))
+                out.append((open_.node, text, linked))
             parts, linked = [], 0
 
-    def close(k: int) -> None:
-        nonlocal in_link, block_path
-        in_link -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-        block_path = tuple(x for x in stack if x[0] not in INLINE)
-
     while at < n:
-        m = _TAG.search(page, at)
+        m = pattern.search(page, at)
+        if m and pattern is _TAG and m[4]:  # its quotes are not closed, nor will those of later tags be
+            pattern = _LOOSE
+            m = pattern.search(page, at)
         end = m.start() if m else n
         if end > at:
             piece = page[at:end]
-            if stack and stack[-1][0] == "head" and not piece.isspace():
+            if open_.tags and open_.tags[-1] == "head" and not piece.isspace():
                 flush()
-                close(len(stack) - 1)
+                open_.close(len(open_.tags) - 1)
             parts.append(piece)
-            if in_link:
+            if open_.where.get("a"):
                 linked += len(piece)
         if not m:
             break
         at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[2]:
             continue
-        tag, closing = tag.lower(), bool(m[1] or m[4])
+        tag, closing, attributes = m[2].lower(), bool(m[1]), m[3]
+        if tag in CONTROLS and not closing and tag != "form":
+            open_.control()
         if tag in RAW:
-            if not closing and not (tag in FOREIGN and (m[3] or m[6] or "").rstrip().endswith("/")):
-                ended = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-                at = ended.end() if ended else n if tag in TO_THE_END else at
+            if not closing and not (tag in FOREIGN and attributes.rstrip().endswith("/")):
+                if ends.get(tag, -1) < at:
+                    ended = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                    ends[tag] = ended.start() if ended else n
+                if ends[tag] < n:
+                    after = page.find(">", ends[tag])
+                    at = after + 1 if after >= 0 else n
+                elif tag in TO_THE_END:
+                    at = n
             continue
-        if not closing and tag not in HEAD:  # a head whose end tag is left out
-            for k, (open_tag, _) in enumerate(stack[:2]):
-                if open_tag == "head":
-                    flush()
-                    close(k)
-                    break
+        if not closing and tag not in HEAD and "head" in open_.tags[:2]:  # a head whose end tag is left out
+            flush()
+            open_.close(open_.tags.index("head"))
         inline = tag in INLINE
         if tag == "br" or tag == "img":
             parts.append(" ")
@@ -111,44 +207,31 @@ def blocks_of(page: str) -> list[tuple[Path, str, int]]:
         if not inline:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+            k = open_.last((tag,))
+            if k >= 0 and not (inline and open_.blocks and open_.blocks[-1] > k):
+                open_.close(k)
             continue
         if tag in VOID:
             continue
         if not inline:
             if tag in IMPLIED:
-                ends, stops = IMPLIED[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in stops:
-                        break
-                    if stack[k][0] in ends:
-                        close(k)
-                        break
-            else:  # a block ends an open paragraph or heading
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or (tag[0] == "h" and tag[1:].isdigit() and stack[k][0][0] == "h" and stack[k][0][1:].isdigit()):
-                        close(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-        attributes = m[3] or m[6] or ""
+                k = open_.last(IMPLIED[tag][0])
+                if k > open_.last(IMPLIED[tag][1]):
+                    open_.close(k)
+            elif open_.blocks:  # a block ends an open paragraph or heading
+                own = open_.node.tag
+                if own == "p" or (tag[0] == "h" and tag[1:].isdigit() and own[0] == "h" and own[1:].isdigit()):
+                    open_.close(open_.blocks[-1])
         names = ""
         if attributes:
             names = " ".join(w.strip("\"'").lower() for w in _NAMES.findall(attributes))
             if _HIDDEN.search(attributes):
                 names += " hidden"
-        if attributes.rstrip().endswith("/") and inline:
-            continue
-        stack.append((tag, names))
-        if inline:
-            in_link += tag == "a"
-        else:
-            block_path = tuple(x for x in stack if x[0] not in INLINE)
+            if inline and attributes.rstrip().endswith("/"):
+                continue
+        open_.push(tag, names)
+        if tag == "form":
+            open_.control()
     flush()
     return out
 
@@ -165,30 +248,49 @@ NAMES = {
     "comments": ["comments", "comment", "comment-list", "responses", "discussion", "replies", "disqus", "reader-comments"],
     "main": ["content", "article", "post", "entry", "story", "article-body", "post-content", "main", "text", "body", "entry-content", "page"],
 }
-#: Words of such names that do not also name an article.
-NOISE = {w for kind, names in NAMES.items() if kind != "main" for n in names for w in n.split("-")} - {w for n in NAMES["main"] for w in n.split("-")}
-
-
-def path_features(path: Path) -> list[str]:
-    """What a block's ancestors say of it."""
-    found = {"any"}
-    inside: set[str] = set()
-    section, noisy = "none", False
-    for tag, names in path:
-        found.add(f"tag {tag}")
-        for outer in inside:
-            found.add(f"{tag} in {outer}")
-        for word in _WORD.findall(names):
-            found.add(f"name {word}")
-            noisy |= word in NOISE
-        if tag in SECTIONS:
-            section = tag
-            inside.add(tag)
-    found.add(f"section {section}, {'noisy' if noisy else 'clean'}")
-    if path:
-        found.add(f"own {path[-1][0]}, {'noisy' if noisy else 'clean'}")
-        found.add(f"own {path[-1][0]} in {section}")
-    return sorted(found)
+def _last_features(tag: str, section: str, again: bool, form: bool, noisy: bool, beside: bool) -> list[str]:
+    """What the innermost element says: those features are not handed down."""
+    how = "noisy" if noisy else "clean"
+    out = [f"section {section}, {how}", f"own {tag}, {how}", f"own {tag} in {section}"]
+    if again:
+        out += ["repeated", f"repeated in {section}"]
+    if form:
+        out.append("with a form")
+    if beside:
+        out.append("beside the article")
+    return out
+
+
+def path_features(node: Node, elsewhere: bool, noise: frozenset[str]) -> list[str]:
+    """What a block's element and its ancestors say of it; ``elsewhere``: the page has an article; ``noise``: words of names that mark what is not main text."""
+    out, own, again, form, noisy = [], node, False, False, False
+    while node is not None:
+        out += node.fresh
+        again |= node.again
+        form |= node.form
+        noisy |= any(w in noise for w in _WORD.findall(node.names))
+        node = node.parent
+    return sorted([*out, *_last_features(own.tag, own.section, again, form, noisy, elsewhere and not own.article)])
+
+
+def noise_words(pages: list[tuple[list[Block], list[bool]]]) -> frozenset[str]:
+    """The words of names under which labelled pages hardly have main text."""
+    under: Counter[str] = Counter()
+    main: Counter[str] = Counter()
+    for blocks, answer in pages:
+        for (node, _, _), y in zip(blocks, answer, strict=True):
+            words: set[str] = set()
+            while node is not None:
+                words.update(_WORD.findall(node.names))
+                node = node.parent
+            under.update(words)
+            if y:
+                main.update(words)
+    return frozenset(w for w, n in under.items() if n >= LEAST_BLOCKS and main[w] <= NOISE_SHARE * n)
+
+
+def has_article(blocks: list[Block]) -> bool:
+    return any(node.article for node, _, _ in blocks)
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -198,30 +300,51 @@ def text_features(text: str, linked: int) -> list[str]:
     return [f"words {min(7, words.bit_length())}", f"links {math.ceil(4 * share)}", f"ends {text[-1] in '.!?:;,'}"]
 
 
-class Field:
-    """Weights of features for main text against the rest, and of neighbouring labels."""
+#: A word of a name marks noise if so many blocks of the labelled pages lie under it, and at most this share of them is main text.
+LEAST_BLOCKS, NOISE_SHARE = 20, 0.05
 
-    def __init__(self, weights: dict[str, float], first: np.ndarray, change: np.ndarray):
-        self.weights, self.first, self.change = weights, first.tolist(), change.tolist()
-        self.memo: dict[Path, float] = {}
 
-    def score(self, path: Path, text: str, linked: int) -> float:
-        known = self.memo.get(path)
-        if known is None:
-            if len(self.memo) >= 50_000:
-                self.memo.clear()
-            known = self.memo[path] = sum(self.weights.get(f, 0.0) for f in path_features(path))
-        return known + sum(self.weights.get(f, 0.0) for f in text_features(text, linked))
+class Field:
+    """Weights of features for main text against the rest, and of neighbouring labels."""
 
-    def decode(self, blocks: list[tuple[Path, str, int]]) -> list[bool]:
+    def __init__(self, weights: dict[str, float], first: np.ndarray, change: np.ndarray, noise: frozenset[str]):
+        self.weights, self.first, self.change, self.noise = weights, first.tolist(), change.tolist(), noise
+        self.memo: dict[tuple, float] = {}
+
+    def handed_down(self, node: Node) -> tuple[float, bool, bool, bool]:
+        """The score of what an element and its ancestors have together, and their marks; each element is looked at once."""
+        chain = []
+        while node is not None and node.known is None:
+            chain.append(node)
+            node = node.parent
+        known = node.known if node is not None else (0.0, False, False, False)
+        for own in reversed(chain):
+            both = self.memo.get((own.fresh, own.names))
+            if both is None:
+                if len(self.memo) >= 200_000:
+                    self.memo.clear()
+                both = self.memo[own.fresh, own.names] = (sum(self.weights.get(f, 0.0) for f in own.fresh), any(w in self.noise for w in _WORD.findall(own.names)))
+            known = own.known = (known[0] + both[0], known[1] or own.again, known[2] or own.form, known[3] or both[1])
+        return known
+
+    def score(self, node: Node, text: str, linked: int, elsewhere: bool) -> float:
+        base, *marks = self.handed_down(node)
+        key = (node.tag, node.section, *marks, elsewhere and not node.article)
+        last = self.memo.get(key)
+        if last is None:
+            last = self.memo[key] = sum(self.weights.get(f, 0.0) for f in _last_features(*key))
+        return base + last + sum(self.weights.get(f, 0.0) for f in text_features(text, linked))
+
+    def decode(self, blocks: list[Block]) -> list[bool]:
         """The most likely labels (Viterbi)."""
         if not blocks:
             return []
+        elsewhere = has_article(blocks)
         (stay0, to1), (to0, stay1) = self.change
         back: list[tuple[bool, bool]] = []
         a = b = 0.0
         for k, block in enumerate(blocks):
-            s = self.score(*block)
+            s = self.score(*block, elsewhere)
             if not k:
                 a, b = self.first[0], self.first[1] + s
                 continue
@@ -236,17 +359,19 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[tuple[Path, str, int]], list[bool]]], rounds: int = 120, decay: float = 1e-4) -> Field:
+def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 120, decay: float = 1e-4) -> Field:
     """Fit the field to labelled block sequences: Adagrad on the mean log-likelihood, gradients by forward-backward over all pages at once."""
     index: dict[str, int] = {}
+    noise = noise_words(pages)
     rows, columns, starts, labels = [], [], [], []
     n = 0
     for blocks, answer in pages:
         if not blocks:
             continue
         starts.append(n)
+        elsewhere = has_article(blocks)
         for block, y in zip(blocks, answer, strict=True):
-            for f in {*path_features(block[0]), *text_features(*block[1:])}:
+            for f in {*path_features(block[0], elsewhere, noise), *text_features(*block[1:])}:
                 rows.append(n)
                 columns.append(index.setdefault(f, len(index)))
             labels.append(y)
@@ -285,12 +410,13 @@ def train(pages: list[tuple[list[tuple[Path, str, int]], list[bool]]], rounds: i
         for x, g, p in zip((w, first, change), steps, past, strict=True):
             p += g * g
             x += 0.5 * g / np.sqrt(p)
-    return Field({f: float(w[k]) for f, k in index.items()}, first, change)
+    return Field({f: float(w[k]) for f, k in index.items()}, first, change, noise)
 
 
-def labelled_page(seed: int) -> tuple[str, list[str]]:
-    """A made page and the blocks of its main text."""
+def labelled_page(seed: int, strange: bool | None = None) -> tuple[str, list[str]]:
+    """A made page and the blocks of its main text; ``strange``: its elements have names that say nothing (by chance if None)."""
     r = random.Random(seed)
+    strange = r.random() < 0.4 if strange is None else strange
     marks = ["", "", "", ".", ".", ",", "!!", "%%%", " |", " &amp;", "***"]
 
     def word() -> str:
@@ -306,7 +432,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
 
     def named(kind: str) -> str:
         how = r.random()
-        name = r.choice(NAMES[kind])
+        name = r.choice(NAMES[kind]) if kind in ("ad", "notice", "form") or not strange else word() + word()
         return f' class="{name}"' if how < 0.6 else f' id="{name}"' if how < 0.8 else f' class="{name} {word()}"'
 
     def listing(n: int) -> str:
@@ -330,6 +456,11 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         if kind == "comments":
             each = "".join(r.choice([f'<div class="comment">{para()}</div>', f'<li class="comment">{para()}</li>', f'<article class="comment">{para()}</article>', para()]) for _ in range(r.randint(1, 6)))
             head = f"<h{r.randint(2, 4)}>{line(1, 3)}</h2>" if r.random() < 0.6 else ""
+            if strange:
+                t, one = r.choice(["div", "li", "section"]), f' class="{word()}"'
+                each = "".join(f"<{t}{one}><p>{line(1, 3)}</p>{para()}<button>{line(1, 1)}</button></{t}>" for _ in range(r.randint(1, 6)))
+            if strange or r.random() < 0.4:
+                each += f"<form><label>{line(1, 2)}</label><textarea></textarea><button>{line(1, 2)}</button></form>"
             return f"<{(t := r.choice(['section', 'div', 'ol', 'aside']))}{named('comments')}>{head}{each}</{t}>"
         if kind in ("ad", "notice"):
             tag = r.choice(["div", "div", "div", "section", "aside", "p"])
@@ -359,7 +490,9 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
                 out.append(kept("<ul>" + "".join(f"<li>{line(1, 20)}</li>" for _ in range(r.randint(1, 4))) + "</ul>"))
             elif roll < 0.86:
                 out.append(kept(f"<{(t := r.choice(['blockquote', 'pre', 'div', 'section']))}>{line(2, 30)}</{t}>"))
-            elif roll < 0.88:
+            elif roll < 0.87:
+                out.append(f"<button>{line(1, 3)}</button>")
+            elif roll < 0.89:
                 out.append(kept(f"<table><tr><td>{line(1, 4)}<td>{line(1, 4)}</table>"))
             else:
                 out.append(noise(r.choice(["ad", "ad", "aside", "form", "notice", "nav"])))
@@ -369,7 +502,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
             out.append(noise("footer"))
         return "".join(out)
 
-    how = r.random()
+    how = 0.84 * r.random() if strange else r.random()
     if how < 0.6:
         main = ("<article>", "</article>")
     elif how < 0.7:
@@ -388,7 +521,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     return page, answer
 
 
-def labels_for(blocks: list[tuple[Path, str, int]], answer: list[str]) -> list[bool]:
+def labels_for(blocks: list[Block], answer: list[str]) -> list[bool]:
     """Mark the blocks that spell the answer, in order."""
     out, k = [], 0
     for _, text, _ in blocks:
@@ -400,9 +533,9 @@ def labels_for(blocks: list[tuple[Path, str, int]], answer: list[str]) -> list[b
     return out
 
 
-def body_blocks(page: str) -> list[tuple[Path, str, int]]:
+def body_blocks(page: str) -> list[Block]:
     """The blocks of a page outside its head."""
-    return [b for b in blocks_of(page) if not any(tag in ("head", "title") for tag, _ in b[0])]
+    return [b for b in blocks_of(page) if not b[0].head]
 
 
 @lru_cache(maxsize=1)
@@ -430,7 +563,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     bounded_batches(pages.sparkSession)
     field = trained()
-    sent = pages.sparkSession.sparkContext.broadcast((field.weights, np.array(field.first), np.array(field.change)))
+    sent = pages.sparkSession.sparkContext.broadcast((field.weights, np.array(field.first), np.array(field.change), field.noise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*sent.value)
