@@ -2,16 +2,16 @@
 
 A partial partition is a vector of ``k`` sums.  Differencing takes the two with the largest
 spread and adds them in opposite order, largest to smallest, until one is left.  Every
-executor task differences its own groups into bundles of three scales, and the driver
-differences the bundles and the few groups that are large by themselves into the shards.
-What the driver holds is bounded by the number of tasks times the bundles of a task,
+executor task differences its own groups into bundles of three scales, ``TOPS`` tasks difference the bundles of all tasks into as many bundles each, and the driver
+differences those and the few groups that are large by themselves into the shards.
+What the driver holds does not grow with the data: ``TOPS`` times the bundles of a task,
 ``shards * LARGE`` large groups and about ``DUST`` others that are placed by themselves; the finer even out what the coarser leave.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ LARGE = 400
 DUST = 4000
 #: Bundles of a task per scale; one group in 64 goes to the next finer scale.
 BUNDLES = (96, 24, 24)
+#: Tasks that difference the bundles of all tasks once more.
+TOPS = 32
 #: Groups differenced at once by a task.
 CHUNK = 20_000
 #: Rows that one task numbers within a shard, about.
@@ -77,6 +79,28 @@ def partition(sizes: list[int], k: int) -> np.ndarray:
     return np.array([t[0] for t in to], np.int64)
 
 
+class _Bundles:
+    """A task's bundles of one scale; groups are differenced in chunks, and each chunk's partial partition meets the bundles oppositely ordered."""
+
+    def __init__(self, k: int):
+        self.held, self.keys, self.sizes = np.zeros(k, np.int64), [], []
+
+    def add(self, key: object, size: int) -> bool:
+        """Take a group; whether it is time to settle."""
+        self.keys.append(key)
+        self.sizes.append(size)
+        return len(self.keys) >= CHUNK
+
+    def settle(self) -> tuple[list, list[int], list[int]]:
+        """The waiting groups, their sizes and the bundles that they went to."""
+        sums, to = difference([_leaf(s, len(self.held)) for s in self.sizes])
+        smallest_first = np.argsort(self.held, kind="stable")
+        self.held[smallest_first] += sums
+        out = self.keys, self.sizes, [int(smallest_first[t[0]]) for t in to]
+        self.keys, self.sizes = [], []
+        return out
+
+
 def bundle_groups(groups: DataFrame, cutoff: int, dust: float) -> DataFrame:
     """``key, size, part, scale, slot``: the bundle of each group of ``groups(key, size)``.
 
@@ -85,23 +109,10 @@ def bundle_groups(groups: DataFrame, cutoff: int, dust: float) -> DataFrame:
     kind = pa.schema([("key", pa.binary()), ("size", pa.int64()), ("part", pa.int32()), ("scale", pa.int32()), ("slot", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held = [np.zeros(k, np.int64) for k in BUNDLES]
-        waiting: list[list[tuple[bytes, int]]] = [[] for _ in BUNDLES]
-        large = 0
-
-        def settle(scale: int) -> pa.RecordBatch:
-            # the chunk's partial partition meets the task's, oppositely ordered
-            keys, sizes = zip(*waiting[scale], strict=True)
-            waiting[scale] = []
-            k = BUNDLES[scale]
-            sums, to = difference([_leaf(s, k) for s in sizes])
-            smallest_first = np.argsort(held[scale], kind="stable")
-            held[scale][smallest_first] += sums
-            slots = [int(smallest_first[t[0]]) for t in to]
-            return rows(keys, sizes, scale, slots)
-
-        def rows(keys, sizes, scale, slots) -> pa.RecordBatch:
+        part, large = TaskContext.get().partitionId(), 0
+        bundles = [_Bundles(k) for k in BUNDLES]
+
+        def rows(scale: int, keys: list, sizes: list[int], slots: Iterable[int]) -> pa.RecordBatch:
             n = len(keys)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([scale] * n, pa.int32()), pa.array(slots, pa.int32())], schema=kind)
 
@@ -113,19 +124,45 @@ def bundle_groups(groups: DataFrame, cutoff: int, dust: float) -> DataFrame:
                     continue
                 mark = int.from_bytes(key[:2], "little")
                 scale = 0 if mark % 64 else 1 if mark // 64 % 64 else 2
-                waiting[scale].append((key, size))
-                if len(waiting[scale]) >= CHUNK:
-                    yield settle(scale)
+                if bundles[scale].add(key, size):
+                    yield rows(scale, *bundles[scale].settle())
             if alone:
-                yield rows(*zip(*alone, strict=True), 3, range(large, large + len(alone)))
+                yield rows(3, *zip(*alone, strict=True), range(large, large + len(alone)))
                 large += len(alone)
-        for scale in range(len(BUNDLES)):
-            if waiting[scale]:
-                yield settle(scale)
+        for scale, own in enumerate(bundles):
+            if own.keys:
+                yield rows(scale, *own.settle())
 
     return groups.select("key", "size").mapInArrow(released(run), "key binary, size long, part int, scale int, slot int")
 
 
+def merge_bundles(bundles: DataFrame) -> DataFrame:
+    """``part, scale, slot, size, top, place``: the bundle of all tasks that each one of ``bundles(part, scale, slot, size)`` goes to; those of scale 3 stay as they are."""
+    kind = pa.schema([("part", pa.int32()), ("scale", pa.int32()), ("slot", pa.int32()), ("size", pa.int64()), ("top", pa.int32()), ("place", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundles: dict[tuple[int, int], _Bundles] = {}
+
+        def rows(scale: int, top: int, keys: list[tuple[int, int]], sizes: list[int], places: list[int]) -> pa.RecordBatch:
+            parts, slots = zip(*keys, strict=True)
+            n = len(keys)
+            return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((parts, [scale] * n, slots, sizes, [top] * n, places), kind, strict=True)], schema=kind)
+
+        for batch in batches:
+            for part, scale, slot, size, top in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = bundles.setdefault((scale, top), _Bundles(BUNDLES[scale]))
+                if own.add((part, slot), size):
+                    yield rows(scale, top, *own.settle())
+        for (scale, top), own in bundles.items():
+            if own.keys:
+                yield rows(scale, top, *own.settle())
+
+    top = F.pmod(F.col("part"), F.lit(TOPS)).alias("top")
+    merged = bundles.where("scale < 3").select("part", "scale", "slot", "size", top).repartition(TOPS, "top").sortWithinPartitions("top", "scale", F.desc("size"), "part", "slot")
+    merged = merged.mapInArrow(released(run), "part int, scale int, slot int, size long, top int, place int")
+    return merged.unionByName(bundles.where("scale = 3").select("part", "scale", "slot", "size", F.col("part").alias("top"), F.col("slot").alias("place")))
+
+
 def shard_rows(rows: DataFrame, shards: int) -> DataFrame:
     """Add ``shard`` and ``slot`` to ``rows``, which has ``_row`` (any order key), ``_key`` (binary group, not null) and ``_size``.
 
@@ -138,10 +175,11 @@ def shard_rows(rows: DataFrame, shards: int) -> DataFrame:
     total, count = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     cutoff = max(1, -(-total // (shards * LARGE)))
     bundled = materialise(bundle_groups(groups, cutoff, DUST / max(1, count)), "bundles")
-    bundles = sorted(bundled.groupBy("part", "scale", "slot").agg(F.sum("size").alias("size")).collect())
+    merged = materialise(merge_bundles(bundled.groupBy("part", "scale", "slot").agg(F.sum("size").alias("size"))), "merged-bundles")
+    bundles = sorted(merged.groupBy("top", "scale", "place").agg(F.sum("size").alias("size")).collect())  # bounded, see above
     placed = [(*b[:3], int(s)) for b, s in zip(bundles, partition([b[3] for b in bundles], shards), strict=True)]
-    where = spark.createDataFrame(placed, "part int, scale int, slot int, shard int")
-    by_key = bundled.join(F.broadcast(where), ["part", "scale", "slot"]).select(F.col("key").alias("_key"), "shard")
+    where = merged.join(F.broadcast(spark.createDataFrame(placed, "top int, scale int, place int, shard int")), ["top", "scale", "place"]).select("part", "scale", "slot", "shard")
+    by_key = bundled.join(where, ["part", "scale", "slot"]).select(F.col("key").alias("_key"), "shard")
     out = rows.join(by_key, "_key")
 
     n = rows.count()
@@ -177,17 +215,18 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write ``docs`` as one folder per shard, in slot order within each file, by the places of :func:`shard_documents`.
+    """Write ``docs`` as one folder ``shard=N`` per shard, in slot order within each file, by the places of :func:`shard_documents`.
 
-    Rows are matched by id and text; rows with both equal take their places in turn.
+    Rows are matched by id and text; rows with both equal take their places in turn.  Columns of ``docs`` may have any names but ``shard`` and ``slot``, which are
+    those of the places; a table that has one of them is refused.
     """
-    same = Window.partitionBy("_id", "_crc")
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_crc", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_copy", F.row_number().over(same.orderBy("text")))
-    places = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    places = places.withColumn("_copy", F.row_number().over(same.orderBy("_slot")))
-    places = places.select(*[F.col(c).alias(f"_at{c}") for c in places.columns])
-    match = F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_crc") == F.col("_at_crc")) & (F.col("_copy") == F.col("_at_copy"))
-    joined = rows.join(places, match).withColumn("shard", F.col("_at_shard")).withColumn("slot", F.col("_at_slot"))
-    kept = list(dict.fromkeys([*docs.columns, "shard", "slot"]))
-    joined.select(kept).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    if clash := {c.lower() for c in docs.columns} & {"shard", "slot"}:
+        raise ValueError(f"the table has columns of its own named {sorted(clash)}")
+    # the row as one value, so that no name of the input can clash with one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("crc"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "crc").orderBy("row.text")))
+    places = placed.select(F.col("doc_id").alias("at_id"), F.col("text_crc32").alias("at_crc"), "shard", "slot")
+    places = places.withColumn("at_copy", F.row_number().over(Window.partitionBy("at_id", "at_crc").orderBy("slot")))
+    joined = rows.join(places, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("crc") == F.col("at_crc")) & (F.col("copy") == F.col("at_copy")))
+    out = joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "shard", "slot")
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
