@@ -11,7 +11,7 @@ of tokens (u8); per level its width in bits (u4) and length (u8); then per level
 chunks (u1, u2 or u4 each), the bitmap (``ceil(n / 8)`` bytes, lowest bit first) and the rank directory
 (u4 per block, one more than there are blocks).
 
-A file is a Parquet table with one segment per row, beside the ids of its documents and
+A file is a Parquet table with one segment per row, payloads as they are (not compressed), beside the ids of its documents and
 where each starts; segments hold whole documents.  Rows are in ascending order of
 ``doc_id`` (nulls first), then text, within and across the parts of the table.
 """
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, released
+from .common import BROADCAST_IDS, bounded_batches, materialise, new_path, released
 from .encoding import encoder
 
 MAGIC = b"DAC1"
@@ -39,7 +39,7 @@ WIDTHS = (8, 8, 16)
 SEGMENT_TOKENS = 1 << 20
 
 SEGMENT_SCHEMA = (
-    "part int, segment int, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, payload binary"
+    "part int, segment int, n_tokens long, before long, first_id long, last_id long, doc_ids array<long>, starts array<long>, lengths array<long>, payload binary"
 )
 DIGEST_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -141,7 +141,7 @@ def write_codes(
         def flush() -> pa.RecordBatch:
             starts = (before + np.cumsum([0, *lengths])[:-1]).tolist()
             ids = np.frombuffer(b"".join(raw), enc.dtype)
-            row = {"part": [part], "segment": [segment], "n_tokens": [len(ids)], "doc_ids": [keys], "starts": [starts], "lengths": [lengths], "payload": [pack(ids, widths)]}
+            row = {"part": [part], "segment": [segment], "n_tokens": [len(ids)], "before": [before], "first_id": [min((k for k in keys if k is not None), default=None)], "last_id": [max((k for k in keys if k is not None), default=None)], "doc_ids": [keys], "starts": [starts], "lengths": [lengths], "payload": [pack(ids, widths)]}
             return pa.RecordBatch.from_pydict(row, schema=SEGMENT_ARROW)
 
         for batch in batches:
@@ -161,11 +161,11 @@ def write_codes(
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(released(encode), SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(released(encode), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 SEGMENT_ARROW = pa.schema(
-    [("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64())]
+    [("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]
     + [(c, pa.list_(pa.int64())) for c in ("doc_ids", "starts", "lengths")]
     + [("payload", pa.binary())]
 )
@@ -174,14 +174,54 @@ SEGMENT_ARROW = pa.schema(
 def read_codes(spark, path: str) -> DataFrame:
     """The segments of a file, with ``base``: the number of ids in all parts before the segment's.
 
-    There is one part per writing task, so the table of their sizes that is broadcast has
-    as many rows as that write had tasks, whatever the corpus.
+    There is one part per writing task, so the table of their sizes has
+    as many rows as that write had tasks; it is broadcast up to ``BROADCAST_IDS`` of them.
     """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base"))
-    return segments.join(F.broadcast(parts), "part")
+    parts = materialise(parts, "part-sizes")
+    return segments.join(F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts, "part")
+
+
+def token_at(spark, path: str, doc_id: int, i: int) -> int:
+    """The ``i``-th id of the first document with this id, read from the file at ``path``.
+
+    The ids that a segment holds are told by two columns, so Parquet's statistics leave one segment, or as few as the document has rows; its chunk, bit and rank per level are then all that is looked at.
+    """
+    own = spark.read.schema(SEGMENT_SCHEMA).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    at = F.array_position("doc_ids", doc_id).cast("int")
+    found = own.where(F.array_contains("doc_ids", doc_id)).orderBy("part", "segment").select((F.element_at("starts", at) - F.col("before")).alias("start"), F.element_at("lengths", at).alias("n"), "payload").first()
+    if found is None:
+        raise KeyError(doc_id)
+    if not 0 <= i < found["n"]:
+        raise IndexError(i)
+    return Reader(found["payload"])[found["start"] + i]
+
+
+def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``position, id`` for every row of ``wanted(position)``: the ids at those places of the corpus, of ``segments`` from :func:`read_codes`.
+
+    Only the segments asked for are read, each position by its chunk, bit and rank per level; positions outside the corpus and nulls give no rows, repeated ones are each answered.
+    """
+    bounded_batches(segments.sparkSession)
+    starts = segments.select("part", "segment", (F.col("base") + F.col("before")).alias("from"), (F.col("base") + F.col("before") + F.col("n_tokens")).alias("to"))
+    # a position meets its segment by the million that both are in; a segment reaches over few of them
+    own = starts.where("to > from").withColumn("bin", F.explode(F.sequence(F.floor(F.col("from") / SEGMENT_TOKENS), F.floor((F.col("to") - 1) / SEGMENT_TOKENS))))
+    asked = wanted.select(F.col("position").cast("long").alias("position")).withColumn("bin", F.floor(F.col("position") / SEGMENT_TOKENS))
+    met = asked.join(own, (asked["bin"] == own["bin"]) & (F.col("position") >= F.col("from")) & (F.col("position") < F.col("to")))
+    places = met.select("part", "segment", "position", (F.col("position") - F.col("from")).alias("at"))
+    lists = places.groupBy("part", "segment", F.pmod(F.xxhash64("position"), F.lit(16)).alias("salt")).agg(F.collect_list(F.struct("position", "at")).alias("places"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                reader = Reader(batch.column(0)[k].as_py())
+                asked = batch.column(1)[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([a["position"] for a in asked], pa.int64()), pa.array([reader[a["at"]] for a in asked], pa.int64())], names=["position", "id"])
+
+    return segments.select("part", "segment", "payload").join(lists, ["part", "segment"]).select("payload", "places").mapInArrow(released(look), "position long, id long")
 
 
 def digests(segments: DataFrame) -> DataFrame:
