@@ -3,7 +3,8 @@
 Messages form trees by their parents.  Iterative self-joins with doubled jumps find every
 message's root, depth and path score, then every ancestor of the leaves that were chosen:
 after ``k`` joins, paths of ``2 ** k`` messages are done.  Each join is an equi-join on (tree,
-message), whose keys are unique, so a long conversation is spread over all tasks.
+message), whose keys are unique, so the joins spread a long conversation over all tasks.  The output is one value
+per conversation, so numbering the turns of a conversation (:func:`linear_trees`) and putting its texts together (:func:`format_paths`) are each done by one task, which holds that conversation.
 
 The template marks a turn as ``<|im_start|>role`` line feed ``text<|im_end|>`` line feed.  Inside roles
 and texts every ``<``, backslashes, ``|`` gets one more backslash, so no control string is left and
