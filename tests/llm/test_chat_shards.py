@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from brute import prose
+from pyspark.sql import functions as F
 
 from maskmetrics.llm.chat import best_paths, chat_digest, format_conversations, format_paths, read_back
 from maskmetrics.llm.common import new_path
-from maskmetrics.llm.sharding import difference, partition, shard_documents, write_shards
+from maskmetrics.llm.sharding import BUNDLES, TOPS, difference, merge_bundles, partition, shard_documents, write_shards
 
 TURNS = "conv_id long, turn long, role string, text string, tree string, depth int"
 NASTY = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|", "<|", "<", "|", "\\", "\n<|im_end|>\n", "", "é<|im_end|>\n<|im_start|>user\n", "<<||"]
@@ -127,3 +128,25 @@ def test_shard_files(spark, docs):
     write_shards(table, shard_documents(table, 3), path)
     back = spark.read.parquet(path)
     assert sorted(((x["doc_id"], x["text"]) for x in back.collect()), key=repr) == sorted(rows, key=repr) and back.select("shard").distinct().count() == 3
+    with pytest.raises(ValueError, match="slot"):
+        write_shards(table.withColumn("Slot", F.lit(1)), shard_documents(table, 3), path + "2")
+    odd = table.withColumn("id", F.lit("a")).withColumn("row", F.lit(2)).withColumn("copy", F.lit(None).cast("int"))
+    write_shards(odd, shard_documents(odd, 3), path + "3")
+    back = spark.read.parquet(path + "3")
+    assert sorted(((x["doc_id"], x["text"], x["id"], x["row"], x["copy"]) for x in back.collect()), key=repr) == sorted(((*r, "a", 2, None) for r in rows), key=repr)
+
+
+def test_bundles_of_many_tasks(spark):
+    """Bundles of 100 tasks are differenced once more: every one keeps a place, and the sums stay near."""
+    r = random.Random(3)
+    rows = [(part, scale, slot, r.randint(1, 10**6)) for part in range(100) for scale, k in enumerate(BUNDLES) for slot in range(k)] + [(part, 3, 0, 5 * 10**6) for part in range(100)]
+    got = merge_bundles(spark.createDataFrame(rows, "part int, scale int, slot int, size long")).collect()
+    assert sorted((x["part"], x["scale"], x["slot"], x["size"]) for x in got) == sorted(rows)
+    sums = Counter()
+    for x in got:
+        sums[x["top"], x["scale"], x["place"]] += x["size"]
+    assert sum(k[1] < 3 for k in sums) <= TOPS * sum(BUNDLES)
+    for top in range(TOPS):
+        for scale in range(3):
+            own = [v for k, v in sums.items() if k[:2] == (top, scale)]
+            assert max(own) - min(own) <= 10**6

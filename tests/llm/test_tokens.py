@@ -68,6 +68,18 @@ def test_file_round_trip(spark, docs, tokenizer):
     assert got == want
     assert codes.token_codes(docs([]), PATH, 1).count() == 0
 
+    every = [i for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")) for i in ids_of(tokenizer, text)]
+    asked = [0, len(every) - 1, 699, 700, 701, 5, 5, *random.Random(2).sample(range(len(every)), 200)]
+    table = spark.createDataFrame([(p,) for p in [*asked, -1, len(every), None]], "position long")
+    segments = codes.read_codes(spark, path)
+    assert sorted(map(tuple, codes.tokens_at(segments, table).collect())) == sorted((p, every[p]) for p in asked)
+    for doc_id, i in ((105, 3), (7, 1), (3, 0), (129, 100)):
+        assert codes.token_at(spark, path, doc_id, i) == ids_of(tokenizer, dict(rows)[doc_id])[i]
+    with pytest.raises(IndexError):
+        codes.token_at(spark, path, 3, 1)
+    with pytest.raises(KeyError):
+        codes.token_at(spark, path, 4, 0)
+
 
 def check_plan(histogram, capacity):
     spans, count = defaultdict(list), defaultdict(int)
