@@ -68,10 +68,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """64 planes of packed bits, with one empty word at the end."""
-    n = -(-len(fps) // 64)
-    bits = np.zeros((64, (n + 1) * 64), np.uint8)
-    bits[:, : len(fps)] = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    """The planes (packed bits) of the rows of ``fps``, one for every bit of a row, with one empty word at the end."""
+    n, words = -(-len(fps) // 64), fps.shape[1]
+    bits = np.zeros((64 * words, (n + 1) * 64), np.uint8)
+    bits[:, : len(fps)] = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").T
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
@@ -82,7 +82,7 @@ def near_at_shift(planes: np.ndarray, d: int, want: np.ndarray, radius: int) ->
     over = ~want[blocks]  # pairs not asked for count as passed
     counters = [np.zeros(len(blocks), np.uint64) for _ in range(radius.bit_length())]
     last = planes.shape[1] - 1
-    for lo in range(0, 64, STRIDE):
+    for lo in range(0, len(planes), STRIDE):
         at, after = np.minimum(blocks + skip, last), np.minimum(blocks + skip + 1, last)
         for b in range(lo, lo + STRIDE):
             plane = planes[b]
@@ -111,12 +111,12 @@ def near_at_shift(planes: np.ndarray, d: int, want: np.ndarray, radius: int) ->
 
 
 def near_links(fps: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray | None = None, wide: np.ndarray | None = None, bound: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (positions) of the near pairs inside each group; ``group`` is sorted.
+    """Spanning links (positions) of the near pairs inside each group; ``group`` is sorted, and ``fps`` has a word, or a row of words, for each.
 
     With ``side`` (0: both, 1, 2) pairs within side 1 or within side 2 are not compared.  With ``wide`` (further bits, a row of words each) only pairs that
     also differ in at most ``bound`` of these count: links span that relation, not the cruder one of the fingerprints.
     """
-    n = len(fps)
+    n, fps = len(fps), fps.reshape(len(fps), -1)
     starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if n else np.zeros(0, int)
     sizes = np.diff(np.append(starts, n))
     # groups from large to small: for every shift the pairs left to compare stand in front
@@ -167,10 +167,29 @@ def near_links(fps: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray
     return perm[np.array(left, int)], perm[np.array(right, int)]
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the same components as ``u, v``: each node with the smallest of its component, which many tasks find the same."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    least = np.arange(len(nodes))
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        for end in (a, b):
+            np.minimum.at(new, least[end], low)
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if np.array_equal(new, least):
+            break
+        least = new
+    own = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[own], nodes[least[own]]
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 2, bands: int = 4) -> DataFrame:
     """Links ``u, v`` that connect every two distinct fingerprints of ``fps(fp)`` within ``radius`` bits, directly or over others.
 
-    Within a pair of tiles only links that connect something new are written, so a bucket of
+    Within a pair of tiles the links are stars, so a bucket of
     ``m`` fingerprints gives links in proportion to ``m`` times its tiles, not its pairs.
     """
     if not 0 < radius < bands <= 64:
@@ -184,9 +203,9 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, bands: int = 4) -> DataFr
 
 
 def bucket_links(filed: DataFrame, radius: int, wides: DataFrame | None = None, bounds: tuple[int, ...] = ()) -> DataFrame:
-    """Links ``u, v`` between nodes of ``filed(pick, bucket, node, fp)`` that share a bucket and whose fingerprints differ in at most ``radius`` bits.
+    """Links ``u, v`` between nodes of ``filed(pick, bucket, node, fp..)`` that share a bucket and whose fingerprints (all columns after ``node``) differ in at most ``radius`` bits.
 
-    Within a pair of tiles only links that connect something new are written.  With ``wides(node, wide)`` the links are ``u, v, bound``: for each of
+    They are stars: what hangs together within a pair of tiles is linked to its smallest node.  With ``wides(node, wide)`` the links are ``u, v, bound``: for each of
     ``bounds`` those that connect the pairs that also differ in at most so many wide bits.
     """
     full = filed.groupBy("pick", "bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -194,8 +213,9 @@ def bucket_links(filed: DataFrame, radius: int, wides: DataFrame | None = None,
     own = filed.join(full, ["pick", "bucket"]).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = spread.select(
-        "pick", "bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"), "node", "fp"
+        "pick", "bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"), *filed.columns[2:]
     )
+    last = len(pairs.columns)
     keys = ["pick", "bucket", "a", "b"]
     schema = "u long, v long"
     if wides is not None:
@@ -205,21 +225,23 @@ def bucket_links(filed: DataFrame, radius: int, wides: DataFrame | None = None,
         held: list[tuple[np.ndarray, ...]] = []
 
         def link(columns: list[np.ndarray]) -> pa.RecordBatch:
-            *key, side, node, fp = columns[:7]
+            *key, side, node = columns[:6]
+            fp = np.column_stack(columns[6:last])
             change = np.zeros(len(fp), bool)
             for c in key:
                 change[1:] |= c[1:] != c[:-1]
-            if len(columns) == 7:
+            if len(columns) == last:
                 u, v = near_links(fp.view(np.uint64), np.cumsum(change), radius, side)
-                return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
-            found = [near_links(fp.view(np.uint64), np.cumsum(change), radius, side, columns[7], bound) for bound in bounds]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(node[u], node[v])], names=["u", "v"])
+            found = [near_links(fp.view(np.uint64), np.cumsum(change), radius, side, columns[last], bound) for bound in bounds]
+            found = [stars(node[u], node[v]) for u, v in found]
             u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v]), pa.array(np.repeat(np.array(bounds, np.int32), [len(x) for x, _ in found]))], names=["u", "v", "bound"])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.repeat(np.array(bounds, np.int32), [len(x) for x, _ in found]))], names=["u", "v", "bound"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(tuple(c.to_numpy() if k < 7 else np.asarray(c.flatten()).reshape(batch.num_rows, -1) for k, c in enumerate(batch.columns)))
+            held.append(tuple(c.to_numpy() if k < last else np.asarray(c.flatten()).reshape(batch.num_rows, -1) for k, c in enumerate(batch.columns)))
             if sum(len(h[0]) for h in held) >= ROUND:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
                 ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)) + 1
@@ -253,8 +275,8 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 #: Bits of the wide fingerprint that similarity is estimated from, and standard deviations of that estimate within which a link is checked exactly.
 WIDE = 1024
 SLACK = 3.0
-#: And those of the bit-sliced comparison of the first 64 bits.
-NARROW_SLACK = 4.0
+#: Words of them that are compared bit-sliced first, and the standard deviations within which a pair passes: of pairs at the threshold all but one in 18,000, of any others hardly one in a million.
+NARROW, NARROW_SLACK = 2, 4.3
 #: Chance that a pair just at the threshold shares no bucket.
 MISS = 0.01
 #: Sets of up to so many shingles are compared exactly: theirs differ in more bits than the rate says.
@@ -298,8 +320,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, miss
 
     Similarity is estimated from ``WIDE`` bits (standard deviation about 0.02 at 0.8); pairs that are surely similar are linked.  Those within ``SLACK``
     deviations of the threshold join documents into blocks, and inside a block all pairs that are not connected yet are checked on their shingles.  Candidates share a bucket: a choice of ``width`` bits of which there are so many that a pair at the
-    threshold shares none with a chance of ``miss``, whatever the width; by default the width grows with the number of documents, so that buckets stay small.  In a bucket the first 64 bits are compared bit-sliced, within a radius that a pair at the threshold
-    fails with a chance of about 1e-4, then all bits, and only pairs that
+    threshold shares none with a chance of ``miss``, whatever the width; by default the width grows with the number of documents, so that buckets stay small.  In a bucket the first ``NARROW`` words are compared bit-sliced, within a radius that a pair at the threshold
+    fails with a chance of about 5e-5, then all bits, and only pairs that
     pass are thinned to links.  Documents of at most ``FEW`` shingles are compared exactly with those they share a rare shingle with.  Documents with equal bits are one class.
 
     A document is an id with a text: ``text_hash`` tells texts with one id apart, and a component is named by its smallest id and, of those with that id, the smallest hash.
@@ -333,9 +355,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, miss
             bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
             keys = bits[:, picks].reshape(len(wide), tables, width).astype(np.int64) @ powers
             node = np.asarray(batch.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(wide))), pa.array(keys.ravel()), pa.array(np.repeat(node, tables)), pa.array(np.repeat(wide[:, 0], tables))], names=["pick", "bucket", "node", "fp"]
-            )
+            columns = [np.tile(np.arange(tables, dtype=np.int32), len(wide)), keys.ravel(), *(np.repeat(v, tables) for v in (node, *wide.T[:NARROW]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pick", "bucket", "node", *(f"fp{k}" for k in range(NARROW))])
 
     own = materialise(rows.mapInArrow(released(run), "doc_id long, text_hash long, wide array<long>, few array<long>"), "wide")
     first = F.min(F.struct("doc_id", "text_hash"))
@@ -343,9 +364,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, miss
     classes = own.groupBy("wide").agg(first.alias("first"), F.min_by("few", F.struct("doc_id", "text_hash")).alias("few"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "wide-classes")
     some = classes.where(f"few is null or size(few) > {FEW}").select("node", "wide")
-    filed = materialise(some.mapInArrow(released(file), "pick int, bucket long, node long, fp long"), "filed")
-    radius = int(64 * rate + NARROW_SLACK * np.sqrt(64 * rate * (1 - rate)))
-    # what has no partner in the first 64 bits goes; these links are not those of similar pairs
+    filed = materialise(some.mapInArrow(released(file), "pick int, bucket long, node long, " + ", ".join(f"fp{k} long" for k in range(NARROW))), "filed")
+    radius = int(64 * NARROW * rate + NARROW_SLACK * np.sqrt(64 * NARROW * rate * (1 - rate)))
+    # what has no partner in the first words goes; these links are not those of similar pairs
     crude = bucket_links(filed, radius)
     paired = materialise(crude.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wide-paired")
     deviation = SLACK * np.sqrt(WIDE * rate * (1 - rate))

@@ -8,7 +8,7 @@ import xxhash
 from brute import components, edited, pairs, prose, similar
 
 from maskmetrics.llm.components import components as spark_components
-from maskmetrics.llm.simhash import bit_rate, drop_copies, fingerprint_of, near_copies, near_links, simhash_classes, wide_bits, WIDE
+from maskmetrics.llm.simhash import bit_rate, drop_copies, fingerprint_of, near_copies, near_links, simhash_classes, stars, wide_bits, WIDE
 from maskmetrics.llm.vectors import quantise, unit, vector_classes
 
 
@@ -37,6 +37,21 @@ def test_bit_sliced_links(radius):
         near = lambda i, j: group[i] == group[j] and int(fps[i] ^ fps[j]).bit_count() <= radius
         assert all(near(i, j) for i, j in zip(left, right, strict=True))
         assert components(range(n), zip(left.tolist(), right.tolist())) == components(range(n), [p for p in pairs(range(n)) if near(*p)])
+        # of two words
+        two = np.column_stack([fps, np.roll(fps, 1)])
+        left, right = near_links(two, group, 2 * radius)
+        near = lambda i, j: group[i] == group[j] and sum(int(a ^ b).bit_count() for a, b in zip(two[i], two[j], strict=True)) <= 2 * radius
+        assert components(range(n), zip(left.tolist(), right.tolist())) == components(range(n), [p for p in pairs(range(n)) if near(*p)])
+
+
+def test_stars():
+    r = random.Random(2)
+    for _ in range(30):
+        links = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(r.randint(0, 60))] + [(k, k + 1) for k in range(100, 100 + r.randint(0, 90))]
+        u, v = stars(*(np.array(x, np.int64) for x in (zip(*links, strict=True) if links else ((), ()))))
+        nodes = {n for p in links for n in p}
+        want = components(nodes, links)
+        assert sorted(zip(u.tolist(), v.tolist())) == sorted((n, c) for n, c in want.items() if n != c)
 
 
 def corpus():
