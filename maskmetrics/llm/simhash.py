@@ -202,11 +202,11 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, bands: int = 4) -> DataFr
     return bucket_links(filed, radius)
 
 
-def bucket_links(filed: DataFrame, radius: int, wides: DataFrame | None = None, bounds: tuple[int, ...] = ()) -> DataFrame:
+def bucket_links(filed: DataFrame, radius: int, wides: DataFrame | None = None, bounds: tuple[int, ...] = (), nodes_only: bool = False) -> DataFrame:
     """Links ``u, v`` between nodes of ``filed(pick, bucket, node, fp..)`` that share a bucket and whose fingerprints (all columns after ``node``) differ in at most ``radius`` bits.
 
     They are stars: what hangs together within a pair of tiles is linked to its smallest node.  With ``wides(node, wide)`` the links are ``u, v, bound``: for each of
-    ``bounds`` those that connect the pairs that also differ in at most so many wide bits.
+    ``bounds`` those that connect the pairs that also differ in at most so many wide bits.  ``nodes_only``: no links, only the nodes that have some.
     """
     full = filed.groupBy("pick", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
@@ -217,7 +217,7 @@ def bucket_links(filed: DataFrame, radius: int, wides: DataFrame | None = None,
     )
     last = len(pairs.columns)
     keys = ["pick", "bucket", "a", "b"]
-    schema = "u long, v long"
+    schema = "node long" if nodes_only else "u long, v long"
     if wides is not None:
         pairs, schema = pairs.join(wides, "node").select(*pairs.columns, "wide"), "u long, v long, bound int"
 
@@ -232,6 +232,8 @@ def bucket_links(filed: DataFrame, radius: int, wides: DataFrame | None = None,
                 change[1:] |= c[1:] != c[:-1]
             if len(columns) == last:
                 u, v = near_links(fp.view(np.uint64), np.cumsum(change), radius, side)
+                if nodes_only:
+                    return pa.RecordBatch.from_arrays([pa.array(np.unique(node[np.concatenate([u, v])]))], names=["node"])
                 return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(node[u], node[v])], names=["u", "v"])
             found = [near_links(fp.view(np.uint64), np.cumsum(change), radius, side, columns[last], bound) for bound in bounds]
             found = [stars(node[u], node[v]) for u, v in found]
@@ -366,9 +368,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, miss
     some = classes.where(f"few is null or size(few) > {FEW}").select("node", "wide")
     filed = materialise(some.mapInArrow(released(file), "pick int, bucket long, node long, " + ", ".join(f"fp{k} long" for k in range(NARROW))), "filed")
     radius = int(64 * NARROW * rate + NARROW_SLACK * np.sqrt(64 * NARROW * rate * (1 - rate)))
-    # what has no partner in the first words goes; these links are not those of similar pairs
-    crude = bucket_links(filed, radius)
-    paired = materialise(crude.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wide-paired")
+    # what has no partner in the first words goes
+    paired = materialise(bucket_links(filed, radius, nodes_only=True).distinct(), "wide-paired")
     deviation = SLACK * np.sqrt(WIDE * rate * (1 - rate))
     near, sure = int(WIDE * rate + deviation), int(WIDE * rate - deviation) - 1
     links = materialise(bucket_links(filed.join(paired, "node", "left_semi").select(filed.columns), radius, some.join(paired, "node", "left_semi"), (near, sure)).distinct(), "wide-links")
