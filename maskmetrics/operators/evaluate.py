@@ -41,7 +41,24 @@ def match_boxes(reference: DataFrame, predicted: DataFrame, threshold: float = 0
     pairs = filed(reference, "r_").join(filed(predicted, "p_"), [key, "tx", "ty"])
     # a pair is compared in one tile only: the one of its first common point
     first = (F.floor(F.greatest("r_x1", "p_x1") / tile) == F.col("tx")) & (F.floor(F.greatest("r_y1", "p_y1") / tile) == F.col("ty"))
-    scored = pairs.where(first).withColumn("iou", overlap("r_", "p_")).where(F.col("iou") >= threshold)
+    return mutual_best(pairs.where(first).withColumn("iou", overlap("r_", "p_")).where(F.col("iou") >= threshold), key)
+
+
+def match_masks(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id") -> DataFrame:
+    """``image, ref_id, pred_id, iou`` of the mutual best matches of masks, given as pixel rows ``(image, id, x, y)``.
+
+    Pixels of one image meet by their place, so only masks that share one are compared; repeated pixels count once, ties go to the smaller id.
+    """
+    ref, pred = (df.select(key, F.col("id").alias(n), "x", "y").distinct() for df, n in ((reference, "r_id"), (predicted, "p_id")))
+    common = ref.join(pred, [key, "x", "y"]).groupBy(key, "r_id", "p_id").agg(F.count("*").alias("common"))
+    sizes = [df.groupBy(key, n).agg(F.count("*").alias(size)) for df, n, size in ((ref, "r_id", "r_size"), (pred, "p_id", "p_size"))]
+    pairs = common.join(sizes[0], [key, "r_id"]).join(sizes[1], [key, "p_id"])
+    iou = F.col("common") / (F.col("r_size") + F.col("p_size") - F.col("common"))
+    return mutual_best(pairs.withColumn("iou", iou).where(F.col("iou") >= threshold), key)
+
+
+def mutual_best(scored: DataFrame, key: str) -> DataFrame:
+    """Of scored pairs ``(image, r_id, p_id, iou)`` those that are the best of both sides."""
     best = lambda own, other: F.row_number().over(Window.partitionBy(key, own).orderBy(F.desc("iou"), other))
     ranked = scored.withColumn("_r", best("r_id", "p_id")).withColumn("_p", best("p_id", "r_id"))
     return ranked.where("_r = 1 and _p = 1").select(key, F.col("r_id").alias("ref_id"), F.col("p_id").alias("pred_id"), "iou")

@@ -86,3 +86,11 @@ def features(pixels: DataFrame, keys: Sequence[str], height: int, width: int) ->
     for part in (mask_compactness(pixels, keys), box_dimension(pixels, keys), colour(pixels, keys)):
         out = out.join(part, on)
     return out
+
+
+def masked_pixels(image_pixels: DataFrame, mask_pixels: DataFrame, keys: Sequence[str] = ("image_id", "ann")) -> DataFrame:
+    """``keys.., x, y, b, g, r``: the colours of ``image_pixels(image, x, y, b, g, r)`` under each mask of ``mask_pixels(keys.., x, y)``, the first key naming the image.
+
+    One equi-join by image and place; a mask's pixels outside its image are dropped.
+    """
+    return mask_pixels.select(*keys, "x", "y").distinct().join(image_pixels, [keys[0], "x", "y"]).select(*keys, "x", "y", "b", "g", "r")

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import RunConfig, read_config
 from ..operators import aggregates
 from ..operators.kernel import mask_features, pixels_of
-from ..schemas import COMBINED_KEYS, FEATURES, INSTANCE_COLUMNS, RESULTS
+from ..schemas import COMBINED_KEYS, FEATURES, HEADS, INSTANCE_COLUMNS, RESULTS
 from ..sources.images import check_images, find_images, read_categories, read_images
 from ..sources.predictors import ModelPredictor, Predictor
 from ..sources.sinks import detection_items, write_csv, write_json
@@ -25,14 +25,21 @@ SUMMARY = "run_summary.json"
 
 
 def predict(images: DataFrame, predictor: Predictor) -> DataFrame:
-    """Run both models on every image and measure the masks, in one pass: only results leave the task, no pixels are shuffled."""
+    """Run both models on every image and measure the masks, in one pass: only results leave the task, no pixels are shuffled.
+
+    Every image also gives a row of its own, so that nothing else has to decode it again; one that could not be decoded gives that row alone.
+    """
 
     kind = to_arrow_schema(RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict[str, Any]] = []
-            for origin, height, width, channels, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *head, width, channels, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                origin, height = head[0], head[-1]
+                rows.append({**dict(zip(HEADS, head, strict=True)), "kind": "image"})
+                if height < 1:
+                    continue
                 image = pixels_of(data, height, width, channels)
                 for pos, m in enumerate(predictor.segment(image)):
                     rows.append({"origin": origin, "kind": "mask", "pos": pos, "class_name": m.class_name, "confidence": float(m.confidence), **mask_features(image, m.pixels)})
@@ -40,7 +47,7 @@ def predict(images: DataFrame, predictor: Predictor) -> DataFrame:
                     rows.append({"origin": origin, "kind": "box", "pos": pos, "class_name": b.class_name, "confidence": float(b.confidence), "bbox_xyxy": [float(v) for v in b.bbox_xyxy]})
             yield pa.RecordBatch.from_pylist([{name: row.get(name) for name in kind.names} for row in rows], schema=kind)
 
-    return images.select("origin", "height", "width", "channels", "data").mapInArrow(run, RESULTS)
+    return images.select(*HEADS, "width", "channels", "data").mapInArrow(run, RESULTS)
 
 
 def name_errors(config: RunConfig, predictor: Predictor) -> list[str]:
@@ -79,7 +86,7 @@ class Analysis:
         """All result tables from images and the rows of :func:`predict`, whatever made them."""
         classes = list(self.config.classes)
         heads = images.select("origin", "image_id", "file_name", "captured_at")
-        masks = results.where("kind = 'mask'").withColumn("annotation_id", (F.col("pos") + 1).cast("bigint"))
+        masks = results.where("kind = 'mask'").select("origin", (F.col("pos") + 1).cast("bigint").alias("annotation_id"), *FEATURES)
         masks = masks.join(heads.select("origin", "image_id"), "origin").select("origin", "image_id", "annotation_id", *FEATURES)
         boxes = results.where("kind = 'box'").select("origin", "pos", "class_name", "bbox_xyxy", "confidence")
         counts = aggregates.class_counts(boxes, heads, classes)
@@ -101,11 +108,11 @@ class Analysis:
         output = Path(output).expanduser().resolve()
         output.mkdir(parents=True, exist_ok=True)
         images = read_images(self.spark, source)
-        check_images(images, len(paths))
         results = predict(images, self.predictor).persist()
         try:
-            results.count()  # a failing model fails here
-            tables = self.tables(images, results)
+            heads = results.where("kind = 'image'").select(*HEADS)
+            check_images(heads, len(paths))  # a failing model fails here
+            tables = self.tables(heads, results)
             write_csv(tables["floc_features"], output / OUTPUTS[0], INSTANCE_COLUMNS)
             write_csv(tables["microorganism_counts"], output / OUTPUTS[2], ("image_id", *self.config.classes))
             write_csv(tables["combined_analysis"], output / OUTPUTS[3], (*COMBINED_KEYS, *self.config.classes))

@@ -27,8 +27,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 digits, never -0."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), 6) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """Doubles to 6 digits, never -0; to 11 first, so that a value half-way does not depend on the order of a sum."""
+    return df.select(*[(F.round(F.round(F.col(f"`{c}`"), 11), 6) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ _ALL = ", ".join([_PX, _BOX, _PERIMETER, _DIMENSION, _COLOUR, _FEATURES])
 
 
 def _r(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+    return ", ".join(f"round(round({n}, 11), 6) + 0.0 AS {n}" for n in names)
 
 
 def mask_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +210,23 @@ def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.match_boxes(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 1), tile=16.0))
 
 
+def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Masks, and the same without part of their pixels and moved to the right in every other image."""
+    own = pixels(spark, sf_dir).withColumn("id", F.col("ann"))
+    return own, own.where("g < 180").withColumn("x", F.col("x") + F.col("image_id") % 2 * (F.col("ann") % 2))
+
+
+def mask_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.match_masks(*_masks(spark, sf_dir), threshold=0.3))
+
+
+def mask_pixel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pixels(spark, sf_dir)
+    image = own.where("x < 30").groupBy("image_id", "x", "y").agg(*[F.max(c).alias(c) for c in ("b", "g", "r")])
+    joined = shape.masked_pixels(image, own, KEYS)
+    return _rounded(joined.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in ("b", "g", "r")]))
+
+
 def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, predicted = _boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 1)
     return _rounded(evaluate.scores(reference, predicted, evaluate.match_boxes(reference, predicted, tile=16.0)))
@@ -221,8 +238,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [evaluate.statistics(_pairs(spark, sf_dir), c, ["l_returnflag"]).withColumn("error", F.lit(c)) for c in ("absolute_error", "relative_error_pct", "signed_error")]
-    df = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = _pairs(spark, sf_dir).selectExpr("l_returnflag", "stack(3, 'absolute_error', absolute_error, 'relative_error_pct', relative_error_pct, 'signed_error', signed_error) as (error, value)")
+    df = evaluate.statistics(rows, "value", ["l_returnflag", "error"])
     return df.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
@@ -235,12 +252,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         mask_shape, mask_perimeter, mask_compactness, mask_fractal_dimension, colour_brightness, mask_features, mean_median_rows, floc_table_order, class_counts_pivot,
         topk_after_filter, topk_before_filter, instance_number, paired_results, category_rank, label_lookup, missing_classes, left_join_coalesce, detection_documents,
-        run_manifest, iou_match, precision_recall_f1, error_statistics, error_histogram,
+        run_manifest, iou_match, mask_iou_match, mask_pixel_join, precision_recall_f1, error_statistics, error_histogram,
     )
 }
 
 _COUNTS = ", ".join(f"CAST(count(*) FILTER (WHERE event_type = '{c}') AS BIGINT) AS {c}" for c in CLASSES)
-_STATS = ", ".join(f"round(CASE WHEN s.kind = 'mean' THEN avg({c}) ELSE median({c}) END, 6) + 0.0 AS {c}" for c in FEATURES)
+_STATS = ", ".join(f"round(round(CASE WHEN s.kind = 'mean' THEN avg({c}) ELSE median({c}) END, 11), 6) + 0.0 AS {c}" for c in FEATURES)
 
 
 def _box_sql(parity: int) -> str:
@@ -299,13 +316,21 @@ SELECT l_orderkey, pos, label, score FROM a JOIN b USING (l_orderkey, pos) WHERE
     "category_rank": "SELECT row_number() OVER (ORDER BY n_nationkey, n_name) AS label, n_name AS name FROM nation",
     "label_lookup": "SELECT c_custkey, CAST(c_nationkey + 1 AS BIGINT) AS label, n.name AS class_name FROM customer JOIN (SELECT row_number() OVER (ORDER BY n_nationkey, n_name) AS label, n_name AS name FROM nation) n ON n.label = c_nationkey + 1",
     "missing_classes": "SELECT * FROM (VALUES ('click'), ('purchase'), ('never'), ('Click')) AS v(class_name) EXCEPT SELECT event_type FROM events",
-    "left_join_coalesce": f"""SELECT c_custkey AS origin, c_name AS image_id, coalesce(o.n, 0) AS floc_count, round(o.m, 6) + 0.0 AS mean_floc_area_px, {', '.join(f'coalesce(e.{c}, 0) AS {c}' for c in CLASSES)}
+    "left_join_coalesce": f"""SELECT c_custkey AS origin, c_name AS image_id, coalesce(o.n, 0) AS floc_count, round(round(o.m, 11), 6) + 0.0 AS mean_floc_area_px, {', '.join(f'coalesce(e.{c}, 0) AS {c}' for c in CLASSES)}
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS m FROM orders WHERE o_totalprice > 250000 GROUP BY 1) o ON o.o_custkey = c_custkey
 LEFT JOIN (SELECT user_id, {_COUNTS} FROM events GROUP BY 1) e ON e.user_id = c_custkey""",
     "detection_documents": f"""WITH {_DET}, shown AS (SELECT origin, pos, class_name || '@' || CAST(CAST(round(confidence * 10000) AS BIGINT) AS VARCHAR) AS t FROM det WHERE origin >= 50)
 SELECT d.origin, count(s.t) AS n, coalesce(string_agg(s.t, ';' ORDER BY s.pos), '') AS objects FROM (SELECT DISTINCT origin FROM det) d LEFT JOIN shown s USING (origin) GROUP BY d.origin""",
     "run_manifest": f"WITH {_PX} SELECT (SELECT count(*) FROM customer) AS images_processed, (SELECT count(*) FROM (SELECT DISTINCT image_id, ann FROM px)) AS flocs_detected, (SELECT count(*) FROM events) AS microorganisms_detected",
-    "iou_match": f"WITH {_MATCH} SELECT image_id, ref_id, pred_id, round(iou, 6) + 0.0 AS iou FROM matched",
+    "iou_match": f"WITH {_MATCH} SELECT image_id, ref_id, pred_id, round(round(iou, 11), 6) + 0.0 AS iou FROM matched",
+    "mask_iou_match": f"""WITH {_PX}, pred AS (SELECT image_id, ann, x + image_id % 2 * (ann % 2) AS x, y FROM px WHERE g < 180),
+sizes AS (SELECT image_id, ann, count(*) AS n FROM px GROUP BY ALL), psizes AS (SELECT image_id, ann, count(*) AS n FROM pred GROUP BY ALL),
+common AS (SELECT r.image_id, r.ann AS ref_id, p.ann AS pred_id, count(*) AS n FROM px r JOIN pred p USING (image_id, x, y) GROUP BY ALL),
+scored AS (SELECT c.image_id, ref_id, pred_id, c.n / (s.n + q.n - c.n) AS iou FROM common c JOIN sizes s ON s.image_id = c.image_id AND s.ann = ref_id JOIN psizes q ON q.image_id = c.image_id AND q.ann = pred_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, ref_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, ref_id) AS b FROM scored WHERE iou >= 0.3)
+SELECT image_id, ref_id, pred_id, round(round(iou, 11), 6) + 0.0 AS iou FROM ranked WHERE a = 1 AND b = 1""",
+    "mask_pixel_join": f"""WITH {_PX}, image AS (SELECT image_id, x, y, max(b) AS b, max(g) AS g, max(r) AS r FROM px WHERE x < 30 GROUP BY ALL)
+SELECT p.image_id, p.ann, count(*) AS n, round(round(avg(i.b), 11), 6) + 0.0 AS mean_b, round(round(avg(i.g), 11), 6) + 0.0 AS mean_g, round(round(avg(i.r), 11), 6) + 0.0 AS mean_r FROM px p JOIN image i USING (image_id, x, y) GROUP BY ALL""",
     "precision_recall_f1": f"""WITH {_MATCH}, n AS (SELECT (SELECT count(*) FROM ref) AS reference, (SELECT count(*) FROM pred) AS predicted, (SELECT count(*) FROM matched) AS matched),
 s AS (SELECT *, reference - matched AS missed, predicted - matched AS false_predictions, matched / predicted AS precision, matched / reference AS recall FROM n)
 SELECT reference, predicted, matched, missed, false_predictions, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM s""",

@@ -20,10 +20,13 @@ COMBINED_KEYS = ("image_id", "captured_at", "floc_count", *COMBINED_MEANS)
 #: Columns that a configured class may not be called.
 RESERVED = {"image_id", "file_name", "origin", "captured_at", "floc_count", *COMBINED_MEANS}
 
-#: What a predictor says of one image, one row per result: ``kind`` is ``mask`` or ``box``, ``pos`` counts from 0 within the kind.
+#: What is kept of one image besides results.
+HEADS = ("origin", "image_id", "file_name", "captured_at", "height")
+#: What a predictor says of one image, one row per result: ``kind`` is ``mask`` or ``box``, ``pos`` counts from 0 within the kind; and one row ``image`` with what is known of the file.
 RESULTS = T.StructType(
     [
-        T.StructField("origin", T.StringType()),
+        *(T.StructField(c, T.StringType()) for c in HEADS[:-1]),
+        T.StructField(HEADS[-1], T.IntegerType()),
         T.StructField("kind", T.StringType()),
         T.StructField("pos", T.IntegerType()),
         T.StructField("class_name", T.StringType()),

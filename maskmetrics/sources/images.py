@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,13 +42,21 @@ def read_images(spark: SparkSession, source: str | Path) -> DataFrame:
     """``origin, image_id, file_name, captured_at, height, width, channels, data`` of every image under a source that all executors see.
 
     ``origin`` is the key; ``image_id``, the name without suffix, may repeat.  Rows of ``data`` are blue-green-red bytes.
+    Spark's reader passes over names that begin with a dot or underscore, so such files are read by links beside the others, in the shared folder.
     """
     source = Path(source).expanduser().resolve()
     reader = spark.read.format("image").option("dropInvalid", False)
+    hidden = [p for p in find_images(source) if any(part[0] in "._" for part in (p.relative_to(source).parts or (p.name,)))]
     if source.is_dir():
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(map(_glob, SUFFIXES)) + "}")
-    rows = reader.load(source.as_uri()).select("image", F.col("_metadata.file_modification_time").alias("ts"))
-    origin = F.col("image.origin")
+    stamp = F.col("_metadata.file_modification_time").alias("ts")
+    rows = reader.load(source.as_uri()).select("image", F.col("image.origin").alias("origin"), stamp)
+    if hidden:
+        links = _links(spark, hidden)
+        known = spark.createDataFrame([(str(k), p.as_uri()) for k, p in enumerate(hidden)], "number string, origin string")  # as many as such files
+        linked = spark.read.format("image").option("dropInvalid", False).load(links.as_uri()).select("image", F.regexp_extract("image.origin", r"(\d+)\.[^.]*$", 1).alias("number"), stamp)
+        rows = rows.unionByName(linked.join(known, "number").select("image", "origin", "ts"))
+    origin = F.col("origin")
     return rows.select(
         origin.alias("origin"),
         stem(file_name(origin)).alias("image_id"),
@@ -60,13 +69,22 @@ def read_images(spark: SparkSession, source: str | Path) -> DataFrame:
     )
 
 
+def _links(spark: SparkSession, files: list[Path]) -> Path:
+    """A folder of links to files, named by their number; in the folder of ``spark.checkpoint.dir`` if it is a local path, as the images are."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = Path(tempfile.mkdtemp(prefix="images-", dir=shared if shared and os.path.isdir(shared) else None))
+    for k, file in enumerate(files):
+        (folder / f"{k}{file.suffix}").symlink_to(file)
+    return folder
+
+
 def check_images(images: DataFrame, expected: int) -> None:
-    """Raise if a file could not be decoded or gave no row (empty files and names that begin with a dot or underscore give none)."""
+    """Raise if a file could not be decoded or gave no row (empty files give none)."""
     bad = images.where("height < 1").select("origin").limit(1).collect()
     if bad:
         raise ValueError(f"cannot decode {bad[0]['origin']}")
     if (n := images.count()) != expected:
-        raise ValueError(f"{expected - n} of {expected} image files gave no image: empty, or hidden from the reader by their names")
+        raise ValueError(f"{expected - n} of {expected} image files gave no image: empty")
 
 
 def read_categories(spark: SparkSession, path: str | Path) -> DataFrame:

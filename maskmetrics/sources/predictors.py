@@ -108,8 +108,13 @@ class TorchvisionModel:
                 saved = saved[key]
                 break
         sizes = {k: int(settings[k]) for k in ("min_size", "max_size") if isinstance(settings, dict) and settings.get(k) is not None}
+        if not isinstance(saved, dict):
+            raise ValueError(f"{task.spec.weights} holds no weights by name")
         self.model = getattr(detection, task.spec.architecture)(weights=None, weights_backbone=None, num_classes=len(task.names) + 1, **sizes)
-        self.model.load_state_dict({k.removeprefix("module."): v for k, v in saved.items()})
+        try:
+            self.model.load_state_dict({str(k).removeprefix("module."): v for k, v in saved.items()})
+        except RuntimeError as differ:
+            raise ValueError(f"{task.spec.weights} does not fit {task.spec.architecture} with {len(task.names)} classes") from differ
         self.model.to(self.device).eval()
 
     def names(self) -> set[str]:
@@ -128,6 +133,8 @@ class TorchvisionModel:
 
     def masks(self, image: np.ndarray, wanted: str) -> list[Mask]:
         found, out = self._predict(image), []
+        if "masks" not in found:
+            raise ValueError(f"{self.task.spec.architecture} gives no masks")
         for values, label, score in zip(found["masks"], found["labels"], found["scores"]):
             name = self._name(int(label))
             if score < self.task.confidence or name.casefold() != wanted.casefold():
