@@ -10,7 +10,7 @@ from unicodedata import normalize
 import numpy as np
 
 #: Words remembered by one Python worker; the memo is emptied when it is full.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 #: Characters at which str.split() cuts although the tokenizer sees no white space,
 #: and the start of a control string: texts with one go to the tokenizer as they are.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
