@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes of one Arrow batch handed to Python.  Texts are whole documents, so a
 #: batch is kept small to bound a worker's memory.
 ARROW_ROWS = 4096
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 _own_dir: dict[str, str] = {}
 _made: list[str] = []
 

@@ -29,7 +29,7 @@ from .passages import mix, word_hashes
 #: Fingerprints in a tile of a bucket.
 TILE = 1024
 #: Fingerprints that a task compares at once, in whole groups.
-ROUND = 65_536
+ROUND = 32_768
 #: Planes added between two tests of which blocks are still open.
 STRIDE = 4
 
