@@ -29,19 +29,26 @@ def overlap(left: str, right: str):
 def match_boxes(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id", tile: float = 64.0) -> DataFrame:
     """``image, ref_id, pred_id, iou`` of the mutual best matches of ``(image, id, x1, y1, x2, y2)`` rows.
 
-    A range join: every box is filed under the tiles of a grid that it touches, so only boxes of one image that share a tile are
-    compared; ties go to the smaller id.
+    A range join over a grid of tiles.  Where two boxes overlap by ``t``, their centres are at most ``(1 - t) / 2t`` widths (and heights) of either one
+    apart.  So a reference box is filed once, under the tile of its centre, and a predicted one under the tiles where such a centre can lie: every
+    pair meets in one tile only.  ``threshold`` is over 0 and at most 1; ties go to the smaller id; boxes with a null or NaN coordinate match nothing.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError(f"the threshold must be over 0 and at most 1, not {threshold}")
+    reach = (1 - threshold) / (2 * threshold)
 
-    def filed(df: DataFrame, p: str) -> DataFrame:
-        cols = [F.col(c).alias(p + c) for c in ("id", "x1", "y1", "x2", "y2")]
-        span = lambda c: F.sequence(F.floor(F.col(p + c + "1") / tile), F.floor(F.col(p + c + "2") / tile))
-        return df.select(F.col(key).alias(key), *cols).withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
+    def boxes(df: DataFrame, p: str) -> DataFrame:
+        sides = [F.col(c).cast("double").alias(p + c) for c in ("x1", "y1", "x2", "y2")]
+        valid = [F.col(p + c).isNotNull() & ~F.isnan(p + c) for c in ("x1", "y1", "x2", "y2")]
+        return df.select(F.col(key).alias(key), F.col("id").alias(p + "id"), *sides).where(valid[0] & valid[1] & valid[2] & valid[3])
 
-    pairs = filed(reference, "r_").join(filed(predicted, "p_"), [key, "tx", "ty"])
-    # a pair is compared in one tile only: the one of its first common point
-    first = (F.floor(F.greatest("r_x1", "p_x1") / tile) == F.col("tx")) & (F.floor(F.greatest("r_y1", "p_y1") / tile) == F.col("ty"))
-    return mutual_best(pairs.where(first).withColumn("iou", overlap("r_", "p_")).where(F.col("iou") >= threshold), key)
+    def tiles(c: str):
+        middle, far = (F.col(f"p_{c}1") + F.col(f"p_{c}2")) / 2, F.abs(F.col(f"p_{c}2") - F.col(f"p_{c}1")) * reach + 1e-6  # the last for rounding
+        return F.explode(F.sequence(F.floor((middle - far) / tile), F.floor((middle + far) / tile)))
+
+    ref = boxes(reference, "r_").select("*", *[F.floor((F.col(f"r_{c}1") + F.col(f"r_{c}2")) / 2 / tile).alias(f"t{c}") for c in "xy"])
+    pred = boxes(predicted, "p_").select("*", tiles("x").alias("tx")).select("*", tiles("y").alias("ty"))
+    return mutual_best(ref.join(pred, [key, "tx", "ty"]).withColumn("iou", overlap("r_", "p_")).where(F.col("iou") >= threshold), key)
 
 
 def match_masks(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id") -> DataFrame:
@@ -58,10 +65,15 @@ def match_masks(reference: DataFrame, predicted: DataFrame, threshold: float = 0
 
 
 def mutual_best(scored: DataFrame, key: str) -> DataFrame:
-    """Of scored pairs ``(image, r_id, p_id, iou)`` those that are the best of both sides."""
-    best = lambda own, other: F.row_number().over(Window.partitionBy(key, own).orderBy(F.desc("iou"), other))
-    ranked = scored.withColumn("_r", best("r_id", "p_id")).withColumn("_p", best("p_id", "r_id"))
-    return ranked.where("_r = 1 and _p = 1").select(key, F.col("r_id").alias("ref_id"), F.col("p_id").alias("pred_id"), "iou")
+    """Of scored pairs ``(image, r_id, p_id, iou)`` those that are the best of both sides; ties go to the smaller id.
+
+    One aggregation finds the best pair of every instance of either side, combined before its shuffle; a pair that is found twice is mutual.
+    """
+    r, p = F.col("r_id"), F.col("p_id")
+    sides = F.array(F.struct(F.lit(0).alias("side"), r.alias("r"), F.when(F.lit(False), p).alias("p")), F.struct(F.lit(1).alias("side"), F.when(F.lit(False), r).alias("r"), p.alias("p")))
+    best = scored.select(key, F.struct((-F.col("iou")).alias("iou"), "r_id", "p_id").alias("pair"), F.explode(sides).alias("own")).groupBy(key, "own").agg(F.min("pair").alias("pair"))
+    twice = best.groupBy(key, F.col("pair.r_id").alias("ref_id"), F.col("pair.p_id").alias("pred_id")).agg(F.count("*").alias("_n"), (-F.min("pair.iou")).alias("iou"))
+    return twice.where("_n = 2").select(key, "ref_id", "pred_id", "iou")
 
 
 def scores(reference: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:
@@ -81,11 +93,42 @@ def errors(pairs: DataFrame, predicted: str = "predicted", reference: str = "ref
     return pairs.withColumn("absolute_error", F.abs(diff)).withColumn("relative_error_pct", 100 * F.abs(diff) / F.nullif(F.abs(F.col(reference)), F.lit(0.0))).withColumn("signed_error", diff)
 
 
-def statistics(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """``n``, mean, population deviation, extremes, exact percentiles (linear between ranks) and their quartile range."""
-    named = F.percentile(value, F.array(*[F.lit(p) for p in PERCENTILES.values()])).alias("_p")
-    found = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), named)
-    out = found.select("*", *[F.col("_p")[k].alias(name) for k, name in enumerate(PERCENTILES)]).drop("_p")
+def statistics(rows: DataFrame, value: str, keys: Sequence[str] = (), cells: int = 64) -> DataFrame:
+    """``n``, mean, population deviation, extremes, exact percentiles (linear between ranks) and their quartile range; nulls do not count.
+
+    A first aggregation also estimates ``cells - 1`` cuts a key.  Equal values of a key are counted, the counts of the cells between its cuts tell which
+    cell a wanted rank lies in, and only there values are put in order: no task ever holds more than one cell of a key, whatever its share of the rows.
+    """
+    v = F.col(value)
+    estimate = F.percentile_approx(v, F.array(*[F.lit(k / cells) for k in range(1, cells)]), F.lit(100 * cells)).alias("_cuts")
+    base = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), estimate)
+    own = [F.col(f"`{k}`") for k in keys]
+    # Null keys are a key of their own; without keys all rows have the same.
+    named = F.struct(*own).alias("_key") if own else F.struct(F.lit(0).alias("all")).alias("_key")
+    base = base.select(named, "n", "mean", "std", "min", "max", "_cuts")
+    counts = rows.where(v.isNotNull()).select(named, v.cast("double").alias("_v")).groupBy("_key", "_v").agg(F.count("*").alias("_c"))
+    cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    filed = counts.join(base.select("_key", "_cuts"), "_key").select("_key", cell.alias("_cell"), "_v", "_c")
+
+    # one row a key and cell, with the ranks before it; wanted ranks are those below and above each percentile
+    order = Window.partitionBy("_key").orderBy("_cell")
+    cells_of = filed.groupBy("_key", "_cell").agg(F.sum("_c").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+    places = [(F.col("n") - 1) * F.lit(p) for p in PERCENTILES.values()]
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+    wanted = cells_of.join(base.select("_key", ranks.alias("_ranks")), "_key")
+    wanted = wanted.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))).where(F.size("_ranks") > 0)
+
+    inside = filed.join(wanted.select("_key", "_cell", "_before", "_ranks"), ["_key", "_cell"])
+    inside = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy("_key", "_cell").orderBy("_v")))
+    hit = inside.select("_key", "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to")))).alias("_rank"))
+    found = hit.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two ranks a percentile
+
+    def between(place):
+        lo, hi = (F.col("_at")[f(place).cast("long")] for f in (F.floor, F.ceil))
+        return F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi)
+
+    out = base.join(found, "_key", "left")
+    out = out.select(*[F.col("_key")[k].alias(k) for k in keys], "n", "mean", "std", "min", "max", *[between(p).alias(name) for name, p in zip(PERCENTILES, places, strict=True)])
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from helpers import values
 from pyspark.errors import PySparkException
@@ -79,3 +82,51 @@ def test_expressions(spark):
     row = spark.createDataFrame([("file:/x/sp%20ace+%C3%A9.tar.bmp", 10, 20, 30, NAN)], "o string, b int, g int, r int, v double")
     got = row.select(expressions.file_name(F.col("o")).alias("n"), expressions.stem(expressions.file_name(F.col("o"))).alias("s"), expressions.gray(F.col("b"), F.col("g"), F.col("r")).alias("y"), expressions.finite(F.col("v")).alias("f")).first()
     assert tuple(got) == ("sp ace+é.tar.bmp", "sp ace+é.tar", 22, None)
+
+
+def iou_of(a, b):
+    w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+    common = max(w, 0) * max(h, 0)
+    return common / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - common)
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.5, 0.9])
+def test_box_matches_are_those_of_all_pairs(spark, threshold):
+    rng = random.Random(3)
+    sides = []
+    for _ in range(2):
+        corners = [(k % 3, k, rng.randrange(-40, 60), rng.randrange(-40, 60)) for k in range(150)]
+        sides.append([(i, k, float(x), float(y), float(x + rng.randrange(1, 40)), float(y + rng.randrange(1, 40))) for i, k, x, y in corners])
+    sides[1][:40] = sides[0][:40]  # equal boxes
+    sides[1][40:60] = [(*a[:4], a[4] + 1, a[5]) for a in sides[0][40:60]]
+    best = [{}, {}]
+    for a in sides[0]:
+        for b in sides[1]:
+            if a[0] == b[0] and (iou := iou_of(a, b)) >= threshold:
+                best[0][a[1]] = min(best[0].get(a[1], (0, 0)), (-iou, b[1]))
+                best[1][b[1]] = min(best[1].get(b[1], (0, 0)), (-iou, a[1]))
+    want = sorted((a, b) for a, (_, b) in best[0].items() if best[1][b][1] == a)
+    kind = "image_id int, id int, x1 double, y1 double, x2 double, y2 double"
+    odd = [(0, 900, None, 0.0, 1.0, 1.0), (0, 901, float("nan"), 0.0, 1.0, 1.0), (0, 902, 5.0, 5.0, 5.0, 5.0)]
+    ref, pred = (spark.createDataFrame(rows + odd, kind) for rows in sides)
+    got = evaluate.match_boxes(ref, pred, threshold, tile=8.0).collect()
+    assert sorted((r["ref_id"], r["pred_id"]) for r in got) == want and len(want) > 20
+    with pytest.raises(ValueError):
+        evaluate.match_boxes(ref, pred, 0.0)
+
+
+@pytest.mark.parametrize("cells", [2, 8, 64])
+def test_statistics_are_those_of_the_sorted_values(spark, cells):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=2001).tolist(), "b": [7.0] * 500, None: rng.integers(0, 4, 99).astype(float).tolist(), "one": [2.5], "two": [1.0, 4.0]}
+    rows = [(k, x) for k, xs in groups.items() for x in xs] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "kind string, value double").repartition(3)
+    got = {r["kind"]: r for r in evaluate.statistics(df, "value", ["kind"], cells).collect()}
+    assert set(got) == {*groups, "empty"}
+    for k, xs in groups.items():
+        assert got[k]["n"] == len(xs) and got[k]["min"] == min(xs) and got[k]["max"] == max(xs)
+        for name, p in evaluate.PERCENTILES.items():
+            assert got[k][name] == pytest.approx(np.percentile(xs, 100 * p), abs=1e-12), (k, name)
+    assert got["empty"]["n"] == 0 and got["empty"]["median"] is None and got["empty"]["iqr"] is None
+    whole = evaluate.statistics(df, "value", (), cells).first()
+    assert whole["median"] == pytest.approx(np.median([x for xs in groups.values() for x in xs]))
