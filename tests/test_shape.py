@@ -80,3 +80,23 @@ def test_mask_is_brought_to_the_image():
     assert kernel.binary_mask(small, 4, 4).tolist() == [[False, False, True, True]] * 2 + [[False, False, True, True]] * 2
     assert kernel.pixels_of(bytes(range(4)), 2, 2, 1)[1, 1].tolist() == [3, 3, 3]
     assert kernel.pixels_of(bytes(range(16)), 2, 2, 4).shape == (2, 2, 3)
+
+
+def test_masks_of_many_tiles(spark):
+    rng = np.random.default_rng(1)
+    height, width = 150, 210
+    image = rng.integers(0, 256, (height, width, 3), dtype=np.uint8)
+    y, x = np.mgrid[:height, :width]
+    disc = (y - 70) ** 2 + (x - 101) ** 2 < 61**2
+    masks = [disc, disc & (rng.random((height, width)) < 0.9), ~disc, rng.random((height, width)) < 0.01, (y + x) % 2 == 0, (y % 16 == 5) | (x % 8 == 7)]
+    rows = pixel_rows(spark, masks, image)
+    got = {r["ann"]: r for r in shape.features(rows, ["image_id", "ann"], height, width).collect()}
+    for k, mask in enumerate(masks):
+        want = kernel.mask_features(image, mask)
+        for name in FEATURES:
+            assert got[k][name] == pytest.approx(want[name], abs=1e-9), (k, name)
+    lengths = {r["ann"]: r["perimeter"] for r in shape.perimeter(rows, ["image_id", "ann"]).collect()}
+    assert [lengths[k] for k in range(len(masks))] == pytest.approx([kernel.border_length(m) for m in masks])
+    # repeated pixels are no further ones
+    again = rows.unionByName(rows)
+    assert shape.perimeter(again, ["image_id", "ann"]).where("ann = 0").first()["perimeter"] == pytest.approx(lengths[0])
