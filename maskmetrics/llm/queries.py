@@ -85,6 +85,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_benchmark_passages": op8_benchmark_passages,
     "op9_simhash": op9_simhash,
     "op10_main_text": op10_main_text,
+    "op11_source_divergence": op11_source_divergence,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -136,5 +143,35 @@ WITH RECURSIVE v AS (
 counts AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
 SELECT v.vec_id, coalesce(c.n_links, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
 FROM v JOIN least l ON l.u = v.vec_id LEFT JOIN counts c ON c.u = v.vec_id
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), vocab AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(total) AS lang_n FROM vocab GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN vocab USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), totals AS (
+  SELECT g.lang, g.source, CAST(coalesce(sum(c), 0) AS BIGINT) AS n FROM groups g LEFT JOIN counts k ON k.lang = g.lang AND k.source = g.source GROUP BY g.lang, g.source
+), shares AS (
+  SELECT g.lang, g.source, w.term, coalesce(k.c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(k.c, 0) + 5)) // (g.n + 5 * s.v) AS BIGINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (w.total + 5)) // (s.lang_n + 5 * s.v) AS BIGINT) AS q
+  FROM totals g JOIN vocab w ON w.lang = g.lang JOIN sizes s ON s.lang = g.lang LEFT JOIN counts k ON k.lang = g.lang AND k.source = g.source AND k.term = w.term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
 }
