@@ -91,6 +91,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +117,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_main_text": op10_main_text,
     "op11_source_divergence": op11_source_divergence,
+    "op12_token_alignment": op12_token_alignment,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
