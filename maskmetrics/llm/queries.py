@@ -99,6 +99,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cutting import cut_documents, cutting_digest
+
+    return cutting_digest(*cut_documents(table(spark, sf_dir, "documents"), word_tokenizer(), 2, CAPACITY))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,6 +124,7 @@ QUERIES = {
     "op10_main_text": op10_main_text,
     "op11_source_divergence": op11_source_divergence,
     "op12_token_alignment": op12_token_alignment,
+    "op13_cutting_stock": op13_cutting_stock,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
