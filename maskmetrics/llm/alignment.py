@@ -6,16 +6,15 @@ either side ends.  The members of a component are then expanded to links, pairs
 over all documents.
 
 Both sides always end a token before a blank that follows something else, so a text's components are those of its words, and a
-bounded memo of words saves most of the work.  A text of which a word does not come back byte by byte is aligned as a whole.
+bounded memo of words saves most of the work; the new words of a batch are one graph.  A text of which a word does not come back byte by byte is aligned as a whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -27,47 +26,36 @@ from .common import bounded_batches, materialise, released
 from .encoding import _BYTE_LEVEL
 
 #: Words that a worker remembers, links that a task holds before it hands their counts on, and counts that are broadcast at a time.
-MEMO_WORDS, HELD_LINKS, BLOCK_PAIRS = 150_000, 1_000_000, 4_000_000
+MEMO_WORDS, HELD_LINKS, BLOCK_PAIRS = 300_000, 1_000_000, 4_000_000
 #: White space at either end or next to white space; other texts are cut at every blank.
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
 _WORDS = re.compile(r"(?<=\S)(?= )")
 
 
-def union_find(n: int, edges: Sequence[tuple[int, int]]) -> list[int]:
-    """The smallest node of each of ``n`` nodes' components."""
-    parent = list(range(n))
+def union_find(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node of each of ``n`` nodes' components, by the edges ``u, v``: roots are hooked to smaller ones, then paths are halved."""
+    parent = np.arange(n)
+    while True:
+        a, b = parent[u], parent[v]
+        if (a == b).all():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent != (up := parent[parent])).any():
+            parent = up
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
 
-    for a, b in edges:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    return [root(x) for x in range(n)]
+def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens that share a byte; ``a`` and ``b`` are the tokens' ends, which rise to the same last one."""
+    ends = np.union1d(a, b)  # each stretch between two ends lies in one token of either side
+    return np.searchsorted(a, ends), np.searchsorted(b, ends)
 
 
-def overlaps(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Pairs of places whose tokens share a byte; ``a`` and ``b`` are the tokens' ends, which rise to the same last one."""
-    i = j = 0
-    out = []
-    while i < len(a) and j < len(b):
-        out.append((i, j))
-        ends = a[i], b[j]
-        i += ends[0] <= ends[1]
-        j += ends[1] <= ends[0]
-    return out
-
-
-def groups_of(a: Sequence[int], b: Sequence[int]) -> list[tuple[list[int], list[int]]]:
-    """The components, in order of the text: places of their tokens of either side."""
-    roots = union_find(len(a) + len(b), [(i, len(a) + j) for i, j in overlaps(a, b)])
-    found: dict[int, tuple[list[int], list[int]]] = {}
-    for node, root in enumerate(roots):
-        own = found.setdefault(root, ([], []))
-        own[node >= len(a)].append(node if node < len(a) else node - len(a))
-    return list(found.values())
+def groups_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The component of every token of either side, numbered from 0 in order of the text."""
+    i, j = overlaps(a, b)
+    roots = union_find(len(a) + len(b), i, len(a) + j)
+    _, numbers = np.unique(roots, return_inverse=True)  # a component's smallest node is its first token of the first side
+    return numbers[: len(a)], numbers[len(a) :]
 
 
 class Aligned(NamedTuple):
@@ -83,15 +71,6 @@ class Aligned(NamedTuple):
 NOTHING = Aligned(0, 0, 0, "", b"")
 
 
-class _Memo(dict):
-    def __init__(self, align):
-        self.align = align
-
-    def __missing__(self, word: str) -> Aligned | None:
-        found = self[word] = self.align(word)
-        return found
-
-
 class Aligner:
     """Align texts by a byte-level tokenizer, which gets a blank before the text, and a piece tokenizer, which adds it itself."""
 
@@ -112,36 +91,64 @@ class Aligner:
             raise ValueError("the piece tokenizer joins words")
         self.base = len(pieces)
         self.dtype = np.dtype("<u4" if len(self.a_bytes) * self.base <= 1 << 32 else "<u8")
-        self.memo_words, self.memo = memo_words, _Memo(self.whole)
-
-    def whole(self, text: str) -> Aligned | None:
-        """One text aligned at once; None if a side does not give its bytes back."""
-        want = b" " + text.encode()
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        raw_a, raw_b = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(raw_a) != want or b"".join(raw_b) != want:
-            return None
-        ends_a, ends_b = (list(accumulate(map(len, raw))) for raw in (raw_a, raw_b))
-        shown, links = [], []
-        found = groups_of(ends_a, ends_b)
-        for own_a, own_b in found:
-            shown.append(",".join(str(a[i]) for i in own_a) + "|" + ",".join(str(b[j]) for j in own_b))
-            at = {ends_b[j]: b[j] for j in own_b}
-            links += [a[i] * self.base + at[ends_a[i]] for i in own_a if ends_a[i] in at]
-        return Aligned(len(a), len(b), len(found), ";".join(shown), np.array(links, self.dtype).tobytes())
-
-    def align(self, text: str | None) -> Aligned:
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        # ids as text, with what follows them: another of the group, the other side, the next group
+        self.shown = np.array([f"{k}{end}" for own, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for k in range(len(own))], object)
+        self.memo_words, self.memo = memo_words, {}
+
+    def several(self, texts: list[str]) -> list[Aligned | None]:
+        """Texts aligned at once, each on its own; None for one of which a side does not give its bytes back."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        out: list[Aligned | None] = [None] * len(texts)
+        good = []
+        for k, text in enumerate(texts):
+            want = b" " + text.encode()
+            if b"".join([self.a_bytes[x] for x in a[k]]) == want and b"".join([self.b_bytes[x] for x in b[k]]) == want:
+                good.append(k)
+        if not good:
+            return out
+        n_a, n_b = (np.array([len(own[k]) for k in good]) for own in (a, b))
+        ids_a, ids_b = (np.array([x for k in good for x in own[k]], np.int64) for own in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        group_a, group_b = groups_of(ends_a, ends_b)  # a text ends a token of both sides, so none joins two texts
+        # the members of each group, one side after the other, as text
+        last_a, last_b = np.append(np.diff(group_a), 1), np.append(np.diff(group_b), 1)
+        shown = np.concatenate([ids_a + last_a * len(self.a_bytes), 2 * len(self.a_bytes) + ids_b + last_b * len(self.b_bytes)])
+        shown = self.shown[shown[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]].tolist()
+        # the members of each group that end together
+        mate = np.searchsorted(ends_b, ends_a)
+        linked = np.flatnonzero((ends_b[mate] == ends_a) & (group_b[mate] == group_a))
+        links = (ids_a[linked] * self.base + ids_b[mate[linked]]).astype(self.dtype).tobytes()
+        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
+        stop_links = np.searchsorted(linked, stop_a) * self.dtype.itemsize
+        groups = np.diff(group_a[stop_a - 1], prepend=-1)
+        lo = lo_links = 0
+        for k, x, y, g, hi, hi_links in zip(good, n_a.tolist(), n_b.tolist(), groups.tolist(), (stop_a + stop_b).tolist(), stop_links.tolist(), strict=True):
+            out[k] = Aligned(x, y, g, "".join(shown[lo:hi])[:-1], links[lo_links:hi_links])
+            lo, lo_links = hi, hi_links
+        return out
+
+    def align(self, texts: list[str | None]) -> list[Aligned]:
         """Null, empty and texts that do not come back byte by byte have no tokens."""
-        if not text:
-            return NOTHING
-        words = [w[1:] for w in _WORDS.split(" " + text)] if _UNEVEN.search(text) else text.split(" ")
-        parts = [self.memo[w] for w in words]
+        words = [None if not t else [w[1:] for w in _WORDS.split(" " + t)] if _UNEVEN.search(t) else t.split(" ") for t in texts]
         if len(self.memo) > self.memo_words:
             self.memo.clear()
-        if None in parts:
-            return self.whole(text) or NOTHING
-        n_a, n_b, n_groups, groups, links = zip(*parts, strict=True)
-        return Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
+        memo = self.memo
+        new = list({w for own in words if own for w in own if w not in memo})
+        memo.update(zip(new, self.several(new), strict=True))
+        out = []
+        for text, own in zip(texts, words, strict=True):
+            if not own:
+                out.append(NOTHING)
+                continue
+            parts = [memo[w] for w in own]
+            if None in parts:
+                out.append(self.several([text])[0] or NOTHING)
+            else:
+                n_a, n_b, n_groups, groups, links = zip(*parts, strict=True)
+                out.append(Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -166,8 +173,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, groups: bool = Fal
         both = aligner(byte_path, piece_path, memo_words)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = both.align(text)
+            for doc_id, own in zip(batch.column(0).to_pylist(), both.align(batch.column(1).to_pylist()), strict=True):
                 pairs, times = np.unique(np.frombuffer(own.links, both.dtype), return_counts=True)
                 digest = sha256(own.groups.encode()).hexdigest() if own.n_a else ""
                 out.append((doc_id, own.n_a, own.n_b, own.n_groups, int(times.sum()), digest, pairs.tobytes(), times.astype("<u4").tobytes(), own.groups if groups else None))

@@ -5,6 +5,7 @@ from collections import Counter
 from hashlib import sha256
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import components, prose
@@ -69,12 +70,11 @@ def test_components_are_the_groups_between_shared_ends():
     r = random.Random(1)
     for _ in range(300):
         last = r.randint(1, 40)
-        a, b = (sorted({last, *(r.randint(1, last) for _ in range(r.randint(0, 12)))}) for _ in range(2))
-        cuts = sorted(set(a) & set(b))
-        want = [([i for i, e in enumerate(a) if lo < e <= hi], [j for j, e in enumerate(b) if lo < e <= hi]) for lo, hi in zip([0, *cuts], cuts)]
-        assert groups_of(a, b) == want
+        a, b = (np.array(sorted({last, *(r.randint(1, last) for _ in range(r.randint(0, 12)))})) for _ in range(2))
+        cuts = sorted(set(a.tolist()) & set(b.tolist()))
+        assert [x.tolist() for x in groups_of(a, b)] == [[sum(c < e for c in cuts) for e in own] for own in (a, b)]
         near = {(i, j) for i in range(len(a)) for j in range(len(b)) if max([0, *a][i], [0, *b][j]) < min(a[i], b[j])}
-        assert set(overlaps(a, b)) == near
+        assert set(zip(*(x.tolist() for x in overlaps(a, b)), strict=True)) == near
 
 
 def test_union_find():
@@ -82,7 +82,8 @@ def test_union_find():
     for _ in range(100):
         n = r.randint(1, 30)
         edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 30))]
-        assert union_find(n, edges) == list(components(range(n), edges).values())
+        u, v = (np.array([e[k] for e in edges], int) for k in (0, 1))
+        assert union_find(n, u, v).tolist() == list(components(range(n), edges).values())
 
 
 @pytest.mark.parametrize("memo_words, block_pairs", [(5, 40), (10**6, 10**6)])
