@@ -1,7 +1,7 @@
 """Predicted instances against reference instances: matching, error statistics, histograms, scores.
 
-Nothing fixes how instances are matched, on which side of the threshold equality falls, or how errors are signed.  Here: the pair must be the best partner of both sides, equality counts, and an error
-is prediction minus reference, relative to the reference.
+Nothing fixes how instances are matched, on which side of the threshold equality falls, or how errors are signed.  Here: a pair must be the best partner of both sides (or, by the ``_once`` functions, of
+those that better pairs leave), equality counts, and an error is prediction minus reference, relative to the reference.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import Written
+
 # Edges of the relative-error bins in percent; the last bin is open.
 ERROR_EDGES = (0, 5, 10, 20, 30, 50, 100)
 # Percentiles of the statistics.
@@ -26,42 +28,92 @@ def overlap(left: str, right: str):
     return F.coalesce(w * h / F.nullif(area(a) + area(b) - w * h, F.lit(0.0)), F.lit(0.0))
 
 
-def match_boxes(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id", tile: float = 64.0) -> DataFrame:
-    """``image, ref_id, pred_id, iou`` of the mutual best matches of ``(image, id, x1, y1, x2, y2)`` rows.
+def box_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str = "image_id") -> DataFrame:
+    """``key, r_id, p_id, iou`` of all pairs of ``(key, id, x1, y1, x2, y2)`` rows that overlap by ``threshold`` at least.
 
-    A range join over a grid of tiles.  Where two boxes overlap by ``t``, their centres are at most ``(1 - t) / 2t`` widths (and heights) of either one
-    apart.  So a reference box is filed once, under the tile of its centre, and a predicted one under the tiles where such a centre can lie: every
-    pair meets in one tile only.  ``threshold`` is over 0 and at most 1; ties go to the smaller id; boxes with a null or NaN coordinate match nothing.
+    A range join over grids of several sizes.  Boxes that overlap by ``t`` have widths (and heights) within a factor of ``1 / t``, and
+    their centres are at most ``(1 - t) / 2t`` widths of either one apart.  So a left box is filed once, in the grid of its own size
+    under the tile of its centre; a right one in the grids of the sizes that a partner can have, under the one or two tiles a side
+    where its centre can lie: a bounded number of rows however large a box is, and every pair meets once.  ``threshold`` is over 0
+    and at most 1; boxes with a null, NaN or infinite coordinate and those without an area overlap nothing.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"the threshold must be over 0 and at most 1, not {threshold}")
-    reach = (1 - threshold) / (2 * threshold)
+    base, reach = max(4.0, 1 / threshold), (1 - threshold) / (2 * threshold)
+    side = max(1.0, 2 * reach)  # of a tile, in largest widths of its grid
 
     def boxes(df: DataFrame, p: str) -> DataFrame:
         sides = [F.col(c).cast("double").alias(p + c) for c in ("x1", "y1", "x2", "y2")]
-        valid = [F.col(p + c).isNotNull() & ~F.isnan(p + c) for c in ("x1", "y1", "x2", "y2")]
-        return df.select(F.col(key).alias(key), F.col("id").alias(p + "id"), *sides).where(valid[0] & valid[1] & valid[2] & valid[3])
+        sized = [(F.col(f"{p}{c}1") + F.col(f"{p}{c}2")) / 2 for c in "xy"], [F.col(f"{p}{c}2") - F.col(f"{p}{c}1") for c in "xy"]
+        rows = df.select(F.col(key).alias(key), F.col("id").alias(p + "id"), *sides)
+        rows = rows.select("*", *[x.alias(f"{p}m{c}") for c, x in zip("xy", sized[0], strict=True)], *[x.alias(f"{p}w{c}") for c, x in zip("xy", sized[1], strict=True)])
+        finite = None
+        for c in ("wx", "wy"):  # the width of a box with an unknown or endless side is not a number over 0 under infinity
+            own = (F.col(p + c) > 0) & (F.col(p + c) < float("inf"))
+            finite = own if finite is None else finite & own
+        return rows.where(finite)
+
+    def level(width):  # the grid of a width
+        return F.floor(F.log(width) / F.log(F.lit(base))).cast("int")
+
+    def tile(middle, grid):
+        return F.round(middle / (F.pow(F.lit(base), grid + 1) * side))
+
+    def places(c: str):
+        """Every grid and tile of one axis where a partner's centre can lie."""
+        middle, width = F.col(f"p_m{c}"), F.col(f"p_w{c}")
+        grids = F.sequence(level(width * threshold * (1 - 1e-9)), level(width / threshold * (1 + 1e-9)))
+
+        def tiles(grid):
+            far = F.least(width, F.pow(F.lit(base), grid + 1)) * reach * (1 + 1e-9) + F.abs(middle) * 1e-12  # for rounding
+            first, last = tile(middle - far, grid), tile(middle + far, grid)
+            return F.transform(F.sequence(F.lit(0), (last - first).cast("int")), lambda k: F.struct(grid.alias("grid"), (first + k).alias("tile")))
+
+        return F.explode(F.flatten(F.transform(grids, tiles)))
+
+    ref = boxes(left, "r_")
+    ref = ref.select("*", *[level(F.col(f"r_w{c}")).alias(f"g{c}") for c in "xy"])
+    ref = ref.select("*", *[tile(F.col(f"r_m{c}"), F.col(f"g{c}")).alias(f"t{c}") for c in "xy"])
+    pred = boxes(right, "p_").select("*", places("x").alias("px")).select("*", places("y").alias("py"))
+    pred = pred.select("*", *[F.col(f"p{c}.grid").alias(f"g{c}") for c in "xy"], *[F.col(f"p{c}.tile").alias(f"t{c}") for c in "xy"])
+    pairs = ref.join(pred, [key, "gx", "gy", "tx", "ty"]).withColumn("iou", overlap("r_", "p_"))
+    return pairs.where(F.col("iou") >= threshold).select(key, "r_id", "p_id", "iou")
+
+
+def match_boxes(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id") -> DataFrame:
+    """``image, ref_id, pred_id, iou`` of the mutual best matches of ``(image, id, x1, y1, x2, y2)`` rows; ties go to the smaller id.
+
+    Boxes as in :func:`box_pairs`.
+    """
+    return mutual_best(box_pairs(reference, predicted, threshold, key), key)
 
-    def tiles(c: str):
-        middle, far = (F.col(f"p_{c}1") + F.col(f"p_{c}2")) / 2, F.abs(F.col(f"p_{c}2") - F.col(f"p_{c}1")) * reach + 1e-6  # the last for rounding
-        return F.explode(F.sequence(F.floor((middle - far) / tile), F.floor((middle + far) / tile)))
 
-    ref = boxes(reference, "r_").select("*", *[F.floor((F.col(f"r_{c}1") + F.col(f"r_{c}2")) / 2 / tile).alias(f"t{c}") for c in "xy"])
-    pred = boxes(predicted, "p_").select("*", tiles("x").alias("tx")).select("*", tiles("y").alias("ty"))
-    return mutual_best(ref.join(pred, [key, "tx", "ty"]).withColumn("iou", overlap("r_", "p_")).where(F.col("iou") >= threshold), key)
+def match_boxes_once(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id") -> DataFrame:
+    """As :func:`match_boxes`, but matched one to one until no pair is left; see :func:`one_to_one`."""
+    return one_to_one(box_pairs(reference, predicted, threshold, key), key)
 
 
-def match_masks(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id") -> DataFrame:
-    """``image, ref_id, pred_id, iou`` of the mutual best matches of masks, given as pixel rows ``(image, id, x, y)``.
+def mask_pairs(reference: DataFrame, predicted: DataFrame, threshold: float, key: str = "image_id") -> DataFrame:
+    """``key, r_id, p_id, iou`` of all pairs of masks that overlap by ``threshold`` at least, from pixel rows ``(key, id, x, y)``.
 
-    Pixels of one image meet by their place, so only masks that share one are compared; repeated pixels count once, ties go to the smaller id.
+    Pixels of one image meet by their place, so only masks that share one are compared; repeated pixels count once.
     """
     ref, pred = (df.select(key, F.col("id").alias(n), "x", "y").distinct() for df, n in ((reference, "r_id"), (predicted, "p_id")))
     common = ref.join(pred, [key, "x", "y"]).groupBy(key, "r_id", "p_id").agg(F.count("*").alias("common"))
     sizes = [df.groupBy(key, n).agg(F.count("*").alias(size)) for df, n, size in ((ref, "r_id", "r_size"), (pred, "p_id", "p_size"))]
     pairs = common.join(sizes[0], [key, "r_id"]).join(sizes[1], [key, "p_id"])
     iou = F.col("common") / (F.col("r_size") + F.col("p_size") - F.col("common"))
-    return mutual_best(pairs.withColumn("iou", iou).where(F.col("iou") >= threshold), key)
+    return pairs.withColumn("iou", iou).where(F.col("iou") >= threshold).select(key, "r_id", "p_id", "iou")
+
+
+def match_masks(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id") -> DataFrame:
+    """``image, ref_id, pred_id, iou`` of the mutual best matches of masks, given as pixel rows ``(image, id, x, y)``; ties go to the smaller id."""
+    return mutual_best(mask_pairs(reference, predicted, threshold, key), key)
+
+
+def match_masks_once(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id") -> DataFrame:
+    """As :func:`match_masks`, but matched one to one until no pair is left; see :func:`one_to_one`."""
+    return one_to_one(mask_pairs(reference, predicted, threshold, key), key)
 
 
 def mutual_best(scored: DataFrame, key: str) -> DataFrame:
@@ -76,6 +128,68 @@ def mutual_best(scored: DataFrame, key: str) -> DataFrame:
     return twice.where("_n = 2").select(key, "ref_id", "pred_id", "iou")
 
 
+def one_to_one(scored: DataFrame, key: str) -> DataFrame:
+    """``key, ref_id, pred_id, iou``: what taking pairs by descending ``iou`` gives, each instance once; ties go to the smaller ids.
+
+    A pair that is the best of both its sides is taken whatever comes after, so each round takes all such pairs at once and drops the
+    pairs that share an instance with one, until none is left.  Every round writes what is left to the shared folder, and its joins
+    are by instance; the best pair of all is always among those taken, so rounds end.
+    """
+    left = Written(scored.select(key, "r_id", "p_id", "iou"), "pairs")
+    taken: list[Written] = []
+    while not left.rows.isEmpty():
+        taken.append(Written(mutual_best(left.rows, key), "matched"))
+        rows = left.rows
+        for own, side in (("r_id", "ref_id"), ("p_id", "pred_id")):
+            used = taken[-1].rows.select(F.col(key), F.col(side).alias(own))
+            rows = rows.join(used, [key, own], "left_anti")
+        done, left = left, Written(rows.select(key, "r_id", "p_id", "iou"), "pairs")
+        done.drop()
+    found = mutual_best(left.rows, key)
+    left_over = [t.rows for t in taken]
+    for rows in left_over:
+        found = found.unionByName(rows)
+    return found
+
+
+def suppressed(boxes: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("image_id", "class_name"), order: Sequence[str] = ("id",)) -> DataFrame:
+    """``keys.., id`` of the boxes ``(keys.., id, confidence, x1, y1, x2, y2)`` that a better kept one of the same keys overlaps by more than ``threshold``.
+
+    Boxes are better by descending confidence, nulls last, then by ``order``, which must leave no ties within the keys.  Serial rule:
+    from the best on, a box is kept unless a kept one overlaps it.  As rounds: a box that nothing better overlaps is kept, what it
+    overlaps goes, and with it all that those would have dropped; what is left is looked at again, until no overlap is left.
+    ``id`` tells the boxes of the keys apart.  Null keys are a key of their own.  Boxes without an area or with a coordinate that is
+    null or not finite overlap nothing and are kept.
+    """
+    names = list(keys)
+    named = boxes.select(F.struct(*names).alias("_key"), F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("low"), *order, F.col("id").alias("_id")).alias("id"), "x1", "y1", "x2", "y2")
+    pairs = box_pairs(named, named, threshold, "_key").where((F.col("iou") > threshold) & (F.col("r_id") < F.col("p_id")))
+    left, gone = Written(pairs.select("_key", F.col("r_id").alias("better"), F.col("p_id").alias("worse")), "overlaps"), []
+    while not left.rows.isEmpty():
+        rows = left.rows
+        first = rows.join(rows.select("_key", F.col("worse").alias("better")).distinct(), ["_key", "better"], "left_anti")
+        gone.append(Written(first.select("_key", "worse").distinct(), "suppressed"))
+        out = gone[-1].rows
+        for side in ("better", "worse"):
+            rows = rows.join(out.select("_key", F.col("worse").alias(side)), ["_key", side], "left_anti")
+        done, left = left, Written(rows.select("_key", "better", "worse"), "overlaps")
+        done.drop()
+    found = left.rows.select("_key", "worse")
+    for own in gone:
+        found = found.unionByName(own.rows)
+    return found.select(*[F.col("_key")[k].alias(k) for k in names], F.col("worse._id").alias("id"))
+
+
+def kept_boxes(boxes: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("image_id", "class_name"), order: Sequence[str] = ("id",)) -> DataFrame:
+    """The rows of ``boxes`` that :func:`suppressed` does not name."""
+    out = suppressed(boxes, threshold, keys, order)
+    same = None
+    for k in (*keys, "id"):  # null keys too
+        own = boxes[k].eqNullSafe(out[k])
+        same = own if same is None else same & own
+    return boxes.join(out, same, "left_anti")
+
+
 def scores(reference: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: instance counts, misses, false predictions, precision, recall and F1 (null where they are not defined)."""
     counts = [df.agg(F.count("*").alias(n)) for df, n in ((reference, "reference"), (predicted, "predicted"), (matches, "matched"))]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import compactness
-from ..operators import aggregates, evaluate, selection, shape
+from ..operators import aggregates, evaluate, runs, selection, shape
 from ..schemas import FEATURES
 
 KEYS = ["image_id", "ann"]
@@ -110,6 +110,25 @@ def mask_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(shape.features(pixels(spark, sf_dir), KEYS, HEIGHT, WIDTH))
 
 
+def run_mask_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten features from runs; each mask is an image of its own here, black where it has no pixels."""
+    own = pixels(spark, sf_dir).withColumn("mask", F.col("image_id") * 4 + F.col("ann"))
+    frame = own.select("mask").distinct().select("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))).alias("x"))
+    frame = frame.select("mask", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HEIGHT - 1).cast("long"))).alias("y"))
+    image = frame.join(own.select("mask", "x", "y", "b", "g", "r"), ["mask", "x", "y"], "left").na.fill(0, ["b", "g", "r"])
+    found = runs.features(runs.runs_of_pixels(own, ["mask"]), runs.column_sums(image, "mask"), ["mask"], HEIGHT, WIDTH)
+    return _rounded(found.select(F.floor(F.col("mask") / 4).alias("image_id"), (F.col("mask") % 4).alias("ann"), *FEATURES))
+
+
+def run_mask_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each mask without its image's next one, by run-length codes there and back."""
+    own = runs.runs_of_pixels(pixels(spark, sf_dir), KEYS)
+    coded = runs.counts_of_runs(own, KEYS, HEIGHT, WIDTH)
+    back = runs.runs_of_counts(coded, KEYS)
+    rest = runs.combine(back, back.withColumn("ann", (F.col("ann") + 1) % 4), KEYS, "minus")
+    return coded.select(*KEYS, F.size("counts").cast("bigint").alias("n_counts")).join(runs.extent(rest, KEYS), KEYS, "left").select(*KEYS, "n_counts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("area", "w", "h")])
+
+
 def mean_median_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median rows of all ten features; two further images have no masks."""
     feats = shape.features(pixels(spark, sf_dir), KEYS, HEIGHT, WIDTH)
@@ -207,7 +226,18 @@ def _boxes(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
 
 
 def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.match_boxes(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 1), tile=16.0))
+    return _rounded(evaluate.match_boxes(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 1)))
+
+
+def one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.match_boxes_once(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 1)))
+
+
+def box_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of all lines with a confidence that has ties; two classes."""
+    rows = _boxes(spark, sf_dir, 0).unionByName(_boxes(spark, sf_dir, 1))
+    rows = rows.withColumn("class_name", F.when(F.col("id") % 3 == 0, "a").otherwise("b")).withColumn("confidence", (F.col("id") % 17) / 17)
+    return evaluate.kept_boxes(rows, 0.4).select("image_id", "class_name", "id")
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -220,6 +250,15 @@ def mask_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.match_masks(*_masks(spark, sf_dir), threshold=0.3))
 
 
+def mask_one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.match_masks_once(*_masks(spark, sf_dir), threshold=0.1))
+
+
+def run_mask_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [runs.runs_of_pixels(m, ["image_id", "id"]) for m in _masks(spark, sf_dir)]
+    return _rounded(evaluate.mutual_best(runs.run_pairs(*own, threshold=0.3), "image_id"))
+
+
 def mask_pixel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pixels(spark, sf_dir)
     image = own.where("x < 30").groupBy("image_id", "x", "y").agg(*[F.max(c).alias(c) for c in ("b", "g", "r")])
@@ -229,7 +268,7 @@ def mask_pixel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def precision_recall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, predicted = _boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 1)
-    return _rounded(evaluate.scores(reference, predicted, evaluate.match_boxes(reference, predicted, tile=16.0)))
+    return _rounded(evaluate.scores(reference, predicted, evaluate.match_boxes(reference, predicted)))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,9 +289,9 @@ def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        mask_shape, mask_perimeter, mask_compactness, mask_fractal_dimension, colour_brightness, mask_features, mean_median_rows, floc_table_order, class_counts_pivot,
+        mask_shape, mask_perimeter, mask_compactness, mask_fractal_dimension, colour_brightness, mask_features, run_mask_features, run_mask_codes, run_mask_match, mean_median_rows, floc_table_order, class_counts_pivot,
         topk_after_filter, topk_before_filter, instance_number, paired_results, category_rank, label_lookup, missing_classes, left_join_coalesce, detection_documents,
-        run_manifest, iou_match, mask_iou_match, mask_pixel_join, precision_recall_f1, error_statistics, error_histogram,
+        run_manifest, iou_match, one_to_one_match, box_suppression, mask_iou_match, mask_one_to_one_match, mask_pixel_join, precision_recall_f1, error_statistics, error_histogram,
     )
 }
 
@@ -274,6 +313,24 @@ _MATCH = f"""ref AS ({_box_sql(0)}), pred AS ({_box_sql(1)}), pairs AS (
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY image_id, ref_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, ref_id) AS b FROM scored
 ), matched AS (SELECT image_id, ref_id, pred_id, iou FROM ranked WHERE a = 1 AND b = 1)"""
+_MASKS = f"""{_PX}, pred AS (SELECT image_id, ann, x + image_id % 2 * (ann % 2) AS x, y FROM px WHERE g < 180),
+sizes AS (SELECT image_id, ann, count(*) AS n FROM px GROUP BY ALL), psizes AS (SELECT image_id, ann, count(*) AS n FROM pred GROUP BY ALL),
+common AS (SELECT r.image_id, r.ann AS ref_id, p.ann AS pred_id, count(*) AS n FROM px r JOIN pred p USING (image_id, x, y) GROUP BY ALL),
+over AS (SELECT c.image_id, ref_id, pred_id, c.n / (s.n + q.n - c.n) AS iou FROM common c JOIN sizes s ON s.image_id = c.image_id AND s.ann = ref_id JOIN psizes q ON q.image_id = c.image_id AND q.ann = pred_id)"""
+
+
+def _greedy(scored: str) -> str:
+    """Pairs by descending overlap, each instance once: rounds over ``scored(image_id, ref_id, pred_id, iou)``."""
+    ranks = "row_number() OVER (PARTITION BY image_id, ref_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, ref_id) AS b"
+    return f"""g AS (
+  SELECT image_id, ref_id, pred_id, iou, {ranks} FROM {scored}
+  UNION ALL
+  SELECT image_id, ref_id, pred_id, iou, {ranks} FROM (
+    SELECT *, max(CASE WHEN a = 1 AND b = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, ref_id) AS r_out, max(CASE WHEN a = 1 AND b = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, pred_id) AS p_out FROM g
+  ) WHERE r_out = 0 AND p_out = 0
+) SELECT image_id, ref_id, pred_id, round(round(iou, 11), 6) + 0.0 AS iou FROM g WHERE a = 1 AND b = 1"""
+
+
 _PAIRS = """pairs AS (
   SELECT l_returnflag, abs(p - r) AS absolute_error, 100 * abs(p - r) / nullif(abs(r), 0) AS relative_error_pct, p - r AS signed_error
   FROM (SELECT l_returnflag, l_extendedprice AS r, l_extendedprice * (1 - l_discount * 3) AS p FROM lineitem)
@@ -296,6 +353,16 @@ ORACLE_SQL: dict[str, str] = {
     "mask_fractal_dimension": f"WITH {_ALL} SELECT image_id, ann, {_r('fractal_dimension')} FROM feat",
     "colour_brightness": f"WITH {_PX}, {_COLOUR} SELECT image_id, ann, {_r('mean_brightness', 'std_brightness', 'mean_r', 'mean_g', 'mean_b')} FROM colour",
     "mask_features": f"WITH {_ALL} SELECT image_id, ann, {_r(*FEATURES)} FROM feat",
+    "run_mask_features": f"WITH {_ALL} SELECT image_id, ann, {_r(*FEATURES)} FROM feat",
+    "run_mask_codes": f"""WITH {_PX}, frame AS (
+  SELECT m.image_id, m.ann, i, p.x IS NOT NULL AS here FROM (SELECT DISTINCT image_id, ann FROM px) m CROSS JOIN range({_FRAME}) t(i)
+  LEFT JOIN px p ON p.image_id = m.image_id AND p.ann = m.ann AND p.x * {HEIGHT} + p.y = i
+), turns AS (
+  SELECT image_id, ann, count(*) FILTER (WHERE here <> before) + 1 AS n_counts FROM (SELECT *, coalesce(lag(here) OVER (PARTITION BY image_id, ann ORDER BY i), false) AS before FROM frame) GROUP BY ALL
+), rest AS (
+  SELECT p.image_id, p.ann, count(*) AS area, max(p.x) - min(p.x) + 1 AS w, max(p.y) - min(p.y) + 1 AS h FROM px p
+  WHERE NOT EXISTS (SELECT 1 FROM px o WHERE o.image_id = p.image_id AND (o.ann + 1) % 4 = p.ann AND o.x = p.x AND o.y = p.y) GROUP BY ALL
+) SELECT t.image_id, t.ann, n_counts, coalesce(area, 0) AS area, coalesce(w, 0) AS w, coalesce(h, 0) AS h FROM turns t LEFT JOIN rest r ON r.image_id = t.image_id AND r.ann = t.ann""",
     "mean_median_rows": f"""WITH {_ALL}, images AS (SELECT DISTINCT image_id FROM feat UNION SELECT i FROM range(50, 52) t(i))
 SELECT i.image_id, s.kind AS row_type, count(f.ann) AS floc_count, {_STATS}
 FROM images i CROSS JOIN (VALUES ('mean'), ('median')) AS s(kind) LEFT JOIN feat f ON f.image_id = i.image_id GROUP BY i.image_id, s.kind""",
@@ -323,11 +390,32 @@ LEFT JOIN (SELECT user_id, {_COUNTS} FROM events GROUP BY 1) e ON e.user_id = c_
 SELECT d.origin, count(s.t) AS n, coalesce(string_agg(s.t, ';' ORDER BY s.pos), '') AS objects FROM (SELECT DISTINCT origin FROM det) d LEFT JOIN shown s USING (origin) GROUP BY d.origin""",
     "run_manifest": f"WITH {_PX} SELECT (SELECT count(*) FROM customer) AS images_processed, (SELECT count(*) FROM (SELECT DISTINCT image_id, ann FROM px)) AS flocs_detected, (SELECT count(*) FROM events) AS microorganisms_detected",
     "iou_match": f"WITH {_MATCH} SELECT image_id, ref_id, pred_id, round(round(iou, 11), 6) + 0.0 AS iou FROM matched",
-    "mask_iou_match": f"""WITH {_PX}, pred AS (SELECT image_id, ann, x + image_id % 2 * (ann % 2) AS x, y FROM px WHERE g < 180),
-sizes AS (SELECT image_id, ann, count(*) AS n FROM px GROUP BY ALL), psizes AS (SELECT image_id, ann, count(*) AS n FROM pred GROUP BY ALL),
-common AS (SELECT r.image_id, r.ann AS ref_id, p.ann AS pred_id, count(*) AS n FROM px r JOIN pred p USING (image_id, x, y) GROUP BY ALL),
-scored AS (SELECT c.image_id, ref_id, pred_id, c.n / (s.n + q.n - c.n) AS iou FROM common c JOIN sizes s ON s.image_id = c.image_id AND s.ann = ref_id JOIN psizes q ON q.image_id = c.image_id AND q.ann = pred_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, ref_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, ref_id) AS b FROM scored WHERE iou >= 0.3)
+    "one_to_one_match": f"WITH RECURSIVE {_MATCH}, {_greedy('scored')}",
+    "box_suppression": f"""WITH RECURSIVE boxes AS (
+  SELECT *, CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS class_name, -(id % 17) AS low FROM ({_box_sql(0)} UNION ALL {_box_sql(1)})
+), meet AS (
+  SELECT a.image_id, a.class_name, a.id AS better, b.id AS worse, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS both_areas,
+    greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS common
+  FROM boxes a JOIN boxes b USING (image_id, class_name) WHERE (a.low, a.id) < (b.low, b.id)
+), over AS (
+  SELECT better, worse FROM meet WHERE common > 0 AND common / (both_areas - common) > 0.4
+), g AS (
+  SELECT better, worse, better NOT IN (SELECT worse FROM over) AS first FROM over
+  UNION ALL
+  SELECT better, worse, has_better = 0 FROM (
+    SELECT *, max(role) OVER (PARTITION BY node) AS has_better FROM (
+      SELECT *, max(gone) OVER (PARTITION BY better, worse) AS either_gone FROM (
+        SELECT *, max(CASE WHEN role = 1 AND first THEN 1 ELSE 0 END) OVER (PARTITION BY node) AS gone FROM (
+          SELECT *, CASE WHEN role = 0 THEN better ELSE worse END AS node FROM (SELECT better, worse, first, unnest([0, 1]) AS role FROM g)))
+    ) WHERE either_gone = 0
+  ) WHERE role = 0
+) SELECT image_id, class_name, id FROM boxes WHERE id NOT IN (SELECT worse FROM g WHERE first)""",
+    "mask_one_to_one_match": f"WITH RECURSIVE {_MASKS}, scored AS (SELECT * FROM over WHERE iou >= 0.1), {_greedy('scored')}",
+    "mask_iou_match": f"""WITH {_MASKS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, ref_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, ref_id) AS b FROM over WHERE iou >= 0.3)
+SELECT image_id, ref_id, pred_id, round(round(iou, 11), 6) + 0.0 AS iou FROM ranked WHERE a = 1 AND b = 1""",
+    "run_mask_match": f"""WITH {_MASKS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, ref_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, ref_id) AS b FROM over WHERE iou >= 0.3)
 SELECT image_id, ref_id, pred_id, round(round(iou, 11), 6) + 0.0 AS iou FROM ranked WHERE a = 1 AND b = 1""",
     "mask_pixel_join": f"""WITH {_PX}, image AS (SELECT image_id, x, y, max(b) AS b, max(g) AS g, max(r) AS r FROM px WHERE x < 30 GROUP BY ALL)
 SELECT p.image_id, p.ann, count(*) AS n, round(round(avg(i.b), 11), 6) + 0.0 AS mean_b, round(round(avg(i.g), 11), 6) + 0.0 AS mean_g, round(round(avg(i.r), 11), 6) + 0.0 AS mean_r FROM px p JOIN image i USING (image_id, x, y) GROUP BY ALL""",

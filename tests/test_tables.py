@@ -109,7 +109,7 @@ def test_box_matches_are_those_of_all_pairs(spark, threshold):
     kind = "image_id int, id int, x1 double, y1 double, x2 double, y2 double"
     odd = [(0, 900, None, 0.0, 1.0, 1.0), (0, 901, float("nan"), 0.0, 1.0, 1.0), (0, 902, 5.0, 5.0, 5.0, 5.0)]
     ref, pred = (spark.createDataFrame(rows + odd, kind) for rows in sides)
-    got = evaluate.match_boxes(ref, pred, threshold, tile=8.0).collect()
+    got = evaluate.match_boxes(ref, pred, threshold).collect()
     assert sorted((r["ref_id"], r["pred_id"]) for r in got) == want and len(want) > 20
     with pytest.raises(ValueError):
         evaluate.match_boxes(ref, pred, 0.0)
