@@ -307,9 +307,9 @@ def _level(capacity: int) -> Column:
     return (F.pmod(F.xxhash64("copy", "start"), F.lit(LEVELS)) + F.when(F.col("doc_tokens") <= capacity, LEVELS).otherwise(0)).cast("int")
 
 
-def place_pieces(pieces: DataFrame, capacity: int, classes: int = CLASSES) -> tuple[DataFrame, DataFrame]:
+def place_pieces(pieces: DataFrame, capacity: int, classes: int = CLASSES) -> tuple[DataFrame, DataFrame, Column]:
     """Places of ``pieces(copy, start, length, doc_tokens)``: of those that stay whole, ``copy, start, length, sequence_id, offset``, and of parts
-    of the others, with ``from``, the part's first token within its piece."""
+    of the others, with ``from``, the part's first token within its piece; and the condition by which a piece is one of the others."""
     spark = pieces.sparkSession
     leveled = pieces.withColumn("level", _level(capacity))
     counts = {(r["length"], r["level"]): r["count"] for r in leveled.groupBy("length", "level").count().collect()}  # lengths x levels at most
@@ -331,15 +331,16 @@ def place_pieces(pieces: DataFrame, capacity: int, classes: int = CLASSES) -> tu
     rest = spark.createDataFrame(sizes, "lo long, hi long, sequence_id long, used long")
     stream = leveled.where(F.col("level") < below).select("copy", "start", "length", F.lit(0).alias("group"))
     stream = running(stream, ["copy", "start"], "group", "length", "lo").select("lo", (F.col("lo") + F.col("length")).alias("hi"), "copy", "start")
-    return whole, pour(open_.unionByName(rows).unionByName(rest), stream)
+    return whole, pour(open_.unionByName(rows).unionByName(rest), stream), _level(capacity) < below
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, classes: int = CLASSES, memo_words: int = MEMO_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pack ``docs(doc_id, text)``: the pieces with their ids, the places of those that stay whole and of parts of the others.
 
     A null text is empty (the end id alone), a null ``doc_id`` is kept, repeated rows are packed each, other columns are ignored,
-    an empty table gives no rows.  ``capacity`` is a power of two.  The pieces ``doc_id, copy, start, length, doc_tokens, ids``
-    (little-endian unsigned 32-bit) are documents, or of longer ones parts of ``capacity`` and a shorter last one.
+    an empty table gives no rows.  ``capacity`` is a power of two.  The pieces ``doc_id, copy, start, length, doc_tokens, ids, cut``
+    (little-endian unsigned 32-bit ids) are documents, or of longer ones parts of ``capacity`` and a shorter last one; ``cut`` ones
+    are cut further.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError(f"the capacity must be a power of two, not {capacity}")
@@ -349,15 +350,16 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     length = F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("start")).cast("int").alias("length")
     pieces = cut.select("doc_id", "copy", "start", length, "doc_tokens", F.substring("ids", (4 * F.col("start") + 1).cast("int"), F.lit(4 * capacity)).alias("ids"))
     pieces = materialise(pieces, "pieces")
-    return pieces, *place_pieces(pieces.drop("ids"), capacity, classes)
+    whole, parts, cut = place_pieces(pieces.drop("ids"), capacity, classes)
+    return pieces.withColumn("cut", cut), whole, parts
 
 
 def cutting_digest(pieces: DataFrame, whole: DataFrame, parts: DataFrame) -> DataFrame:
     """One row per piece with its place and a checksum of its ids; only the ids of the pieces that are cut further are shuffled."""
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    narrow = pieces.select("copy", "doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", F.crc32("ids").alias("ids_crc32"))
+    narrow = pieces.where(~F.col("cut")).select("copy", "doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", F.crc32("ids").alias("ids_crc32"))
     first = narrow.join(whole.drop("length"), ["copy", "start"]).select(*columns)
-    ids = pieces.select("copy", "start", "doc_id", "doc_tokens", "ids").withColumn("level", F.lit(0))
+    ids = pieces.where("cut").select("copy", "start", "doc_id", "doc_tokens", "ids")
     own = F.substring("ids", (4 * F.col("from") + 1).cast("int"), 4 * F.col("length"))
     second = ids.join(parts, ["copy", "start"]).select(
         "doc_id", (F.col("start") + F.col("from")).alias("start"), F.col("length").cast("long").alias("length"), F.crc32(own).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"

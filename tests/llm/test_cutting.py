@@ -164,7 +164,7 @@ def test_few_documents_are_cut(spark, kind):
     capacity, n = 512, 20000
     lengths = lengths_of(kind, n, capacity, 6)
     rows = spark.createDataFrame([(k, 0, x, x) for k, x in enumerate(lengths)], "copy long, start long, length int, doc_tokens long").repartition(6)
-    whole, parts = (df.collect() for df in place_pieces(rows, capacity))
+    whole, parts = (df.collect() for df in place_pieces(rows, capacity)[:2])
     filled, own = Counter(), Counter()
     for r in [*whole, *parts]:
         filled[r["sequence_id"]] += r["length"]
