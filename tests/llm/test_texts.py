@@ -6,12 +6,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from brute import edit_distance_inside, prose, repeated_windows
 
 from maskmetrics.llm.decontamination import Items, allowed_edits, contaminated, decontaminate, find_items, plain
 from maskmetrics.llm.html_text import blocks_of, body_blocks, extract, labelled_page, labels_for, main_text, path_features, text_features, train, trained
 from maskmetrics.llm.language import UNKNOWN, counts_of, fit, predict, with_a_language
-from maskmetrics.llm.passages import compact_windows, cut_passages, matching_passages, repeated_passages, window_rows, without_words, word_hashes
+from maskmetrics.llm.passages import compact_windows, cut_passages, matching_passages, repeated_passages, text_numbers, window_rows, without_words, word_hashes
 
 # letters of made languages
 SOUNDS = {"aa": ["ka", "ro", "mi", "tu"], "bb": ["sch", "ein", "ung", "ver"], "cc": ["é", "eau", "ou", "que"]}
@@ -374,3 +375,16 @@ def test_text_after_unclosed_elements():
         assert text(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"]
     for start in ("<body><p>", "<p>", "", "<a href=x>"):
         assert text(f"<html><head><title>t</title><meta charset=x>{start}b") == ["b"]
+
+
+def test_texts_of_one_id_with_equal_hashes_stay_apart(spark, docs):
+    """Two texts of one id that agree in the bits that name a text: only the one with a repeat is cut."""
+    bits = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & 0x7FFFFFFF
+    shared, other = prose(71, 60), prose(72, 60)
+    first = {bits(f"{shared} t{k}"): f"{shared} t{k}" for k in range(150_000)}
+    twin = next(t for k in range(300_000) if bits(t := f"{other} u{k}") in first)
+    rows = [(1, shared), (5, first[bits(twin)]), (5, twin), (5, None), (None, twin), (5, twin)]
+    numbers = text_numbers(docs(rows).select("doc_id", "text"), "doc_id").where("doc_id = 5 and text is not null").distinct().collect()
+    assert sorted(r["h"] for r in numbers) == [-2, -1]
+    left = cut_passages(docs(rows), repeated_passages(docs(rows))).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"] and r["text"]) == sorted([(1, shared), (5, first[bits(twin)].split()[-1]), (5, twin), (5, twin)])
