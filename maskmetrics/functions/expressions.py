@@ -25,10 +25,19 @@ def same_name(a: Column, b: Column) -> Column:
     return F.lower(a) == F.lower(b)
 
 
+def unescaped(part: Column) -> Column:
+    """A part of a file's address with its escapes undone; a plus sign is not one."""
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
+def path_parts(origin: Column) -> Column:
+    """The names along a file's address, by which files are put in order."""
+    return F.transform(F.split(origin, "/"), unescaped)
+
+
 def file_name(origin: Column) -> Column:
-    """The last part of a file's address, with its escapes undone."""
-    last = F.element_at(F.split(origin, "/"), -1)
-    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+    """The last name of a file's address."""
+    return unescaped(F.element_at(F.split(origin, "/"), -1))
 
 
 def stem(name: Column) -> Column:

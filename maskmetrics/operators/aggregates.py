@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import finite
+from ..functions.expressions import finite, path_parts
 from ..schemas import COMBINED_MEANS, FEATURES, INSTANCE_COLUMNS
 
 
@@ -29,10 +29,10 @@ def statistic_rows(instances: DataFrame, images: DataFrame, values: Sequence[str
 def instance_table(instances: DataFrame, images: DataFrame) -> DataFrame:
     """The instance rows followed by the mean and median rows, with an explicit order.
 
-    ``instances(origin, image_id, annotation_id, <features>)``, ``images(origin, image_id)``.  ``sort_key`` orders the rows: instances by the parts of their image's path and
+    ``instances(origin, image_id, annotation_id, <features>)``, ``images(origin, image_id)``.  ``sort_key`` orders the rows: instances by the names along their image's path and
     number, then the ids in the order of their first image, mean before median.
     """
-    parts = F.split(F.col("origin"), "/")
+    parts = path_parts(F.col("origin"))
     rank = images.groupBy("image_id").agg(F.min(parts).alias("rank"))
     own = instances.select(
         "image_id", F.col("annotation_id").cast("bigint").alias("annotation_id"), F.lit("instance").alias("row_type"), F.lit(1).cast("bigint").alias("floc_count"), *FEATURES,

@@ -83,7 +83,46 @@ def binary_mask(values: np.ndarray, height: int, width: int) -> np.ndarray:
     return mask
 
 
-def pixels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """Image bytes as rows, columns and three channels: gray is repeated, a fourth channel dropped."""
+def pixels_of(data: bytes, height: int, width: int, channels: int, orientation: int = 1) -> np.ndarray:
+    """Image bytes as rows, columns and three channels: gray is repeated, a fourth channel dropped, and what a camera's mark asks for is turned."""
     image = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-    return np.repeat(image, 3, axis=2) if channels == 1 else image[..., :3]
+    return upright(np.repeat(image, 3, axis=2) if channels == 1 else image[..., :3], orientation)
+
+
+def upright(image: np.ndarray, orientation: int) -> np.ndarray:
+    """An image as its orientation mark, from 1 to 8, says it is to be seen: 5 to 8 change rows and columns, the others of each four mirror one or both."""
+    if orientation > 4:
+        image, orientation = image.swapaxes(0, 1), {5: 1, 6: 2, 7: 3, 8: 4}[orientation]
+    if orientation in (3, 4):
+        image = image[::-1]
+    if orientation in (2, 3):
+        image = image[:, ::-1]
+    return np.ascontiguousarray(image)
+
+
+def orientation_mark(head: bytes) -> int:
+    """The orientation mark in the first bytes of a JPEG file; 1, upright, without a valid one."""
+    at = 2 if head[:2] == b"\xff\xd8" else len(head)
+    while at + 4 <= len(head) and head[at] == 0xFF:
+        kind, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+        if kind == 0xFF:  # a fill byte
+            at += 1
+        elif kind == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
+            return _tag(head[at + 10 : at + 2 + size])
+        elif kind in (0xD9, 0xDA):  # the picture itself
+            break
+        else:
+            at += 2 + size
+    return 1
+
+
+def _tag(tiff: bytes) -> int:
+    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+    if order is None:
+        return 1
+    number = lambda at, n: int.from_bytes(tiff[at : at + n], order)
+    start = number(4, 4)
+    for at in range(start + 2, min(start + 2 + 12 * number(start, 2), len(tiff) - 11), 12):
+        if (number(at, 2), number(at + 2, 2)) == (0x0112, 3) and 1 <= number(at + 8, 2) <= 8:
+            return number(at + 8, 2)
+    return 1

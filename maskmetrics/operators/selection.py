@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import same_name, strip
+from ..sources.storage import Written
 
 
 def pair_results(outputs: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
@@ -68,6 +69,22 @@ def numbered(results: DataFrame, keys: Sequence[str], order: Sequence[str] = ("p
     return results.withColumn("annotation_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
 
+def row_numbers(rows: DataFrame, order: Sequence[str | Column], name: str = "row_number") -> DataFrame:
+    """``rows`` with their place from 1 in an order, over all rows and without a task that sees them all.
+
+    The rows are range-sorted; each task numbers its own, and one number a task, how many rows come before, is carried on.
+    ``order`` must leave no ties.
+    """
+    placed = Written(rows.orderBy(*order).withColumn("_own", F.monotonically_increasing_id()), "ordered").rows  # the task in the upper bits
+    task, own = F.shiftright("_own", 33).alias("_task"), F.col("_own").bitwiseAND(F.lit((1 << 33) - 1))
+    before, bases = 0, []
+    for row in sorted(placed.groupBy(task).count().collect()):
+        bases.append((row["_task"], before))
+        before += row["count"]
+    table = rows.sparkSession.createDataFrame(bases, "_task long, _base long")  # one row a task
+    return placed.withColumn("_task", task).join(F.broadcast(table), "_task").select(*rows.columns, (F.col("_base") + own + 1).alias(name))
+
+
 def missing_classes(configured: DataFrame, offered: DataFrame, column: str = "class_name") -> DataFrame:
     """Configured names that the model does not offer; case matters."""
     return configured.select(column).subtract(offered.select(column))

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import RunConfig, read_config
+from ..functions.expressions import path_parts
 from ..operators import aggregates
 from ..operators.kernel import mask_features, pixels_of
 from ..schemas import COMBINED_KEYS, FEATURES, HEADS, INSTANCE_COLUMNS, RESULTS
-from ..sources.images import check_images, find_images, read_categories, read_images
+from ..sources.hadoop import address_of, delete, make_folder
+from ..sources.images import check_images, read_categories, read_images, scan_images
 from ..sources.predictors import ModelPredictor, Predictor
-from ..sources.sinks import detection_items, write_csv, write_json
+from ..sources.sinks import write_csv, write_documents, write_json
+from ..sources.storage import Written
 
 # Names of the result files.
 OUTPUTS = ("floc_features.csv", "microorganism_detections.json", "microorganism_counts.csv", "combined_analysis.csv")
@@ -35,19 +38,19 @@ def predict(images: DataFrame, predictor: Predictor) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict[str, Any]] = []
-            for *head, width, channels, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *head, width, channels, data, orientation in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 origin, height = head[0], head[-1]
                 rows.append({**dict(zip(HEADS, head, strict=True)), "kind": "image"})
                 if height < 1:
                     continue
-                image = pixels_of(data, height, width, channels)
+                image = pixels_of(data, height, width, channels, orientation)
                 for pos, m in enumerate(predictor.segment(image)):
                     rows.append({"origin": origin, "kind": "mask", "pos": pos, "class_name": m.class_name, "confidence": float(m.confidence), **mask_features(image, m.pixels)})
                 for pos, b in enumerate(predictor.detect(image)):
                     rows.append({"origin": origin, "kind": "box", "pos": pos, "class_name": b.class_name, "confidence": float(b.confidence), "bbox_xyxy": [float(v) for v in b.bbox_xyxy]})
             yield pa.RecordBatch.from_pylist([{name: row.get(name) for name in kind.names} for row in rows], schema=kind)
 
-    return images.select(*HEADS, "width", "channels", "data").mapInArrow(run, RESULTS)
+    return images.select(*HEADS, "width", "channels", "data", "orientation").mapInArrow(run, RESULTS)
 
 
 def name_errors(config: RunConfig, predictor: Predictor) -> list[str]:
@@ -90,7 +93,7 @@ class Analysis:
         masks = masks.join(heads.select("origin", "image_id"), "origin").select("origin", "image_id", "annotation_id", *FEATURES)
         boxes = results.where("kind = 'box'").select("origin", "pos", "class_name", "bbox_xyxy", "confidence")
         counts = aggregates.class_counts(boxes, heads, classes)
-        by_path = F.split("origin", "/")
+        by_path = path_parts(F.col("origin"))
         return {
             "floc_features": aggregates.instance_table(masks, heads).orderBy("sort_key").drop("sort_key"),
             "microorganism_counts": heads.select("origin", "image_id").join(counts, "origin").orderBy(by_path),
@@ -100,28 +103,31 @@ class Analysis:
         }
 
     def run(self, source: str | Path, output: str | Path) -> dict[str, Any]:
-        """Analyse a file or folder and write the five result files; returns the summary.
+        """Analyse a file or folder and write the five result files, in any file system; returns the summary.
 
-        Nothing is written if an image or a model fails.
+        No file is written if an image or a model fails.  What the models say is written to the shared folder once, so that a lost
+        executor does not make them run again.
         """
-        paths = find_images(source)
-        output = Path(output).expanduser().resolve()
-        output.mkdir(parents=True, exist_ok=True)
-        images = read_images(self.spark, source)
-        results = predict(images, self.predictor).persist()
+        found, made = scan_images(self.spark, source), []
+        target = address_of(output).rstrip("/")
+        make_folder(self.spark, target)
         try:
-            heads = results.where("kind = 'image'").select(*HEADS)
-            check_images(heads, len(paths))  # a failing model fails here
-            tables = self.tables(heads, results)
-            write_csv(tables["floc_features"], output / OUTPUTS[0], INSTANCE_COLUMNS)
-            write_csv(tables["microorganism_counts"], output / OUTPUTS[2], ("image_id", *self.config.classes))
-            write_csv(tables["combined_analysis"], output / OUTPUTS[3], (*COMBINED_KEYS, *self.config.classes))
-            write_json(detection_items(tables["microorganism_detections"].toLocalIterator()), output / OUTPUTS[1])
+            images = read_images(self.spark, source, found, made)
+            results = Written(predict(images, self.predictor), "results")  # a failing model fails here
+            made.append(results.path)
+            heads = results.rows.where("kind = 'image'").select(*HEADS)
+            check_images(heads, found.count)
+            tables = self.tables(heads, results.rows)
+            write_csv(tables["floc_features"], f"{target}/{OUTPUTS[0]}", INSTANCE_COLUMNS)
+            write_csv(tables["microorganism_counts"], f"{target}/{OUTPUTS[2]}", ("image_id", *self.config.classes))
+            write_csv(tables["combined_analysis"], f"{target}/{OUTPUTS[3]}", (*COMBINED_KEYS, *self.config.classes))
+            write_documents(tables["microorganism_detections"], f"{target}/{OUTPUTS[1]}")
             summary = {**tables["run_summary"].first().asDict(), "outputs": list(OUTPUTS)}
-            write_json(summary, output / SUMMARY)
+            write_json(self.spark, summary, f"{target}/{SUMMARY}")
             return summary
         finally:
-            results.unpersist()
+            for path in made:
+                delete(self.spark, path)
 
 
 def analyze(spark: SparkSession, config: str | Path | RunConfig, source: str | Path, output: str | Path) -> dict[str, Any]:

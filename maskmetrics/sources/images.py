@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
+from collections.abc import Iterator, Sequence
 from pathlib import Path
+from typing import NamedTuple
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import file_name, local_iso, stem
+from ..operators.kernel import orientation_mark
 from ..operators.selection import rank_categories
+from .hadoop import File, Hadoop, address_of, copy
+from .storage import shared_folder
 
-# Suffixes of image files, in any case.
+# Suffixes of image files, in any case, and of those that can have an orientation mark.
 SUFFIXES = (".jpg", ".jpeg", ".bmp")
+MARKED = (".jpg", ".jpeg")
+#: Bytes at the start of a file in which a mark is looked for.
+HEAD_BYTES = 1 << 17
 
 
 def find_images(source: str | Path) -> list[Path]:
@@ -38,24 +48,87 @@ def _glob(suffix: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix[1:])
 
 
-def read_images(spark: SparkSession, source: str | Path) -> DataFrame:
-    """``origin, image_id, file_name, captured_at, height, width, channels, data`` of every image under a source that all executors see.
+def is_image(name: str) -> bool:
+    return os.path.splitext(name)[1].lower() in SUFFIXES
 
-    ``origin`` is the key; ``image_id``, the name without suffix, may repeat.  Rows of ``data`` are blue-green-red bytes.
-    Spark's reader passes over names that begin with a dot or underscore, so such files are read by links beside the others, in the shared folder.
+
+def _passed_over(name: str) -> bool:
+    """Whether Spark's readers leave a file or folder of that name out."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+class Found(NamedTuple):
+    """The image files of a source: how many, and those that Spark's readers pass over."""
+
+    count: int
+    hidden: list[File]
+
+
+def scan_images(spark: SparkSession, source: str | Path) -> Found:
+    """Count the image files of a folder and all folders in it, or take the one file, in any file system; names are not kept.
+
+    A source that is not there, a file of another kind and a folder without images are errors.
     """
-    source = Path(source).expanduser().resolve()
-    reader = spark.read.format("image").option("dropInvalid", False)
-    hidden = [p for p in find_images(source) if any(part[0] in "._" for part in (p.relative_to(source).parts or (p.name,)))]
-    if source.is_dir():
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(map(_glob, SUFFIXES)) + "}")
-    stamp = F.col("_metadata.file_modification_time").alias("ts")
-    rows = reader.load(source.as_uri()).select("image", F.col("image.origin").alias("origin"), stamp)
-    if hidden:
-        links = _links(spark, hidden)
-        known = spark.createDataFrame([(str(k), p.as_uri()) for k, p in enumerate(hidden)], "number string, origin string")  # as many as such files
-        linked = spark.read.format("image").option("dropInvalid", False).load(links.as_uri()).select("image", F.regexp_extract("image.origin", r"(\d+)\.[^.]*$", 1).alias("number"), stamp)
-        rows = rows.unionByName(linked.join(known, "number").select("image", "origin", "ts"))
+    address = address_of(source)
+    place = Hadoop(spark, address)
+    kind = place.kind()
+    if not kind:
+        raise FileNotFoundError(f"no such file or folder: {source}")
+    root = place.path.toUri().getPath().rstrip("/")
+    count, hidden = 0, []
+    for file in place.files():
+        if is_image(file.name):
+            count += 1
+            below = unquote(urlsplit(file.address).path)[len(root) :].strip("/").split("/") if kind == "folder" else [file.name]
+            if any(map(_passed_over, below)):
+                hidden.append(file)
+        elif kind == "file":
+            raise ValueError(f"not an image of a known kind: {source}")
+    if not count:
+        raise ValueError(f"no images in {source}")
+    return Found(count, hidden)
+
+
+def _marks(files: DataFrame) -> DataFrame:
+    """``file, orientation`` of the ``files(path, content)`` that are to be turned, from their first bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [orientation_mark(head or b"") for head in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int32())], names=["file", "orientation"])
+
+    heads = files.select(F.col("_metadata.file_path").alias("file"), F.substring("content", 1, HEAD_BYTES).alias("head"))
+    return heads.mapInArrow(run, "file string, orientation int").where("orientation > 1")
+
+
+def read_images(spark: SparkSession, source: str | Path, found: Found | None = None, made: list[str] | None = None) -> DataFrame:
+    """``origin, image_id, file_name, captured_at, height, width, channels, data, orientation`` of every image under a source in any file system.
+
+    ``origin`` is the key; ``image_id``, the name without suffix, may repeat.  Rows of ``data`` are blue-green-red bytes, to be turned
+    as ``orientation`` says.  Spark's reader passes over names that begin with a dot or underscore, so such files are copied, under other
+    names, to a folder beside the session's checkpoints, which is put into ``made``.
+    """
+    address, found = address_of(source), found or scan_images(spark, source)
+    globs = lambda suffixes: "{" + ",".join(map(_glob, suffixes)) + "}"
+
+    def load(kind: str, at: str, suffixes: Sequence[str]) -> DataFrame:
+        reader = spark.read.format(kind).option("pathGlobFilter", globs(suffixes)).option("recursiveFileLookup", True)
+        return (reader.option("dropInvalid", False) if kind == "image" else reader).load(at)
+
+    def decoded(at: str) -> DataFrame:
+        pictures = load("image", at, SUFFIXES).select("image", F.col("image.origin").alias("origin"), F.col("_metadata.file_modification_time").alias("ts"), F.col("_metadata.file_path").alias("file"))
+        return pictures.join(_marks(load("binaryFile", at, MARKED)), "file", "left").drop("file")  # few are marked: Spark broadcasts them if they are
+
+    rows = decoded(address)
+    if found.hidden:
+        folder = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+        if made is not None:
+            made.append(folder)
+        for k, file in enumerate(found.hidden):
+            copy(spark, file.address, f"{folder}/{k}{os.path.splitext(file.name)[1]}")
+        known = spark.createDataFrame([(str(k), f.address, f.changed_ms) for k, f in enumerate(found.hidden)], "number string, address string, ms long")  # as many as such files
+        copies = decoded(folder).withColumn("number", F.regexp_extract("origin", r"(\d+)\.[^./]*$", 1)).join(known, "number")
+        rows = rows.unionByName(copies.select("image", F.col("address").alias("origin"), F.timestamp_millis("ms").alias("ts"), "orientation"))
     origin = F.col("origin")
     return rows.select(
         origin.alias("origin"),
@@ -66,18 +139,10 @@ def read_images(spark: SparkSession, source: str | Path) -> DataFrame:
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"),
+        F.coalesce("orientation", F.lit(1)).alias("orientation"),
     )
 
 
-def _links(spark: SparkSession, files: list[Path]) -> Path:
-    """A folder of links to files, named by their number; in the folder of ``spark.checkpoint.dir`` if it is a local path, as the images are."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    folder = Path(tempfile.mkdtemp(prefix="images-", dir=shared if shared and os.path.isdir(shared) else None))
-    for k, file in enumerate(files):
-        (folder / f"{k}{file.suffix}").symlink_to(file)
-    return folder
-
-
 def check_images(images: DataFrame, expected: int) -> None:
     """Raise if a file could not be decoded or gave no row (empty files give none)."""
     bad = images.where("height < 1").select("origin").limit(1).collect()
@@ -90,5 +155,5 @@ def check_images(images: DataFrame, expected: int) -> None:
 def read_categories(spark: SparkSession, path: str | Path) -> DataFrame:
     """``label, name`` of the ``categories`` of a COCO file, with or without a byte-order mark."""
     schema = "categories array<struct<id:string,name:string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(Path(path).expanduser().resolve().as_uri())
+    rows = spark.read.schema(schema).option("multiLine", True).json(address_of(path))
     return rank_categories(rows.select(F.explode("categories").alias("c")).select(F.col("c.id").cast("bigint").alias("id"), F.col("c.name").alias("name")))
