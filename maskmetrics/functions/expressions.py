@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +22,24 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What full case folding makes of single characters: those that stay one, and those that become several."""
+    found = {c: c.casefold() for c in map(chr, range(0x110000)) if c != c.casefold()}
+    return {c: f for c, f in found.items() if len(f) == 1}, {c: f for c, f in found.items() if len(f) > 1}
+
+
+def folded(text: Column) -> Column:
+    """A text by full case folding, as names are compared; ``lower`` alone keeps apart what differs by more than case, such as ``ß`` and ``SS``."""
+    one, several = _folds()
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several.items()])
+    spread = F.when(text.rlike(f"[{''.join(several)}]"), F.aggregate(pairs, text, lambda t, p: F.replace(t, p["c"], p["f"]))).otherwise(text)
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(F.translate(spread, "".join(one), "".join(one.values())))
+
+
 def same_name(a: Column, b: Column) -> Column:
     """Equality of class names without regard to case."""
-    return F.lower(a) == F.lower(b)
+    return folded(a) == folded(b)
 
 
 def unescaped(part: Column) -> Column:

@@ -207,35 +207,24 @@ def errors(pairs: DataFrame, predicted: str = "predicted", reference: str = "ref
     return pairs.withColumn("absolute_error", F.abs(diff)).withColumn("relative_error_pct", 100 * F.abs(diff) / F.nullif(F.abs(F.col(reference)), F.lit(0.0))).withColumn("signed_error", diff)
 
 
-def statistics(rows: DataFrame, value: str, keys: Sequence[str] = (), cells: int = 64) -> DataFrame:
+#: Cells of one narrowing round, and rows of a cell that one task may put in order.
+CELLS, CELL_ROWS = 64, 1 << 20
+
+
+def statistics(rows: DataFrame, value: str, keys: Sequence[str] = (), cells: int = CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``n``, mean, population deviation, extremes, exact percentiles (linear between ranks) and their quartile range; nulls do not count.
 
-    A first aggregation also estimates ``cells - 1`` cuts a key.  Equal values of a key are counted, the counts of the cells between its cuts tell which
-    cell a wanted rank lies in, and only there values are put in order: no task ever holds more than one cell of a key, whatever its share of the rows.
+    Percentiles are found by :func:`ranked_values`, so no task puts more than ``cell_rows`` values of a key in order, whatever its share of the rows.
     """
-    v = F.col(value)
-    estimate = F.percentile_approx(v, F.array(*[F.lit(k / cells) for k in range(1, cells)]), F.lit(100 * cells)).alias("_cuts")
-    base = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), estimate)
-    own = [F.col(f"`{k}`") for k in keys]
+    v, own = F.col(value).cast("double"), [F.col(f"`{k}`") for k in keys]
     # Null keys are a key of their own; without keys all rows have the same.
-    named = F.struct(*own).alias("_key") if own else F.struct(F.lit(0).alias("all")).alias("_key")
-    base = base.select(named, "n", "mean", "std", "min", "max", "_cuts")
-    counts = rows.where(v.isNotNull()).select(named, v.cast("double").alias("_v")).groupBy("_key", "_v").agg(F.count("*").alias("_c"))
-    cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    filed = counts.join(base.select("_key", "_cuts"), "_key").select("_key", cell.alias("_cell"), "_v", "_c")
-
-    # one row a key and cell, with the ranks before it; wanted ranks are those below and above each percentile
-    order = Window.partitionBy("_key").orderBy("_cell")
-    cells_of = filed.groupBy("_key", "_cell").agg(F.sum("_c").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+    named = (F.struct(*own) if own else F.struct(F.lit(0).alias("all"))).alias("_key")
+    known = rows.select(named, v.alias("_v"))
+    base = known.groupBy("_key").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"))
     places = [(F.col("n") - 1) * F.lit(p) for p in PERCENTILES.values()]
     ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
-    wanted = cells_of.join(base.select("_key", ranks.alias("_ranks")), "_key")
-    wanted = wanted.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))).where(F.size("_ranks") > 0)
-
-    inside = filed.join(wanted.select("_key", "_cell", "_before", "_ranks"), ["_key", "_cell"])
-    inside = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy("_key", "_cell").orderBy("_v")))
-    hit = inside.select("_key", "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_to") - F.col("_c")) & (r < F.col("_to")))).alias("_rank"))
-    found = hit.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two ranks a percentile
+    found = ranked_values(known.where("_v is not null"), base.where("n > 0").select("_key", ranks.alias("ranks")), cells, cell_rows)
+    found = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_at"))  # two ranks a percentile
 
     def between(place):
         lo, hi = (F.col("_at")[f(place).cast("long")] for f in (F.floor, F.ceil))
@@ -246,6 +235,43 @@ def statistics(rows: DataFrame, value: str, keys: Sequence[str] = (), cells: int
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
+def ranked_values(rows: DataFrame, wanted: DataFrame, cells: int = CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``_key, rank, _v``: the value of each rank, from 0, of ``wanted(_key, ranks)`` among the ``rows(_key, _v)`` of its key.
+
+    By repeated narrowing: the rows of a part of a key are counted in cells between estimated cuts, which tells in which cell a rank
+    lies.  A cell of one value answers at once, one of at most ``cell_rows`` rows is put in order, and a larger one is the next round's part.
+    A part shrinks by the number of cells a round, whatever its values, as cuts are values and have cells of their own; only rows in wanted cells go on, and each round writes them.
+    """
+    parts, asked = rows.withColumn("_part", F.lit("")), wanted.select("_key", F.lit("").alias("_part"), F.lit(0).cast("long").alias("_base"), "ranks")
+    answers, written = [], []
+    on = ["_key", "_part"]
+    while True:
+        estimate = F.percentile_approx("_v", F.array(*[F.lit(k / cells) for k in range(1, cells)]), F.lit(50 * cells)).alias("_cuts")
+        cuts = Written(parts.groupBy(*on).agg(estimate), "cuts").rows  # once, as an estimate may differ when it is made again
+        cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))  # a cut has a cell of its own
+        filed = parts.join(cuts, on).select(*on, cell.alias("_cell"), "_v")
+        order = Window.partitionBy(*on).orderBy("_cell")  # at most so many rows a part
+        counted = filed.groupBy(*on, "_cell").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        counted = counted.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).join(asked, on).withColumn("_before", F.col("_before") + F.col("_base"))
+        counted = counted.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))).where(F.size("ranks") > 0)
+        held = Written(counted.select(*on, "_cell", "_n", "_lo", "_hi", "_before", "ranks"), "cells").rows
+        answers.append(held.where("_lo = _hi").select("_key", F.explode("ranks").alias("rank"), F.col("_lo").alias("_v")))
+        small = held.where(f"_lo < _hi and _n <= {cell_rows}")
+        inside = filed.join(small.select(*on, "_cell", "_before", "ranks"), [*on, "_cell"])
+        at = F.col("_before") + F.row_number().over(Window.partitionBy(*on, "_cell").orderBy("_v")) - 1
+        answers.append(inside.withColumn("rank", at.cast("long")).where(F.array_contains("ranks", F.col("rank"))).select("_key", "rank", "_v"))
+        large = held.where(f"_lo < _hi and _n > {cell_rows}")
+        if large.isEmpty():
+            break
+        below = F.concat("_part", F.lit("/"), F.col("_cell").cast("string")).alias("_part")
+        written.append(Written(filed.join(large.select(*on, "_cell"), [*on, "_cell"]).select("_key", below, "_v"), "parts"))
+        parts, asked = written[-1].rows, large.select("_key", below, F.col("_before").alias("_base"), "ranks")
+    out = answers[0]
+    for more in answers[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def error_histogram(rows: DataFrame, value: str = "relative_error_pct", edges: Sequence[float] = ERROR_EDGES) -> DataFrame:
     """``bin, low, high, n`` for every bin, also empty ones; a bin holds its lower edge, the last has no upper one.
 

@@ -94,6 +94,23 @@ def combine(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     return _merged(spans, keys)
 
 
+def resized(runs: DataFrame, keys: Sequence[str], size: tuple[str | int, str | int], to: tuple[str | int, str | int]) -> DataFrame:
+    """Runs of masks of ``size`` (rows, columns) brought to another size by nearest neighbour, as :func:`kernel.binary_mask` does.
+
+    Sizes are numbers or names of columns.  Row ``y`` of the new mask shows row ``floor(y * old / new)``, so a stretch of old rows or columns
+    is shown by one stretch of new ones, found from its ends; one that no new row or column shows goes.
+    """
+    (old_h, old_w), (new_h, new_w) = (tuple(F.lit(n).cast("long") if isinstance(n, int) else F.col(n).cast("long") for n in pair) for pair in (size, to))
+
+    def first(at: Column, old: Column, new: Column) -> Column:
+        """The first new place that shows old ``at`` or a later one."""
+        return F.call_function("div", at * new + old - 1, old)
+
+    ends = [first(F.col(y), old_h, new_h).alias(y) for y in ("y1", "y2")]
+    shown = runs.select(*keys, *ends, first(F.col("x"), old_w, new_w).alias("_from"), first(F.col("x") + 1, old_w, new_w).alias("_to")).where("y2 > y1 and _to > _from")
+    return _merged(shown.select(*keys, F.explode(F.sequence("_from", F.col("_to") - 1)).alias("x"), "y1", "y2"), keys)
+
+
 def extent(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``area, x0, y0, w, h`` of each mask."""
     sides = [F.min("x").alias("x0"), F.min("y1").alias("y0"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y2") - F.min("y1")).alias("h")]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import compactness
+from ..functions.expressions import compactness, folded, path_parts
 from ..operators import aggregates, evaluate, runs, selection, shape
 from ..schemas import FEATURES
 
@@ -20,6 +20,8 @@ HEIGHT, WIDTH = 24, 32
 #: Counted classes of the derived detections; one of them never occurs.
 CLASSES = ["click", "purchase", "never"]
 _FRAME = HEIGHT * WIDTH
+#: Folder names of which the escaped forms have another order.
+_FOLDERS = ["a b", "a!b", "a%b", "aéb", "a+b", "a"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,6 +193,24 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.name_labels(results, category_rank(spark, sf_dir)).select("c_custkey", F.col("label").cast("bigint").alias("label"), "class_name")
 
 
+def folded_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers joined to names that differ from theirs in case, also where one letter folds to two."""
+    name = F.concat("c_mktsegment", F.lit(" straße "), (F.col("c_custkey") % 50).cast("string"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", folded(name).alias("name"))
+    offered = _table(spark, sf_dir, "customer").select(F.concat(F.lower("c_mktsegment"), F.lit(" STRASSE "), (F.col("c_custkey") % 40).cast("string")).alias("offered")).distinct()
+    return rows.join(offered, F.col("name") == folded(F.col("offered"))).select("c_custkey", "offered")
+
+
+def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every file in the order of real names; addresses escape them."""
+    names = F.array(*[F.lit(n) for n in _FOLDERS])
+    folder = F.element_at(names, (F.col("c_custkey") % len(_FOLDERS)).cast("int") + 1)
+    escaped = lambda part: F.replace(F.url_encode(part), F.lit("+"), F.lit("%20"))
+    origin = F.concat(F.lit("file:/data/"), F.when(F.col("c_custkey") % 7 != 0, F.concat(escaped(folder), F.lit("/"))).otherwise(F.lit("")), escaped(F.replace("c_name", F.lit("#"), F.lit(" "))))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", origin.alias("origin"))
+    return selection.row_numbers(rows, [path_parts(F.col("origin"))]).select("c_custkey", F.col("row_number"))
+
+
 def missing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([(c,) for c in [*CLASSES, "Click"]], "class_name string")
     return selection.missing_classes(wanted, detections(spark, sf_dir))
@@ -254,6 +274,12 @@ def mask_one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.match_masks_once(*_masks(spark, sf_dir), threshold=0.1))
 
 
+def run_mask_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks brought to another size, larger down the rows and smaller across."""
+    own = runs.runs_of_pixels(pixels(spark, sf_dir), KEYS)
+    return runs.extent(runs.resized(own, KEYS, (HEIGHT, WIDTH), (37, 20)), KEYS)
+
+
 def run_mask_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [runs.runs_of_pixels(m, ["image_id", "id"]) for m in _masks(spark, sf_dir)]
     return _rounded(evaluate.mutual_best(runs.run_pairs(*own, threshold=0.3), "image_id"))
@@ -289,8 +315,8 @@ def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        mask_shape, mask_perimeter, mask_compactness, mask_fractal_dimension, colour_brightness, mask_features, run_mask_features, run_mask_codes, run_mask_match, mean_median_rows, floc_table_order, class_counts_pivot,
-        topk_after_filter, topk_before_filter, instance_number, paired_results, category_rank, label_lookup, missing_classes, left_join_coalesce, detection_documents,
+        mask_shape, mask_perimeter, mask_compactness, mask_fractal_dimension, colour_brightness, mask_features, run_mask_features, run_mask_codes, run_mask_resize, run_mask_match, mean_median_rows, floc_table_order, class_counts_pivot,
+        topk_after_filter, topk_before_filter, instance_number, paired_results, category_rank, label_lookup, folded_name_join, path_order, missing_classes, left_join_coalesce, detection_documents,
         run_manifest, iou_match, one_to_one_match, box_suppression, mask_iou_match, mask_one_to_one_match, mask_pixel_join, precision_recall_f1, error_statistics, error_histogram,
     )
 }
@@ -382,6 +408,11 @@ b AS (SELECT l_orderkey, l_quantity AS score, row_number() OVER (PARTITION BY l_
 SELECT l_orderkey, pos, label, score FROM a JOIN b USING (l_orderkey, pos) WHERE pos < n - 1""",
     "category_rank": "SELECT row_number() OVER (ORDER BY n_nationkey, n_name) AS label, n_name AS name FROM nation",
     "label_lookup": "SELECT c_custkey, CAST(c_nationkey + 1 AS BIGINT) AS label, n.name AS class_name FROM customer JOIN (SELECT row_number() OVER (ORDER BY n_nationkey, n_name) AS label, n_name AS name FROM nation) n ON n.label = c_nationkey + 1",
+    "folded_name_join": """WITH offered AS (SELECT DISTINCT lower(c_mktsegment) || ' STRASSE ' || (c_custkey % 40) AS offered FROM customer)
+SELECT c_custkey, offered FROM customer JOIN offered ON lower(c_mktsegment) || ' strasse ' || (c_custkey % 50) = lower(offered)""",
+    "path_order": f"""WITH names AS (
+  SELECT c_custkey, replace(c_name, '#', ' ') AS name, ({_FOLDERS!r})[CAST(c_custkey % {len(_FOLDERS)} AS INTEGER) + 1] AS folder FROM customer
+) SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 7 <> 0 THEN [folder, name] ELSE [name] END) AS row_number FROM names""",
     "missing_classes": "SELECT * FROM (VALUES ('click'), ('purchase'), ('never'), ('Click')) AS v(class_name) EXCEPT SELECT event_type FROM events",
     "left_join_coalesce": f"""SELECT c_custkey AS origin, c_name AS image_id, coalesce(o.n, 0) AS floc_count, round(round(o.m, 11), 6) + 0.0 AS mean_floc_area_px, {', '.join(f'coalesce(e.{c}, 0) AS {c}' for c in CLASSES)}
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS m FROM orders WHERE o_totalprice > 250000 GROUP BY 1) o ON o.o_custkey = c_custkey
@@ -414,6 +445,9 @@ SELECT d.origin, count(s.t) AS n, coalesce(string_agg(s.t, ';' ORDER BY s.pos),
     "mask_iou_match": f"""WITH {_MASKS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, ref_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, ref_id) AS b FROM over WHERE iou >= 0.3)
 SELECT image_id, ref_id, pred_id, round(round(iou, 11), 6) + 0.0 AS iou FROM ranked WHERE a = 1 AND b = 1""",
+    "run_mask_resize": f"""WITH {_PX}, shown AS (
+  SELECT p.image_id, p.ann, c.x, r.y FROM px p JOIN (SELECT i AS x, i * {WIDTH} // 20 AS old_x FROM range(20) t(i)) c ON c.old_x = p.x JOIN (SELECT i AS y, i * {HEIGHT} // 37 AS old_y FROM range(37) t(i)) r ON r.old_y = p.y
+) SELECT image_id, ann, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM shown GROUP BY ALL""",
     "run_mask_match": f"""WITH {_MASKS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, ref_id ORDER BY iou DESC, pred_id) AS a, row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, ref_id) AS b FROM over WHERE iou >= 0.3)
 SELECT image_id, ref_id, pred_id, round(round(iou, 11), 6) + 0.0 AS iou FROM ranked WHERE a = 1 AND b = 1""",

@@ -8,7 +8,7 @@ import pytest
 
 from maskmetrics.operators import runs, shape
 from maskmetrics.operators.evaluate import mask_pairs
-from maskmetrics.operators.kernel import mask_features
+from maskmetrics.operators.kernel import binary_mask, mask_features
 from maskmetrics.schemas import FEATURES
 
 KEYS = ["image_id", "ann"]
@@ -128,3 +128,14 @@ def test_masks_of_a_hundred_million_pixels(spark):
     whole = runs.combine(own, own, KEYS, "xor")
     assert whole.count() == 0
     own.unpersist()
+
+
+@pytest.mark.parametrize("old, new", [((24, 31), (48, 62)), ((24, 31), (24, 31)), ((24, 31), (7, 50)), ((24, 31), (101, 5)), ((1, 1), (9, 4)), ((24, 31), (1, 1)), ((13, 17), (12, 18))])
+def test_resizing_is_that_of_arrays(spark, old, new):
+    r = np.random.default_rng(5)
+    arrays = [r.random(old) < d for d in (0.2, 0.5, 0.9)]
+    rows = [(k, *map(int, run)) for k, m in enumerate(arrays) for run in plain(m)]
+    own = spark.createDataFrame([(k, *run, *old, *new) for k, *run in rows], "m long, x long, y1 long, y2 long, h int, w int, nh int, nw int")
+    want = sorted((k, *run) for k, m in enumerate(arrays) for run in plain(binary_mask(m.astype(float), *new)))
+    assert sorted(map(tuple, runs.resized(own, ["m"], ("h", "w"), ("nh", "nw")).collect())) == want
+    assert sorted(map(tuple, runs.resized(own, ["m"], old, new).collect())) == want
