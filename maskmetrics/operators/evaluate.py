@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import finite
 from ..sources.storage import Written
 
 # Edges of the relative-error bins in percent; the last bin is open.
@@ -31,52 +32,42 @@ def overlap(left: str, right: str):
 def box_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str = "image_id") -> DataFrame:
     """``key, r_id, p_id, iou`` of all pairs of ``(key, id, x1, y1, x2, y2)`` rows that overlap by ``threshold`` at least.
 
-    A range join over grids of several sizes.  Boxes that overlap by ``t`` have widths (and heights) within a factor of ``1 / t``, and
-    their centres are at most ``(1 - t) / 2t`` widths of either one apart.  So a left box is filed once, in the grid of its own size
-    under the tile of its centre; a right one in the grids of the sizes that a partner can have, under the one or two tiles a side
-    where its centre can lie: a bounded number of rows however large a box is, and every pair meets once.  ``threshold`` is over 0
-    and at most 1; boxes with a null, NaN or infinite coordinate and those without an area overlap nothing.
+    A range join over grids of several sizes.  Boxes that overlap by ``t`` have longer sides within a factor of ``1 / t``, and their
+    centres are at most ``(1 - t) / 2t`` widths and heights of either one apart.  So a left box is filed once, in the grid of its own
+    size under the tile of its centre; a right one in the grids of the sizes that a partner can have, under the one or two tiles an
+    axis where its centre can lie: a bounded number of rows however large a box is, and every pair meets once.  ``threshold`` is over
+    0 and at most 1; boxes with a null, NaN or infinite coordinate and those without an area overlap nothing.
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"the threshold must be over 0 and at most 1, not {threshold}")
-    base, reach = max(4.0, 1 / threshold), (1 - threshold) / (2 * threshold)
-    side = max(1.0, 2 * reach)  # of a tile, in largest widths of its grid
+    base, reach = max(2.0, 1 / threshold), (1 - threshold) / (2 * threshold)
+    edge = F.pow(F.lit(base), F.col("grid") + 1)  # no side of the grid's boxes is longer
+    tile_side = edge * max(1.0, 2 * reach)
 
     def boxes(df: DataFrame, p: str) -> DataFrame:
         sides = [F.col(c).cast("double").alias(p + c) for c in ("x1", "y1", "x2", "y2")]
-        sized = [(F.col(f"{p}{c}1") + F.col(f"{p}{c}2")) / 2 for c in "xy"], [F.col(f"{p}{c}2") - F.col(f"{p}{c}1") for c in "xy"]
         rows = df.select(F.col(key).alias(key), F.col("id").alias(p + "id"), *sides)
-        rows = rows.select("*", *[x.alias(f"{p}m{c}") for c, x in zip("xy", sized[0], strict=True)], *[x.alias(f"{p}w{c}") for c, x in zip("xy", sized[1], strict=True)])
-        finite = None
-        for c in ("wx", "wy"):  # the width of a box with an unknown or endless side is not a number over 0 under infinity
-            own = (F.col(p + c) > 0) & (F.col(p + c) < float("inf"))
-            finite = own if finite is None else finite & own
-        return rows.where(finite)
-
-    def level(width):  # the grid of a width
-        return F.floor(F.log(width) / F.log(F.lit(base))).cast("int")
-
-    def tile(middle, grid):
-        return F.round(middle / (F.pow(F.lit(base), grid + 1) * side))
-
-    def places(c: str):
-        """Every grid and tile of one axis where a partner's centre can lie."""
-        middle, width = F.col(f"p_m{c}"), F.col(f"p_w{c}")
-        grids = F.sequence(level(width * threshold * (1 - 1e-9)), level(width / threshold * (1 + 1e-9)))
-
-        def tiles(grid):
-            far = F.least(width, F.pow(F.lit(base), grid + 1)) * reach * (1 + 1e-9) + F.abs(middle) * 1e-12  # for rounding
-            first, last = tile(middle - far, grid), tile(middle + far, grid)
-            return F.transform(F.sequence(F.lit(0), (last - first).cast("int")), lambda k: F.struct(grid.alias("grid"), (first + k).alias("tile")))
-
-        return F.explode(F.flatten(F.transform(grids, tiles)))
-
-    ref = boxes(left, "r_")
-    ref = ref.select("*", *[level(F.col(f"r_w{c}")).alias(f"g{c}") for c in "xy"])
-    ref = ref.select("*", *[tile(F.col(f"r_m{c}"), F.col(f"g{c}")).alias(f"t{c}") for c in "xy"])
-    pred = boxes(right, "p_").select("*", places("x").alias("px")).select("*", places("y").alias("py"))
-    pred = pred.select("*", *[F.col(f"p{c}.grid").alias(f"g{c}") for c in "xy"], *[F.col(f"p{c}.tile").alias(f"t{c}") for c in "xy"])
-    pairs = ref.join(pred, [key, "gx", "gy", "tx", "ty"]).withColumn("iou", overlap("r_", "p_"))
+        w, h = (F.col(f"{p}{c}2") - F.col(f"{p}{c}1") for c in "xy")
+        rows = rows.select("*", w.alias("w"), h.alias("h"), *[((F.col(f"{p}{c}1") + F.col(f"{p}{c}2")) / 2).alias(f"m{c}") for c in "xy"])
+        return rows.where(" and ".join(f"{c} > 0 and {c} < double('infinity')" for c in "wh"))  # an unknown or endless side is not
+
+    def grid(side: Column) -> Column:
+        return F.floor(F.log(side) / F.log(F.lit(base))).cast("int")
+
+    def tile(middle: Column) -> Column:  # beyond all that can be told apart, tiles are one
+        return F.floor(F.greatest(F.least(middle / tile_side, F.lit(4e15)), F.lit(-4e15)))
+
+    longer = F.greatest("w", "h")
+    ref = boxes(left, "r_").withColumn("grid", grid(longer)).select("*", tile(F.col("mx")).alias("tx"), tile(F.col("my")).alias("ty")).drop("w", "h", "mx", "my")
+    spread = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pred = boxes(right, "p_").repartition(spread)  # few bytes that take much work: Spark would put small tables into one task
+    pred = pred.select("*", F.explode(F.sequence(grid(longer * threshold * (1 - 1e-9)), grid(longer / threshold * (1 + 1e-9)))).alias("grid"))
+    for c, width in (("x", "w"), ("y", "h")):
+        middle = F.col(f"m{c}")
+        far = F.least(F.col(width), edge) * (reach * (1 + 1e-9)) + F.abs(middle) * 1e-12  # for rounding
+        pred = pred.select("*", F.explode(F.sequence(tile(middle - far), tile(middle + far))).alias(f"t{c}"))
+    ref = ref.repartition(spread)
+    pairs = ref.join(pred.drop("w", "h", "mx", "my"), [key, "grid", "tx", "ty"]).withColumn("iou", overlap("r_", "p_"))
     return pairs.where(F.col("iou") >= threshold).select(key, "r_id", "p_id", "iou")
 
 
@@ -208,7 +199,7 @@ def errors(pairs: DataFrame, predicted: str = "predicted", reference: str = "ref
 
 
 #: Cells of one narrowing round, and rows of a cell that one task may put in order.
-CELLS, CELL_ROWS = 64, 1 << 20
+CELLS, CELL_ROWS = 4096, 1 << 20
 
 
 def statistics(rows: DataFrame, value: str, keys: Sequence[str] = (), cells: int = CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -220,10 +211,12 @@ def statistics(rows: DataFrame, value: str, keys: Sequence[str] = (), cells: int
     # Null keys are a key of their own; without keys all rows have the same.
     named = (F.struct(*own) if own else F.struct(F.lit(0).alias("all"))).alias("_key")
     known = rows.select(named, v.alias("_v"))
-    base = known.groupBy("_key").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    usual = finite(F.col("_v"))
+    base = known.groupBy("_key").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.min(usual).alias("_lo"), F.max(usual).alias("_hi"))
+    base = Written(base, "base").rows
     places = [(F.col("n") - 1) * F.lit(p) for p in PERCENTILES.values()]
     ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
-    found = ranked_values(known.where("_v is not null"), base.where("n > 0").select("_key", ranks.alias("ranks")), cells, cell_rows)
+    found = ranked_values(known.where("_v is not null"), base.where("n > 0").select("_key", ranks.alias("ranks"), "_lo", "_hi"), cells, cell_rows)
     found = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_at"))  # two ranks a percentile
 
     def between(place):
@@ -236,23 +229,28 @@ def statistics(rows: DataFrame, value: str, keys: Sequence[str] = (), cells: int
 
 
 def ranked_values(rows: DataFrame, wanted: DataFrame, cells: int = CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``_key, rank, _v``: the value of each rank, from 0, of ``wanted(_key, ranks)`` among the ``rows(_key, _v)`` of its key.
+    """``_key, rank, _v``: the value of each rank, from 0, of ``wanted(_key, ranks, _lo, _hi)`` among the ``rows(_key, _v)`` of its key.
 
-    By repeated narrowing: the rows of a part of a key are counted in cells between estimated cuts, which tells in which cell a rank
-    lies.  A cell of one value answers at once, one of at most ``cell_rows`` rows is put in order, and a larger one is the next round's part.
-    A part shrinks by the number of cells a round, whatever its values, as cuts are values and have cells of their own; only rows in wanted cells go on, and each round writes them.
+    ``_lo`` and ``_hi`` are the least and largest finite value.  By repeated narrowing: the rows of a part of a key are counted in cells of
+    its range, which tells in which cell a rank lies.  A cell of one value answers at once, one of at most ``cell_rows`` rows is put in
+    order, and a larger one is the next round's part, with its own range.  Cells are of equal width, but in the second round of equal
+    exponent, after which a range is within a factor of two: a number's 52 further bits bound the rounds, whatever the values are.
+    Only rows in wanted cells go on, and each round writes them.  Infinite values and NaN, the largest, have cells of their own.
     """
-    parts, asked = rows.withColumn("_part", F.lit("")), wanted.select("_key", F.lit("").alias("_part"), F.lit(0).cast("long").alias("_base"), "ranks")
-    answers, written = [], []
-    on = ["_key", "_part"]
+    on, v = ["_key", "_part"], F.col("_v")
+    parts, asked = rows.withColumn("_part", F.lit("")), wanted.select("_key", F.lit("").alias("_part"), F.lit(0).cast("long").alias("_base"), "ranks", "_lo", "_hi")
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    even = F.least(F.floor((v / 2 - F.col("_lo") / 2) / width * cells), F.lit(cells - 1))
+    even = F.when(width > 0, even).otherwise(0)
+    exponent = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1100)).cast("long")  # the least number has -1074
+    answers, turn = [], 0
     while True:
-        estimate = F.percentile_approx("_v", F.array(*[F.lit(k / cells) for k in range(1, cells)]), F.lit(50 * cells)).alias("_cuts")
-        cuts = Written(parts.groupBy(*on).agg(estimate), "cuts").rows  # once, as an estimate may differ when it is made again
-        cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))  # a cut has a cell of its own
-        filed = parts.join(cuts, on).select(*on, cell.alias("_cell"), "_v")
+        inner, edge = exponent if turn == 1 else even, 1 << 20
+        cell = F.when(F.isnan(v), edge + 1).when(v == float("inf"), edge).when(v == float("-inf"), -edge).otherwise(inner)
+        filed = parts.join(asked.select(*on, "_lo", "_hi"), on).select(*on, cell.alias("_cell"), "_v")
         order = Window.partitionBy(*on).orderBy("_cell")  # at most so many rows a part
         counted = filed.groupBy(*on, "_cell").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        counted = counted.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).join(asked, on).withColumn("_before", F.col("_before") + F.col("_base"))
+        counted = counted.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).join(asked.drop("_lo", "_hi"), on).withColumn("_before", F.col("_before") + F.col("_base"))
         counted = counted.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))).where(F.size("ranks") > 0)
         held = Written(counted.select(*on, "_cell", "_n", "_lo", "_hi", "_before", "ranks"), "cells").rows
         answers.append(held.where("_lo = _hi").select("_key", F.explode("ranks").alias("rank"), F.col("_lo").alias("_v")))
@@ -264,8 +262,8 @@ def ranked_values(rows: DataFrame, wanted: DataFrame, cells: int = CELLS, cell_r
         if large.isEmpty():
             break
         below = F.concat("_part", F.lit("/"), F.col("_cell").cast("string")).alias("_part")
-        written.append(Written(filed.join(large.select(*on, "_cell"), [*on, "_cell"]).select("_key", below, "_v"), "parts"))
-        parts, asked = written[-1].rows, large.select("_key", below, F.col("_before").alias("_base"), "ranks")
+        parts = Written(filed.join(large.select(*on, "_cell"), [*on, "_cell"]).select("_key", below, "_v"), "parts").rows
+        asked, turn = large.select("_key", below, F.col("_before").alias("_base"), "ranks", "_lo", "_hi"), turn + 1
     out = answers[0]
     for more in answers[1:]:
         out = out.unionByName(more)

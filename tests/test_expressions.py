@@ -37,6 +37,7 @@ def test_percentiles_by_narrowing(spark, cells, cell_rows):
         "signs": [r.uniform(-5, 5) for _ in range(200)] + [0.0, -0.0],
         None: [float(k) for k in range(50)],
         "none": [],
+        "nested": [3.0 + s * 10.0 ** -k for k in range(16) for s in (-1, 1) for _ in range(9)] + [s * 2.0**-k for k in range(0, 1070, 7) for s in (-1, 1)],
     }
     rows = [(k, v) for k, own in groups.items() for v in [*own, None]]
     r.shuffle(rows)
@@ -53,6 +54,6 @@ def test_no_cell_in_order_is_larger_than_asked(spark):
     """Each round keeps only rows of wanted cells, down to the bound."""
     values = random.Random(2).sample(range(10**6), 3000)
     rows = spark.createDataFrame([("a", float(v)) for v in values], "_key string, _v double")
-    wanted = spark.createDataFrame([("a", [0, 17, 1500, 2999])], "_key string, ranks array<bigint>")
+    wanted = spark.createDataFrame([("a", [0, 17, 1500, 2999], float(min(values)), float(max(values)))], "_key string, ranks array<bigint>, _lo double, _hi double")
     got = {x["rank"]: x["_v"] for x in ranked_values(rows, wanted, 8, 50).collect()}
     assert got == {k: float(sorted(values)[k]) for k in (0, 17, 1500, 2999)}
