@@ -64,7 +64,7 @@ def test_run(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_and_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "embeddings", "documents"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = duck.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, DATA).toPandas()
@@ -76,5 +76,5 @@ def test_query_and_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_every_query_is_there():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert len(corpus_pipeline.STAGES) == 5

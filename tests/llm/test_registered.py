@@ -12,6 +12,9 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from brute import components, pairs, repeated_windows
+from sentencepiece import SentencePieceProcessor
+from test_alignment import expected
+from test_cutting import check_packing
 from test_near_copies import plain_fingerprint
 from tokenizers import Tokenizer
 
@@ -150,3 +153,16 @@ def test_op10(spark):
         want = "\n".join(x for x in lines if x)
         r = got[page["page_id"]]
         assert (r["url"], r["text"], r["n_chars"]) == (page["url"], want, len(want)), json.dumps(page["html"][:300])
+
+
+def test_op12(spark, rows):
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    both = a, SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = sorted(map(tuple, result(spark, "op12_token_alignment")))
+    assert got == sorted(expected(both, [(d, r["text"]) for d, r in rows.items()]))
+    assert sum(r[4] > 0 for r in got) > 0.9 * len(rows)
+
+
+def test_op13(spark, rows, ids_of):
+    check_packing([(d, [*ids[:-1], 2]) for d, ids in ids_of.items()], result(spark, "op13_cutting_stock"), 4096, 1)
