@@ -6,7 +6,9 @@ from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,30 +29,41 @@ OUTPUTS = ("floc_features.csv", "microorganism_detections.json", "microorganism_
 SUMMARY = "run_summary.json"
 
 
-def predict(images: DataFrame, predictor: Predictor) -> DataFrame:
+def predict(images: DataFrame, predictor: Predictor, at_once: int = 8, profile: ResourceProfile | None = None) -> DataFrame:
     """Run both models on every image and measure the masks, in one pass: only results leave the task, no pixels are shuffled.
 
     Every image also gives a row of its own, so that nothing else has to decode it again; one that could not be decoded gives that row alone.
+    A predictor with ``segment_many`` and ``detect_many`` gets up to ``at_once`` images a call, others one.  ``profile`` asks for the
+    resources of the stage's tasks, see :func:`predictors.gpu_profile`.
     """
 
     kind = to_arrow_schema(RESULTS)
 
+    def answers(name: str, batch: list[np.ndarray]) -> list[list[Any]]:
+        many = getattr(predictor, f"{name}_many", None)
+        found = many(batch) if many else [getattr(predictor, name)(image) for image in batch]
+        if len(found) != len(batch):
+            raise ValueError(f"the model answered {len(found)} of {len(batch)} images")
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict[str, Any]] = []
-            for *head, width, channels, data, orientation in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                origin, height = head[0], head[-1]
-                rows.append({**dict(zip(HEADS, head, strict=True)), "kind": "image"})
-                if height < 1:
-                    continue
-                image = pixels_of(data, height, width, channels, orientation)
-                for pos, m in enumerate(predictor.segment(image)):
-                    rows.append({"origin": origin, "kind": "mask", "pos": pos, "class_name": m.class_name, "confidence": float(m.confidence), **mask_features(image, m.pixels)})
-                for pos, b in enumerate(predictor.detect(image)):
-                    rows.append({"origin": origin, "kind": "box", "pos": pos, "class_name": b.class_name, "confidence": float(b.confidence), "bbox_xyxy": [float(v) for v in b.bbox_xyxy]})
-            yield pa.RecordBatch.from_pylist([{name: row.get(name) for name in kind.names} for row in rows], schema=kind)
-
-    return images.select(*HEADS, "width", "channels", "data", "orientation").mapInArrow(run, RESULTS)
+            for lo in range(0, batch.num_rows, at_once):  # as many decoded images are held
+                rows: list[dict[str, Any]] = []
+                origins, decoded = [], []
+                for *head, width, channels, data, orientation in zip(*(c.to_pylist() for c in batch.slice(lo, at_once).columns), strict=True):
+                    rows.append({**dict(zip(HEADS, head, strict=True)), "kind": "image"})
+                    if head[-1] >= 1:
+                        origins.append(head[0])
+                        decoded.append(pixels_of(data, head[-1], width, channels, orientation))
+                for origin, image, masks, boxes in zip(origins, decoded, answers("segment", decoded), answers("detect", decoded), strict=True):
+                    for pos, m in enumerate(masks):
+                        rows.append({"origin": origin, "kind": "mask", "pos": pos, "class_name": m.class_name, "confidence": float(m.confidence), **mask_features(image, m.pixels)})
+                    for pos, b in enumerate(boxes):
+                        rows.append({"origin": origin, "kind": "box", "pos": pos, "class_name": b.class_name, "confidence": float(b.confidence), "bbox_xyxy": [float(v) for v in b.bbox_xyxy]})
+                yield pa.RecordBatch.from_pylist([{name: row.get(name) for name in kind.names} for row in rows], schema=kind)
+
+    return images.select(*HEADS, "width", "channels", "data", "orientation").mapInArrow(run, RESULTS, profile=profile)
 
 
 def name_errors(config: RunConfig, predictor: Predictor) -> list[str]:
@@ -69,8 +82,8 @@ def name_errors(config: RunConfig, predictor: Predictor) -> list[str]:
 class Analysis:
     """One configured analysis.  ``tables`` gives its results as DataFrames, ``run`` writes them as files."""
 
-    def __init__(self, spark: SparkSession, config: RunConfig, predictor: Predictor | None = None):
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, config: RunConfig, predictor: Predictor | None = None, at_once: int = 8, profile: ResourceProfile | None = None):
+        self.spark, self.config, self.at_once, self.profile = spark, config, at_once, profile
         self.predictor = predictor or self._from_models()
 
     def _from_models(self) -> ModelPredictor:
@@ -113,7 +126,7 @@ class Analysis:
         make_folder(self.spark, target)
         try:
             images = read_images(self.spark, source, found, made)
-            results = Written(predict(images, self.predictor), "results")  # a failing model fails here
+            results = Written(predict(images, self.predictor, self.at_once, self.profile), "results")  # a failing model fails here
             made.append(results.path)
             heads = results.rows.where("kind = 'image'").select(*HEADS)
             check_images(heads, found.count)

@@ -10,6 +10,8 @@ from functools import lru_cache
 from typing import Any, NamedTuple, Protocol
 
 import numpy as np
+from pyspark import TaskContext
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 
 from ..config import ModelSpec, RunConfig
 from ..operators.kernel import binary_mask
@@ -32,13 +34,26 @@ class Box(NamedTuple):
 
 
 class Predictor(Protocol):
-    """What a run asks of a model; an optional ``class_names()`` gives the two sets of names that it knows."""
+    """What a run asks of a model; an optional ``class_names()`` gives the two sets of names that it knows, and optional
+    ``segment_many`` and ``detect_many`` answer several images at once."""
 
     def segment(self, image: np.ndarray) -> list[Mask]: ...
 
     def detect(self, image: np.ndarray) -> list[Box]: ...
 
 
+def gpu_profile(amount: float = 1.0) -> ResourceProfile:
+    """A stage profile by which each task gets ``amount`` of a GPU, so that as many models as slots are loaded, whatever other stages need."""
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(1).resource("gpu", amount)).build
+
+
+def own_device(device: str) -> str:
+    """The GPU that Spark gave to the running task; without one, the configured device."""
+    task = TaskContext.get()
+    given = task.resources().get("gpu") if task else None
+    return given.addresses[0] if given and given.addresses else device
+
+
 @dataclass(frozen=True)
 class Task:
     """Everything that an adapter needs to know of one task."""
@@ -171,7 +186,7 @@ class ModelPredictor:
 
     def _task(self, spec: ModelSpec, confidence: float, names: tuple[str, ...]) -> Task:
         c = self.config
-        return Task(spec, c.device, confidence, c.max_detections, c.image_size, c.iou_threshold, names)
+        return Task(spec, own_device(c.device), confidence, c.max_detections, c.image_size, c.iou_threshold, names)
 
     def _segmentation(self) -> Any:
         return adapter(self._task(self.config.segmentation, self.config.floc_confidence, self.floc_names))
