@@ -76,6 +76,48 @@ def counts_of_runs(runs: DataFrame, keys: Sequence[str], height: int, width: int
     return gathered.select(*keys, F.lit(height).alias("height"), F.lit(width).alias("width"), F.aggregate("runs", start, add, close).alias("counts"))
 
 
+def _from_text(text: str | None) -> list[int] | None:
+    if text is None:
+        return None
+    counts: list[int] = []
+    value = shift = 0
+    for char in text.encode("latin-1"):
+        bits = char - 48
+        if not 0 <= bits < 64:
+            raise ValueError(f"not a run-length text: {text[:40]!r}")
+        value |= (bits & 31) << shift
+        shift += 5
+        if not bits & 32:
+            value -= (bits >> 4 & 1) << shift
+            counts.append(value + (counts[-2] if len(counts) > 2 else 0))
+            value = shift = 0
+    return counts
+
+
+def _to_text(counts: list[int] | None) -> str | None:
+    if counts is None:
+        return None
+    out = []
+    for k, n in enumerate(counts):
+        rest = n - counts[k - 2] if k > 2 else n
+        while not -16 <= rest < 16:
+            out.append((rest & 31) | 32)
+            rest >>= 5
+        out.append(rest & 31)
+    return bytes(x + 48 for x in out).decode("latin-1")
+
+
+def counts_of_text(text: Column) -> Column:
+    """The lengths in the compact text form of a run-length code: 5 bits and a mark of more to come a character, signed, from the fourth on
+    as the difference to the one before the last.  Null stays null; another text is an error when the row is read."""
+    return F.udf(_from_text, "array<bigint>", useArrow=True)(text)
+
+
+def text_of_counts(counts: Column) -> Column:
+    """The compact text form of a run-length code."""
+    return F.udf(_to_text, "string", useArrow=True)(counts)
+
+
 def combine(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """The runs of ``left`` ``and``, ``or``, ``minus`` or ``xor`` ``right``, mask by mask of the same keys.
 

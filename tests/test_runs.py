@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from maskmetrics.operators import runs, shape
 from maskmetrics.operators.evaluate import mask_pairs
@@ -60,6 +61,19 @@ def test_runs_and_codes(spark, table):
             runs.runs_of_counts(spark.createDataFrame([bad], odd.schema), KEYS).collect()
 
 
+def test_compact_text_of_codes(spark):
+    r = random.Random(6)
+    codes = [[], [0, 5], [40], [15, 16, 31, 32], [3, 1, 40, 2], [0, 10**8, 3], [r.randrange(5000) for _ in range(300)], None]
+    rows = spark.createDataFrame(list(enumerate(codes)), "k long, counts array<long>")
+    coded = rows.withColumn("text", runs.text_of_counts(rows["counts"]))
+    got = sorted(coded.withColumn("back", runs.counts_of_text(coded["text"])).collect())
+    assert [x["back"] for x in got] == codes
+    # by hand: 40 is 8 and more to come, then 1; the fourth length is told by its difference to the second
+    assert [x["text"] for x in got][:3] == ["", "05", "X1"] and got[4]["text"] == "31X11"
+    with pytest.raises(Exception, match="not a run-length text"):
+        spark.createDataFrame([("a b",)], "t string").select(runs.counts_of_text(F.col("t"))).collect()
+
+
 def close(a, b):
     return a is None and b is None or a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
 
