@@ -121,8 +121,8 @@ class Items:
 def banded(item: str, text: str, budget: int) -> tuple[int, int, int] | None:
     """The best place of ``item`` inside ``text``: ``(edits, start, end)``, or None over ``budget``.
 
-    Free ends in the text.  Rows are characters of the item; a cell off the band, which is as wide as the
-    text leaves room for the item, would need more edits than allowed.
+    Free ends in the text.  Rows are characters of the item.  A cell off the band, which is as wide as the text leaves room for the
+    item, would need more edits than allowed and is ruled out; a row is computed at once, cells off the band too.
     """
     a, b = item, np.array([ord(c) for c in text], np.int64)
     n = len(b)

@@ -203,7 +203,8 @@ def token_at(spark, path: str, doc_id: int, i: int) -> int:
 def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
     """``position, id`` for every row of ``wanted(position)``: the ids at those places of the corpus, of ``segments`` from :func:`read_codes`.
 
-    Only the segments asked for are read, each position by its chunk, bit and rank per level; positions outside the corpus and nulls give no rows, repeated ones are each answered.
+    Each position is looked up by its chunk, bit and rank per level, and only segments that are asked for are opened; their payloads come by a join, whose scan
+    passes over all segments (:func:`token_at` reads one).  Positions outside the corpus and nulls give no rows, repeated ones are each answered.
     """
     bounded_batches(segments.sparkSession)
     starts = segments.select("part", "segment", (F.col("base") + F.col("before")).alias("from"), (F.col("base") + F.col("before") + F.col("n_tokens")).alias("to"))
