@@ -18,7 +18,7 @@ from maskmetrics.llm.queries import CAPACITY, END_ID, word_tokenizer
 from maskmetrics.llm.simhash import drop_copies
 
 #: Words that a worker remembers; fewer than by default, as the earlier stages' memory is still with the executors.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
