@@ -268,11 +268,24 @@ def _heads(rows: Columns) -> tuple[np.ndarray, np.ndarray]:
     return head, (doc == doc[head]) & (h == h[head])
 
 
-def _exact_links(rows: Columns, head: np.ndarray, own: np.ndarray) -> Columns:
-    """The links of the members of a class to its first."""
-    x, f = np.flatnonzero(~own), head[~own]
+def _ranks(rows: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """Of exact rows, sorted: how many places of its document in its class come before a row's, and whether it is the first row of its place."""
+    new = _changes(*rows[:5])
+    count = np.cumsum(new)
+    return count - count[_firsts(*rows[:4])], new
+
+
+def _exact_links(rows: Columns, own: np.ndarray, ranks: np.ndarray, places: np.ndarray, head: np.ndarray, counts: np.ndarray) -> Columns:
+    """The links of the members of a class to its first document, of which ``places`` has the places of all classes and ``counts`` how many each has; ``head`` is the class's first row.
+
+    The k-th place of a document is linked to the k-th of the first one, and again from its start where that has fewer: what repeats itself then agrees
+    with what repeats itself by few shifts, and not by one for every repetition.
+    """
+    x = np.flatnonzero(~own)
     doc, h, c, lo, hi = rows[2:7]
-    return np.full(len(x), EXACT), doc[x], h[x], doc[f], h[f], c[x] - c[f], c[x], lo[x], hi[x]
+    label = (np.cumsum(_changes(*rows[:2])) - 1)[x]
+    at = places[(np.cumsum(counts) - counts)[label] + ranks[x] % counts[label]]
+    return np.full(len(x), EXACT), doc[x], h[x], doc[head[x]], h[head[x]], c[x] - at, c[x], lo[x], hi[x]
 
 
 def _near_links(rows: Columns, carried: int, room: int) -> Columns:
@@ -316,7 +329,10 @@ def combined(rows: Columns) -> Columns:
     if len(mine[0]):
         mine = _sorted(mine)
         head, own = _heads(mine)
-        out += [tuple(v[own] for v in mine), _as_rows(_exact_links(mine, head, own))]
+        ranks, new = _ranks(mine)
+        firsts = own & new
+        counts = np.bincount((np.cumsum(_changes(*mine[:2])) - 1)[firsts])
+        out += [tuple(v[own] for v in mine), _as_rows(_exact_links(mine, own, ranks, mine[4][firsts], head, counts))]
     return _joined(out, 9)
 
 
@@ -325,6 +341,8 @@ class _Signatures:
 
     def __init__(self) -> None:
         self.head: Columns | None = None  # the first row of the class that may go on
+        self.places: list[np.ndarray] = []  # where else its document has it
+        self.last = (0, 0, 0, 0)  # document, place and rank of the last row
         self.several = False  # its signature has more classes
         self.waiting: list[Columns] = []  # the rows of that signature's first class as long as it is the only one
 
@@ -334,7 +352,26 @@ class _Signatures:
             rows = _joined([self.head, rows], 9)
         key, sub = rows[:2]
         head, own = _heads(rows)
-        out = [_exact_links(rows, head, own)]
+        ranks, new = _ranks(rows)
+        label = np.cumsum(_changes(key, sub)) - 1
+        if carried:
+            doc, h, place, rank = self.last
+            on = (label == 0) & (rows[2] == doc) & (rows[3] == h)
+            if own[on].any():  # the document is the class's first
+                new[1:2] &= ~(on[1:2] & (rows[4][1:2] == place))
+            elif on.any():
+                ranks[on] += rank + int(rows[4][on][0] != place)
+        firsts = own & new
+        counts = np.bincount(label[firsts])
+        places = rows[4][firsts]
+        if carried and self.places and (~own & (label == 0)).any():
+            self.places = [np.concatenate([np.zeros(0, np.int64), *self.places])]
+            places = np.concatenate([places[:1], *self.places, places[1:]])
+            counts[0] += len(self.places[0])
+        out = [_exact_links(rows, own, ranks, places, head, counts)]
+        more = rows[4][firsts & (label == label[-1])]
+        self.places = [*(self.places if carried and not label[-1] else []), more[1:].copy()]
+        self.last = tuple(int(v[-1]) for v in (*rows[2:5], ranks))
         mine = own & (np.arange(len(key)) >= carried)
         signature = np.cumsum(_changes(key)) - 1
         several = np.zeros(signature[-1] + 1, bool)

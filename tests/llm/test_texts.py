@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from brute import edit_distance_inside, prose, repeated_windows
@@ -12,7 +13,7 @@ from brute import edit_distance_inside, prose, repeated_windows
 from maskmetrics.llm.decontamination import Items, allowed_edits, contaminated, decontaminate, find_items, plain
 from maskmetrics.llm.html_text import blocks_of, body_blocks, extract, labelled_page, labels_for, main_text, path_features, text_features, train, trained
 from maskmetrics.llm.language import UNKNOWN, counts_of, fit, predict, with_a_language
-from maskmetrics.llm.passages import compact_windows, cut_passages, matching_passages, repeated_passages, text_numbers, window_rows, without_words, word_hashes
+from maskmetrics.llm.passages import _ROW, EXACT, closed, compact_windows, cut_passages, matching_passages, repeated_passages, text_numbers, window_rows, without_words, word_hashes
 
 # letters of made languages
 SOUNDS = {"aa": ["ka", "ro", "mi", "tu"], "bb": ["sch", "ein", "ung", "ver"], "cc": ["é", "eau", "ou", "que"]}
@@ -134,6 +135,48 @@ def test_passages_of_words_said_many_times(docs):
     assert all(x["other_end"] - x["other_start"] >= 0.8 * (x["end"] - x["start"]) for x in got)
 
 
+def repeated_phrase():
+    """Documents that say three words over and over, one of them less often."""
+    return [(k, f"{prose(k, 10 + 7 * k)} {'one two three ' * (40 if k == 2 else 100)}{prose(k + 50, 20)}") for k in range(6)]
+
+
+def test_a_repeated_phrase_is_one_passage(docs):
+    """A phrase said over and over agrees with itself at many shifts: a document that has all of it is one answer, not one a repetition."""
+    rows = repeated_phrase()
+    got = repeated_passages(docs(rows)).collect()
+    covered = {(r["doc_id"], i) for r in got for i in range(r["start"], r["end"] - 49)}
+    need = repeated_windows(rows, 50)
+    assert need and need <= covered
+    words = {d: t.split() for d, t in rows}
+    assert all(words[r["doc_id"]][r["start"] : r["end"]] == words[r["other_id"]][r["other_start"] : r["other_end"]] for r in got if r["similarity"] == 1.0)
+    assert len(got) <= 20
+
+
+def test_links_do_not_depend_on_batches():
+    """Exact links of sorted rows, cut into batches anywhere: the same."""
+    names = _ROW.names
+    r = random.Random(3)
+    for _ in range(60):
+        rows = sorted({(r.randrange(3), r.randrange(2), r.randrange(4), 0, r.randrange(12)) for _ in range(r.randint(1, 60))})
+        rows = [(*x, x[4], x[4] + 50, EXACT, 0) for x in rows for _ in range(r.choice([1, 1, 2]))]
+        table = pa.table([pa.array(v, t.type) for v, t in zip(zip(*rows, strict=True), _ROW, strict=True)], names=names)
+
+        def links(size, table=table):
+            out = pa.Table.from_batches(closed(iter(table.to_batches(max_chunksize=size)), 36)).to_pylist()
+            return {tuple(x.values()) for x in out}
+
+        whole = links(1000)
+        places = {}
+        for key, sub, doc, _, c, *_ in rows:
+            places.setdefault((key, sub), {}).setdefault(doc, {})[c] = None
+        want = set()
+        for own in places.values():
+            (first, there), *others = own.items()
+            want |= {(doc, first, c - list(there)[k % len(there)], c) for doc, cs in others for k, c in enumerate(cs)}
+        assert {(x[1], x[3], x[5], x[6]) for x in whole if x[0] == EXACT} == want
+        assert all(links(size) == whole for size in (1, 2, 3, 7))
+
+
 def test_near_passages_are_found(docs):
     """Passages with a word changed here and there, each in two documents: through the whole operator."""
     rows, want = [], []
