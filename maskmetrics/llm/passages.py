@@ -190,7 +190,11 @@ _ROW = pa.schema([("key", pa.int64()), ("sub", pa.int64()), ("doc", pa.int64()),
 #: that begin in ``lo..hi`` are to be compared one by one (OPEN, without ``f``).
 LINK = "what int, x long, xh int, f long, fh int, delta int, c int, lo int, hi int"
 _LINK = pa.schema([("what", pa.int32()), ("x", pa.int64()), ("xh", pa.int32()), ("f", pa.int64()), ("fh", pa.int32()), ("delta", pa.int32()), ("c", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-EXACT, OPEN, LINKED = 100, 101, 200
+#: A GROUP row is a near window ``x, xh, c, lo, hi`` of the signature ``f`` with more than FEW windows, whose partners are not all linked.
+EXACT, OPEN, LINKED, GROUP = 100, 101, 200, 300
+FEW = 3
+#: Windows of a signature that are compared with as many others at once, and the shingles before and after a minimum that are.
+TILE, REACH = 1024, 64
 
 Columns = tuple[np.ndarray, ...]
 
@@ -302,6 +306,16 @@ def _near_links(rows: Columns, carried: int, room: int) -> Columns:
     return what[x], doc[x], h[x], doc[f], h[f], delta[link], c[x], low[link], high[link]
 
 
+def _members(rows: Columns, carried: int) -> Columns:
+    """Near windows, sorted, of signatures that have more than ``FEW``; the ``carried`` ones in front are told here only if there were no more of them before."""
+    label = np.cumsum(_changes(rows[0])) - 1
+    some = (np.bincount(label) > FEW)[label]
+    if carried > FEW:
+        some[:carried] = False
+    key, _, doc, h, c, lo, hi, what, _ = (v[some] for v in rows)
+    return np.full(len(key), GROUP), doc, h, key, what, np.zeros(len(key), np.int32), c, lo, hi
+
+
 def _sorted(rows: Columns) -> Columns:
     order = np.lexsort(tuple(rows[k] for k in (4, 3, 2, 1, 0)))
     return tuple(v[order] for v in rows)
@@ -398,7 +412,7 @@ def _open_links(rows: Columns) -> Columns:
 
 def closed(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
     """Links (:data:`LINK`) of rows that come sorted by key, sub and document."""
-    near: Columns | None = None  # the first and the last window of the signature that may go on
+    near: Columns | None = None  # the first few windows and the last of the signature that may go on
     exact = _Signatures()
     for batch in batches:
         rows = tuple(v.to_numpy() for v in batch.columns)
@@ -409,8 +423,9 @@ def closed(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBa
             carried = 0 if near is None else len(near[0])
             if carried:
                 own = _joined([near, own], 9)
-            links.append(_near_links(own, carried, room))
-            keep = np.unique([_firsts(own[0])[-1], len(own[0]) - 1])
+            links += [_near_links(own, carried, room), _members(own, carried)]
+            first = _firsts(own[0])[-1]
+            keep = np.unique(np.minimum([*range(first, first + FEW), len(own[0]) - 1], len(own[0]) - 1))
             near = tuple(v[keep] for v in own)
         own = tuple(v[what == EXACT] for v in rows)
         if len(own[0]):
@@ -512,6 +527,163 @@ def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("island", F.sum("new").over(order)).groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
+class _Cell:
+    """Windows of one signature with the words around their minima, and how many shingles of each are among those of each other."""
+
+    def __init__(self, doc: np.ndarray, h: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: list[np.ndarray], at: np.ndarray):
+        self.doc, self.h, self.c, self.lo, self.hi, self.words, self.at = doc, h, c, lo, hi, words, at
+        self.rank = np.empty(len(doc), np.int64)  # of the document
+        order = np.lexsort((h, doc))
+        self.rank[order] = np.cumsum(_changes(doc[order], h[order]))
+        ends = np.cumsum([0, *map(len, words)])
+        five = shingles(np.concatenate(words))
+        row = np.searchsorted(ends, np.arange(len(five)), "right") - 1
+        inside = np.arange(len(five)) + SHINGLE <= ends[row + 1]
+        ids = np.unique(five, return_inverse=True)[1]
+        self.ids = np.full((len(doc), 2 * REACH + 1), -1)  # the minimum in the middle
+        self.ids[row[inside], np.arange(len(five))[inside] - (ends[:-1] + at)[row[inside]] + REACH] = ids[inside]
+        self.size = int(ids.max(initial=0)) + 1
+        self.codes, times = np.unique(row[inside] * self.size + ids[inside], return_counts=True)
+        self.hits = self._hits(self.codes // self.size, self.codes % self.size, times, len(doc))
+
+    def _hits(self, row: np.ndarray, ids: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """Shingles that many windows have are counted by a product of matrices, those of few by their pairs."""
+        windows = np.bincount(ids, minlength=self.size)
+        many = np.flatnonzero(windows > max(1, n // 16))
+        column = np.full(self.size, -1)
+        column[many] = np.arange(len(many))
+        dense = column[ids] >= 0
+        own = np.zeros((n, len(many)), np.float32)
+        own[row[dense], column[ids[dense]]] = times[dense]
+        hits = own @ (own > 0).astype(np.float32).T
+        few = np.flatnonzero(~dense & (windows[ids] > 1))
+        few = few[np.argsort(ids[few], kind="stable")]
+        if len(few):
+            counts = windows[ids[few]]
+            first = _firsts(ids[few])
+            partner = few[_spread(first, counts)]
+            pair = np.repeat(row[few], counts) * n + row[partner]
+            hits += np.bincount(pair, np.repeat(times[few], counts), n * n).reshape(n, n).astype(np.float32)
+        return hits
+
+    def partner(self, x: int, others: np.ndarray, room: int, min_words: int, similarity: float) -> tuple[int, int, int] | None:
+        """Of the windows ``others``, and where to look, one that has a passage around the minimum of ``x``, those with most in common first."""
+        width = int(np.ceil(similarity * (min_words - SHINGLE + 1)))
+        delta = self.c[x] - self.c[others]
+        low, high = np.maximum(self.lo[x], self.lo[others] + delta), np.minimum(self.hi[x], self.hi[others] + delta)
+        fit = (self.rank[others] < self.rank[x]) & (self.hits[x, others] >= width) & (high - low >= room)
+        others, low, high = others[fit], low[fit], high[fit]
+        order = np.lexsort((self.rank[others], -self.hits[x, others]))
+        base, at, n = self.c[x] - self.at[x], int(self.at[x]), len(self.words[x]) - SHINGLE + 1
+        for part in np.split(order, range(64, len(order), 64)):
+            own = self._worth(others[part], self.ids[x][None, :], similarity)
+            theirs = self._worth(np.array([x]), self.ids[others[part]], similarity)
+            room_for = most(own, min_words - SHINGLE + 1, REACH) + most(theirs, width)
+            best = np.argsort(-room_for, kind="stable")
+            for k in part[best[room_for[best] >= -1e-6]].tolist():
+                f = int(others[k])
+                where = [(at - int(self.at[f]), max(0, int(low[k] - base)), min(n, int(high[k] - base)))]
+                if any(s <= at and e >= at + SHINGLE for s, e, *_ in matching_passages(self.words[x], self.words[f], where, min_words, similarity)):
+                    return f, int(low[k]), int(high[k])
+        return None
+
+    def _worth(self, windows: np.ndarray, ids: np.ndarray, similarity: float) -> np.ndarray:
+        """What each of ``ids`` adds if it is among the window's shingles, and takes if not: two passages are near only if theirs do not sum up to less than zero."""
+        asked = windows[:, None] * self.size + ids
+        met = self.codes[np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)] == asked
+        return np.where(ids < 0, -1e6, met * (1 + similarity) / 2 - similarity)
+
+
+def most(worth: np.ndarray, width: int, at: int | None = None) -> np.ndarray:
+    """The largest sum over ``width`` or more neighbours of each row, the one at ``at`` among them."""
+    n = worth.shape[1]
+    over = np.concatenate([np.zeros((len(worth), 1)), np.cumsum(worth, axis=1)], axis=1)
+    least = np.minimum.accumulate(over, axis=1)
+    end = np.arange(width if at is None else max(at + 1, width), n + 1)
+    start = end - width if at is None else np.minimum(at, end - width)
+    return (over[:, end] - least[:, start]).max(axis=1, initial=-np.inf)
+
+
+SURROUNDINGS = "key long, n long, open boolean, doc long, h int, c int, lo int, hi int, at int, words binary"
+_SURROUNDINGS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("open", pa.bool_()), ("doc", pa.int64()), ("h", pa.int32()), ("c", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("words", pa.binary())])
+MET = "key long, x long, xh int, c int, hits int, f long, fh int, delta int, lo int, hi int"
+_MET = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("xh", pa.int32()), ("c", pa.int32()), ("hits", pa.int32()), ("f", pa.int64()), ("fh", pa.int32()), ("delta", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def met_in_cell(cell: pa.Table, room: int, min_words: int, similarity: float) -> Columns:
+    """Rows (:data:`MET`) of the open windows of a cell that have a partner in it: the other windows of its tile or, in a cell of two tiles, those of the other one."""
+    at, wanted = (cell.column(n).to_numpy() for n in ("at", "open"))
+    doc, h, c, lo, hi, tile = (cell.column(n).to_numpy().astype(np.int64) for n in ("doc", "h", "c", "lo", "hi", "t"))
+    if not wanted.any() or len(doc) < 2:
+        return _joined([], len(_MET))
+    own = _Cell(doc, h, c, lo, hi, [np.frombuffer(w, np.uint32).astype(np.uint64) for w in cell.column("words").to_pylist()], at)
+    two = tile[0] != tile[-1]
+    key, found = cell.column("key").to_numpy()[0], []
+    for x in np.flatnonzero(wanted).tolist():
+        others = np.flatnonzero(tile != tile[x]) if two else np.arange(len(doc))
+        if (partner := own.partner(x, others, room, min_words, similarity)) is not None:
+            f, low, high = partner
+            found.append((key, doc[x], h[x], c[x], int(own.hits[x, f]), doc[f], h[f], c[x] - c[f], low, high))
+    return tuple(np.array(v, np.int64) for v in zip(*found, strict=True)) if found else _joined([], len(_MET))
+
+
+def further_links(texts: DataFrame, members: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """``x, xh, f, fh, delta, lo, hi``: for each open one of the near windows ``members(key, doc, h, c, lo, hi, open)``, an earlier document that has a passage around its minimum, if any window of its signature belongs to one.
+
+    All windows of a signature are compared, in cells of two tiles of about ``TILE`` windows each, so a frequent signature is no one task's.  A window moves
+    with the words up to ``REACH`` shingles before and after its minimum; of two windows the shingles in common are counted, and if they may do for a passage, it is looked for word by word,
+    the partners with most in common first.
+    """
+    bounded_batches(texts.sparkSession)
+    room = max(1, int(similarity * (min_words - SHINGLE + 1)))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any").select("key", "n")
+    items = members.join(sizes, "key").groupBy("doc", "h").agg(F.collect_list(F.struct("key", "n", "open", "c", "lo", "hi")).alias("items"))  # no more than the document has words
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, bounds = words_of(batch.column(2).to_pylist())
+            words = words.astype(np.uint32)
+            items, ends = batch.column(3), np.asarray(batch.column(3).offsets)
+            key, n, wanted, c, lo, hi = (items.values.field(k).slice(ends[0], ends[-1] - ends[0]) for k in range(6))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            at = np.asarray(c).astype(np.int64)
+            first, end = np.maximum(0, at - REACH), np.minimum(np.diff(bounds)[row], at + REACH + SHINGLE)
+            around = [words[b + s : b + e].tobytes() for b, s, e in zip(bounds[row].tolist(), first.tolist(), end.tolist(), strict=True)]
+            doc, h = (pa.array(batch.column(k).to_numpy()[row]) for k in range(2))
+            yield pa.RecordBatch.from_arrays([key, n, wanted, doc, h, c, lo, hi, pa.array(at - first, pa.int32()), pa.array(around, pa.binary())], schema=_SURROUNDINGS)
+
+    rows = texts_with(texts, items).select("doc", "h", "text", "items").mapInArrow(released(surroundings), SURROUNDINGS)
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("doc", "h", "c"), tiles).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    cells = rows.select("key", F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), "t", "open", "doc", "h", "c", "lo", "hi", "at", "words")
+    cells = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "t")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.flatnonzero(_changes(*(batch.column(k).to_numpy() for k in range(3))))
+            if held and all(batch.column(k)[0] == held[0].column(k)[0] for k in range(3)):
+                new = new[1:]
+            out = []
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                if start in new and held:
+                    out.append(met_in_cell(pa.Table.from_batches(held), room, min_words, similarity))
+                    held = []
+                if end > start:
+                    held.append(batch.slice(start, end - start))
+            yield _batch(_joined(out, len(_MET)), _MET)
+        if held:
+            yield _batch(met_in_cell(pa.Table.from_batches(held), room, min_words, similarity), _MET)
+
+    met = cells.mapInArrow(released(compare), MET)
+    best = met.groupBy("key", "x", "xh", "c").agg(F.max(F.struct("hits", (-F.col("f")).alias("_f"), "f", "fh", "delta", "lo", "hi")).alias("best"))
+    return best.select("x", "xh", *[F.col("best")[n].alias(n) for n in ("f", "fh", "delta", "lo", "hi")])
+
+
 class _Alignment:
     """Words of one document laid over those of another: ``place`` holds the partner of every word, -1 without one."""
 
@@ -611,7 +783,15 @@ def matching_passages(
     if len(at) < min_words * similarity:
         return out
     moved = np.abs(np.diff(at - place[at])) > SHIFT
-    for part in np.split(at, np.flatnonzero((np.diff(at) > SHIFT + 1) | moved) + 1):
+    follows = np.diff(place, prepend=-2) == 1
+    follows[0] = False
+    follows[1:] &= place[:-1] >= 0
+    shared = np.convolve(follows, np.ones(SHINGLE - 1, int))[SHINGLE - 1 : len(place)] == SHINGLE - 1  # shingles whose words follow each other in both
+    parts = np.split(at, np.flatnonzero((np.diff(at) > SHIFT + 1) | moved) + 1)
+    while parts:
+        part = parts.pop()
+        if not len(part):
+            continue
         start, end = int(part[0]), int(part[-1]) + 1
         if end - start < min_words or any(a <= start and end <= b for a, b, *_ in out):
             continue
@@ -622,6 +802,17 @@ def matching_passages(
         near = bag_similarity(sx[start : end - SHINGLE + 1], sf[first : last - SHINGLE + 1], similarity)
         if near >= similarity:
             out.append((start, end, first, last, near))
+            continue
+        # what is too far apart as a whole may hold a passage, with as many shared shingles for its length as can be
+        span = densest(shared[start : end - SHINGLE + 1], width, similarity)
+        if span is not None:
+            lo, hi = start + span[0], start + span[1] + SHINGLE - 1
+            inside = part[(part >= lo) & (part < hi)]
+            first, last = int(place[inside].min()), int(place[inside].max()) + 1
+            near = bag_similarity(sx[lo : hi - SHINGLE + 1], sf[first : last - SHINGLE + 1], similarity)
+            if near >= similarity and not any(a <= lo and hi <= b for a, b, *_ in out):
+                out.append((lo, hi, first, last, near))
+            parts += [part[part < lo], part[part >= hi]]
     # runs that agree word by word count whatever became of what is around them, as in texts that repeat themselves
     for start, end, delta in sorted(both.whole, key=lambda r: (r[0] - r[1], r)):
         if not any(a <= start and end <= b for a, b, *_ in out):
@@ -629,6 +820,17 @@ def matching_passages(
     return out
 
 
+def densest(shared: np.ndarray, width: int, similarity: float) -> tuple[int, int] | None:
+    """The ``width`` or more neighbours with the most shared shingles over what a passage asks for, if any have enough."""
+    over = np.concatenate([[0.0], np.cumsum(shared * (1 + similarity) / 2 - similarity)])
+    if len(over) <= width:
+        return None
+    least = np.minimum.accumulate(over[:-width])
+    end = int(np.argmax(over[width:] - least)) + width
+    start = int(np.argmin(over[: end - width + 1]))
+    return (start, end) if over[end] - over[start] >= -1e-9 * len(over) else None
+
+
 def dense(own: np.ndarray, other: np.ndarray, share: float, width: int) -> bool:
     """Whether ``other`` has at least this share of the shingles of some ``width`` or more neighbours of ``own``, as any passage asks for."""
     if len(own) < width or not len(other):
@@ -774,11 +976,21 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES, min_words: int = MI
     # the words of x around the signature that both windows hold: a near passage goes on beyond exact repeats from there, or it has others
     first, end = F.greatest("lo", F.col("c") - 2 * CONTEXT), F.least(F.col("hi") + SHINGLE - 1, F.col("c") + SHINGLE + 2 * CONTEXT)
     near = links.where(F.col("what") < EXACT).join(covered, ["x", "xh"], "left")
-    near = near.where(F.col("covered").isNull() | ~F.exists("covered", lambda s: (s["lo"] <= first) & (s["hi"] >= end)))
-    pairs = materialise(near.groupBy(*pair).agg(F.collect_set(F.struct("delta", "lo", "hi")).alias("shifts")), "passage-pairs")
+    inside = F.exists("covered", lambda s: (s["lo"] <= first) & (s["hi"] >= end))
+    near = near.where(F.col("covered").isNull() | ~inside)
+
+    def shifted(found: DataFrame) -> DataFrame:
+        return materialise(found.groupBy(*pair).agg(F.collect_set(F.struct("delta", "lo", "hi")).alias("shifts")), "passage-pairs")
+
+    near = materialise(near_passages(texts, shifted(near), min_words, similarity), "near-passages")
+    covered = islands(exact.select("x", "xh", "lo", "hi").unionByName(near.selectExpr("x", "xh", "cast(lo as int) lo", "cast(hi as int) hi")), ["x", "xh"]).groupBy("x", "xh").agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
+    members = links.where(F.col("what") == GROUP).join(covered, ["x", "xh"], "left").withColumn("open", F.col("covered").isNull() | ~inside)
+    members = materialise(members.select(F.col("f").alias("key"), F.col("x").alias("doc"), F.col("xh").alias("h"), "c", "lo", "hi", "open"), "passage-groups")
     drop_files(links)
+    further = near_passages(texts, shifted(further_links(texts, members, min_words, similarity)), min_words, similarity)
+    near = near.unionByName(further).distinct()
     same = exact.select("x", "xh", "lo", "hi", "f", "fh", (F.col("lo") - F.col("delta")).alias("flo"), (F.col("hi") - F.col("delta")).alias("fhi"), F.lit(1.0).alias("similarity"))
-    found = same.unionByName(near_passages(texts, pairs, min_words, similarity))
+    found = same.unionByName(near)
     return found.toDF("doc_id", "text_hash", "start", "end", "other_id", "other_hash", "other_start", "other_end", "similarity").selectExpr("doc_id", "text_hash", "cast(start as long) start", "cast(end as long) end", "other_id", "other_hash", "cast(other_start as long) other_start", "cast(other_end as long) other_end", "similarity")
 
 

@@ -13,7 +13,7 @@ from brute import edit_distance_inside, prose, repeated_windows
 from maskmetrics.llm.decontamination import Items, allowed_edits, contaminated, decontaminate, find_items, plain
 from maskmetrics.llm.html_text import blocks_of, body_blocks, extract, labelled_page, labels_for, main_text, path_features, text_features, train, trained
 from maskmetrics.llm.language import UNKNOWN, counts_of, fit, predict, with_a_language
-from maskmetrics.llm.passages import _ROW, EXACT, closed, compact_windows, cut_passages, matching_passages, repeated_passages, text_numbers, window_rows, without_words, word_hashes
+from maskmetrics.llm.passages import _ROW, EXACT, _Cell, closed, compact_windows, cut_passages, matching_passages, most, repeated_passages, text_numbers, window_rows, without_words, word_hashes
 
 # letters of made languages
 SOUNDS = {"aa": ["ka", "ro", "mi", "tu"], "bb": ["sch", "ein", "ung", "ver"], "cc": ["é", "eau", "ou", "que"]}
@@ -247,6 +247,59 @@ def test_passages_of_a_group_edited_one_by_one(docs):
     assert need and need <= covered
 
 
+def crowd():
+    """Documents with one line of 40 words in common; the words beside it, but for one, only two of them share."""
+    line, rows, want = prose(900, 40), [], []
+    for k in range(60):
+        sides = [prose(1000 + 2 * (k % 30) + side, 8).split() for side in range(2)]
+        if k >= 30:
+            sides[0][6] = f"new{k}"
+            want.append((k, 40, 96))
+        rows.append((k, " ".join([prose(2000 + k, 40), *sides[0], line, *sides[1], prose(3000 + k, 40)])))
+    return rows, want
+
+
+def test_near_passages_in_a_crowd(docs, monkeypatch):
+    """A partner that is neither the first document of a signature nor the one before, in cells of one tile and of several."""
+    rows, want = crowd()
+    found = []
+    for tile in (1024, 16):
+        monkeypatch.setattr("maskmetrics.llm.passages.TILE", tile)
+        got = repeated_passages(docs(rows)).collect()
+        assert all(r["other_id"] == r["doc_id"] - 30 and r["similarity"] >= 0.8 for r in got)
+        caught = {doc for doc, lo, hi in want if any(r["doc_id"] == doc and r["start"] <= lo + 8 and r["end"] >= hi - 8 for r in got)}
+        assert len(caught) >= 0.9 * len(want)
+        found.append(sorted(map(tuple, got)))
+    assert found[0] == found[1]
+
+
+def test_near_passages_inside_longer_ones():
+    """A passage that is near enough in a stretch that is not."""
+    near, far = list(range(80)), [k if k % 7 else 10**6 + k for k in range(1000, 1200)]
+    x, f = np.array([*near, *range(1000, 1200)], np.uint64), np.array([*near[:40], 10**7, *near[41:], *far], np.uint64)
+    got = matching_passages(x, f, [(0, 0, 60)])
+    assert any(s <= 2 and e >= 78 and near >= 0.8 for s, e, _, _, near in got)
+
+
+def test_cells_count_what_windows_share():
+    """Counts by matrix and by pairs against sets, and the bound on what may hold a passage against every span."""
+    r = random.Random(5)
+    words = [np.array([r.choice([r.randrange(6), r.randrange(10**6)]) if k % 40 else 0 for _ in range(r.randint(5, 129))], np.uint64) for k in range(80)]
+    words = [np.concatenate([np.arange(10 * (k % 9), dtype=np.uint64), w])[:129] for k, w in enumerate(words)]
+    at = np.array([r.randrange(max(1, min(65, len(w) - 4))) for w in words])
+    words = [w[: a + 69] for w, a in zip(words, at, strict=True)]
+    n = len(words)
+    cell = _Cell(np.arange(n), np.zeros(n, int), at, np.zeros(n, int), np.full(n, 200), words, at)
+    bags = [list(zip(*(w.tolist()[k:] for k in range(5)))) for w in words]
+    want = np.array([[sum(s in set(b) for s in a) for b in bags] for a in bags])
+    assert (want == cell.hits)[~np.eye(n, dtype=bool)].all() and (want > 0).mean() > 0.3
+    worth = np.array([[r.choice([0.1, -0.8]) for _ in range(30)] for _ in range(20)])
+    for width, own in ((5, None), (7, 12), (3, 29), (40, 3)):
+        spans = [(a, b) for a in range(30) for b in range(a + width, 31) if own is None or a <= own < b]
+        want = [max((row[a:b].sum() for a, b in spans), default=-np.inf) for row in worth]
+        assert np.allclose(most(worth, width, own), want)
+
+
 def test_near_passages_over_wide_gaps():
     for n, gap, at in ((90, 9, 45), (98, 10, 49), (100, 10, 40), (400, 60, 300)):
         p = list(range(n))
