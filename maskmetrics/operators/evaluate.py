@@ -29,9 +29,11 @@ def overlap(left: str, right: str):
     return F.coalesce(w * h / F.nullif(area(a) + area(b) - w * h, F.lit(0.0)), F.lit(0.0))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str = "image_id") -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str = "image_id", once: bool = False) -> DataFrame:
     """``key, r_id, p_id, iou`` of all pairs of ``(key, id, x1, y1, x2, y2)`` rows that overlap by ``threshold`` at least.
 
+    ``once`` is for a table against itself: two boxes are one pair, the smaller id as ``r_id``, and a box is none with itself.
+
     A range join over grids of several sizes.  Boxes that overlap by ``t`` have longer sides within a factor of ``1 / t``, and their
     centres are at most ``(1 - t) / 2t`` widths and heights of either one apart.  So a left box is filed once, in the grid of its own
     size under the tile of its centre; a right one in the grids of the sizes that a partner can have, under the one or two tiles an
@@ -40,7 +42,8 @@ def box_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str = "i
     """
     if not 0 < threshold <= 1:
         raise ValueError(f"the threshold must be over 0 and at most 1, not {threshold}")
-    base, reach = max(2.0, 1 / threshold), (1 - threshold) / (2 * threshold)
+    # sizes of partners lie in two grids at most, or three at their edges, and most boxes are small against their tiles: fewer copies of a right box
+    base, reach = max(4.0, threshold**-2), (1 - threshold) / (2 * threshold)
     edge = F.pow(F.lit(base), F.col("grid") + 1)  # no side of the grid's boxes is longer
     tile_side = edge * max(1.0, 2 * reach)
 
@@ -61,14 +64,17 @@ def box_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str = "i
     ref = boxes(left, "r_").withColumn("grid", grid(longer)).select("*", tile(F.col("mx")).alias("tx"), tile(F.col("my")).alias("ty")).drop("w", "h", "mx", "my")
     spread = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pred = boxes(right, "p_").repartition(spread)  # few bytes that take much work: Spark would put small tables into one task
-    pred = pred.select("*", F.explode(F.sequence(grid(longer * threshold * (1 - 1e-9)), grid(longer / threshold * (1 + 1e-9)))).alias("grid"))
+    smallest = grid(longer) if once else grid(longer * threshold * (1 - 1e-9))  # the smaller box of a pair is filed with the larger one
+    pred = pred.select("*", smallest.alias("from"), F.explode(F.sequence(smallest, grid(longer / threshold * (1 + 1e-9)))).alias("grid"))
     for c, width in (("x", "w"), ("y", "h")):
         middle = F.col(f"m{c}")
         far = F.least(F.col(width), edge) * (reach * (1 + 1e-9)) + F.abs(middle) * 1e-12  # for rounding
         pred = pred.select("*", F.explode(F.sequence(tile(middle - far), tile(middle + far))).alias(f"t{c}"))
-    ref = ref.repartition(spread)
-    pairs = ref.join(pred.drop("w", "h", "mx", "my"), [key, "grid", "tx", "ty"]).withColumn("iou", overlap("r_", "p_"))
-    return pairs.where(F.col("iou") >= threshold).select(key, "r_id", "p_id", "iou")
+    pred = pred.drop("w", "h", "mx", "my") if once else pred.drop("w", "h", "mx", "my", "from")
+    pairs = ref.join(pred, [key, "grid", "tx", "ty"]).withColumn("iou", overlap("r_", "p_")).where(F.col("iou") >= threshold)
+    if once:  # boxes of one grid meet twice
+        pairs = pairs.where((F.col("grid") > F.col("from")) | (F.col("r_id") < F.col("p_id"))).withColumns({"r_id": F.least("r_id", "p_id"), "p_id": F.greatest("r_id", "p_id")})
+    return pairs.select(key, "r_id", "p_id", "iou")
 
 
 def match_boxes(reference: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "image_id") -> DataFrame:
@@ -154,7 +160,7 @@ def suppressed(boxes: DataFrame, threshold: float = 0.5, keys: Sequence[str] = (
     """
     names = list(keys)
     named = boxes.select(F.struct(*names).alias("_key"), F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("low"), *order, F.col("id").alias("_id")).alias("id"), "x1", "y1", "x2", "y2")
-    pairs = box_pairs(named, named, threshold, "_key").where((F.col("iou") > threshold) & (F.col("r_id") < F.col("p_id")))
+    pairs = box_pairs(named, named, threshold, "_key", once=True).where(F.col("iou") > threshold)
     left, gone = Written(pairs.select("_key", F.col("r_id").alias("better"), F.col("p_id").alias("worse")), "overlaps"), []
     while not left.rows.isEmpty():
         rows = left.rows

@@ -111,3 +111,18 @@ def test_suppression_goes_on_after_what_was_suppressed(spark):
     row = [(0, "a", k, 1 - k / 100, 3.0 * k, 0.0, 3.0 * k + 5, 5.0) for k in range(21)]
     table = spark.createDataFrame(row, "image_id long, class_name string, id long, confidence double, x1 double, y1 double, x2 double, y2 double")
     assert sorted(x["id"] for x in kept_boxes(table, 0.2).collect()) == list(range(0, 21, 2))
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.4, 0.5, 1.0])
+def test_pairs_of_a_table_with_itself(spark, threshold):
+    """Each pair once, those of two sizes and of equal boxes too, and none with itself."""
+    r = random.Random(7)
+    rows = []
+    for k in range(240):
+        size = 2.0 ** r.randint(-3, 6)
+        x, y = r.randint(-8, 8) * size / 4, r.randint(-8, 8) * size / 4
+        rows.append((k % 3, k, x, y, x + size * r.choice([1, 1.25, 2]), y + size * r.choice([1, 1.5])))
+    table = spark.createDataFrame(rows, BOX)
+    got = sorted(map(tuple, box_pairs(table, table, threshold, once=True).select("image_id", "r_id", "p_id").collect()))
+    assert got == sorted((a[0], a[1], b[1]) for a, b in product(rows, rows) if a[0] == b[0] and a[1] < b[1] and iou(a[2:], b[2:]) >= threshold)
+    assert got or threshold == 1.0
