@@ -195,6 +195,8 @@ EXACT, OPEN, LINKED, GROUP = 100, 101, 200, 300
 FEW = 3
 #: Windows of a signature that are compared with as many others at once, and the shingles before and after a minimum that are.
 TILE, REACH = 1024, 64
+#: Marks that a window's shingles leave on a sheet, windows whose cells are taken together, and pairs of them that are looked at at once.
+MARKS, TOGETHER, PAIRS, FEW_PAIRS = 1024, 4096, 1 << 15, 1 << 10
 
 Columns = tuple[np.ndarray, ...]
 
@@ -528,80 +530,134 @@ def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class _Cell:
-    """Windows of one signature with the words around their minima, and how many shingles of each are among those of each other."""
+    """Windows of some signatures with the words around their minima, and what any two of them share."""
 
     def __init__(self, doc: np.ndarray, h: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: list[np.ndarray], at: np.ndarray):
         self.doc, self.h, self.c, self.lo, self.hi, self.words, self.at = doc, h, c, lo, hi, words, at
-        self.rank = np.empty(len(doc), np.int64)  # of the document
+        n, middle = len(doc), REACH
+        self.rank = np.empty(n, np.int64)  # of the document
         order = np.lexsort((h, doc))
         self.rank[order] = np.cumsum(_changes(doc[order], h[order]))
-        ends = np.cumsum([0, *map(len, words)])
-        five = shingles(np.concatenate(words))
-        row = np.searchsorted(ends, np.arange(len(five)), "right") - 1
-        inside = np.arange(len(five)) + SHINGLE <= ends[row + 1]
-        ids = np.unique(five, return_inverse=True)[1]
-        self.ids = np.full((len(doc), 2 * REACH + 1), -1)  # the minimum in the middle
-        self.ids[row[inside], np.arange(len(five))[inside] - (ends[:-1] + at)[row[inside]] + REACH] = ids[inside]
-        self.size = int(ids.max(initial=0)) + 1
-        self.codes, times = np.unique(row[inside] * self.size + ids[inside], return_counts=True)
-        self.hits = self._hits(self.codes // self.size, self.codes % self.size, times, len(doc))
-
-    def _hits(self, row: np.ndarray, ids: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
-        """Shingles that many windows have are counted by a product of matrices, those of few by their pairs."""
-        windows = np.bincount(ids, minlength=self.size)
-        many = np.flatnonzero(windows > max(1, n // 16))
-        column = np.full(self.size, -1)
-        column[many] = np.arange(len(many))
-        dense = column[ids] >= 0
-        own = np.zeros((n, len(many)), np.float32)
-        own[row[dense], column[ids[dense]]] = times[dense]
-        hits = own @ (own > 0).astype(np.float32).T
-        few = np.flatnonzero(~dense & (windows[ids] > 1))
-        few = few[np.argsort(ids[few], kind="stable")]
-        if len(few):
-            counts = windows[ids[few]]
-            first = _firsts(ids[few])
-            partner = few[_spread(first, counts)]
-            pair = np.repeat(row[few], counts) * n + row[partner]
-            hits += np.bincount(pair, np.repeat(times[few], counts), n * n).reshape(n, n).astype(np.float32)
-        return hits
-
-    def partner(self, x: int, others: np.ndarray, room: int, min_words: int, similarity: float) -> tuple[int, int, int] | None:
-        """Of the windows ``others``, and where to look, one that has a passage around the minimum of ``x``, those with most in common first."""
-        width = int(np.ceil(similarity * (min_words - SHINGLE + 1)))
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        ends = np.cumsum(np.concatenate([[0], sizes]))
+        runs = Runs(np.concatenate(words).astype(np.uint64))
+        counts = np.maximum(0, sizes - SHINGLE + 1)
+        row, place = np.repeat(np.arange(n), counts), _spread(ends[:-1], counts)
+        self.five, self.there = np.zeros((n, 2 * middle + 1), np.uint64), np.zeros((n, 2 * middle + 1), bool)
+        column = place - (ends[:-1] + at)[row] + middle  # the minimum in the middle
+        self.five[row, column] = values = runs.of(place, place + SHINGLE)
+        self.there[row, column] = True
+        self.mark = np.zeros(self.five.shape, np.int16)
+        self.mark[row, column] = values % np.uint64(MARKS)
+        self.marked = np.zeros((n, MARKS), bool)
+        self.marked[row, self.mark[row, column]] = True
+        self.marks = np.packbits(self.marked, axis=1).view(np.uint64)
+        self.over = counts - self.marked.sum(axis=1)
+        own = mix(runs.of(ends[:-1], ends[1:]) * _M2)  # windows that agree in it have the same words around them, and the same room
+        for v in (at, lo - c, hi - c):
+            own = mix(own + v.astype(np.uint64) * _M3)
+        self.content = own
+
+    @property
+    def hits(self) -> np.ndarray:
+        """How many shingles of each window are among those of each other."""
+        return np.array([self.shared(x, np.arange(len(self.doc)))[0].sum(axis=1) for x in range(len(self.doc))])
+
+    def may_meet(self, x: np.ndarray, others: np.ndarray, min_words: int, similarity: float) -> np.ndarray:
+        """Which of the pairs may have a passage around the minimum of ``x``, by the marks of their shingles alone: what is shared has its mark with both."""
+        size = min_words - SHINGLE + 1
+        width = int(np.ceil(similarity * size))
+        at = np.flatnonzero(np.bitwise_count(self.marks[x] & self.marks[others]).sum(axis=1, dtype=np.int64) + self.over[x] >= width)
+        out = np.zeros(len(x), bool)
+        for part in np.split(at, range(FEW_PAIRS, len(at), FEW_PAIRS)):
+            a, b = x[part], others[part]
+            own = self.marked[b[:, None], self.mark[a]] & self.there[a]
+            enough = own.sum(axis=1) >= width
+            a, b, own, part = a[enough], b[enough], own[enough], part[enough]
+            theirs = self.marked[a[:, None], self.mark[b]] & self.there[b]
+            out[part] = self._room(a, b, own, theirs, slice(None), size, width, similarity, None) >= -1e-6
+        return out
+
+    def shared(self, x: int, others: np.ndarray, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """By place, which shingles of the window are among those of each other one in this part, and which of those in the part are among its own."""
+        known, place = np.unique(self.five[x][self.there[x]], return_inverse=True)
+        five = self.five[others, part]
+        theirs = np.minimum(np.searchsorted(known, five), len(known) - 1)
+        met = (known[theirs] == five) & self.there[others, part]
+        row = np.nonzero(met)[0]
+        has = np.zeros((len(others), len(known)), bool)
+        has[row, theirs[met]] = True
+        own = np.zeros((len(others), self.five.shape[1]), bool)
+        own[:, self.there[x]] = has[:, place]
+        return own, met
+
+    def _room(self, x: int | np.ndarray, others: np.ndarray, own: np.ndarray, theirs: np.ndarray, part: slice, width: int, least: int, similarity: float, at: int | None) -> np.ndarray:
+        """What a passage around the minimum of ``x`` and one of each other window, around ``at``, can sum up to at most: the shingles that are shared add, the others take, and two near passages do not sum up to less than zero."""
+        mine = np.where(self.there[x], own * ((1 + similarity) / 2) - similarity, -1e6)
+        other = most(np.where(self.there[others, part], theirs * ((1 + similarity) / 2) - similarity, -1e6), least, at)
+        if at is None:
+            return most(mine, width, REACH) + other
+        # such a passage begins and ends with shared words, or it lies where they have no gap of more than SHIFT
+        n, wide = own.shape[1], SHIFT + SHINGLE
+        upto = np.zeros((len(own), n + 2 * SHINGLE), np.int32)
+        np.cumsum(own, axis=1, out=upto[:, SHINGLE : SHINGLE + n])
+        upto[:, SHINGLE + n :] = upto[:, SHINGLE + n - 1 : SHINGLE + n]
+        place, upto = np.arange(n), upto[:, SHINGLE - 1 :]  # now upto[:, k] are shared before k
+        first = upto[:, 1 : n + 1] > np.concatenate([np.zeros((len(own), SHINGLE - 1), np.int32), upto[:, : n - SHINGLE + 1]], axis=1)
+        last = upto[:, SHINGLE : SHINGLE + n] > upto[:, :n]
+        gap = upto[:, wide : n + 1] == upto[:, : n + 1 - wide]
+        right = np.where(gap[:, REACH + 1 :].any(axis=1), gap[:, REACH + 1 :].argmax(axis=1) + REACH + 1, n)
+        before = gap[:, : REACH - wide + 1][:, ::-1]
+        left = np.where(before.any(axis=1), REACH - before.argmax(axis=1), 0)
+        inside = np.where((place >= left[:, None]) & (place < right[:, None]), mine, -1e6)
+        return np.maximum(most(mine, width, REACH, first, last), most(inside, width, REACH)) + other
+
+    def partner(self, x: int, others: np.ndarray, room: int, min_words: int, similarity: float) -> tuple[int, int, int, int] | None:
+        """Of the windows ``others``, and where to look, one that has a passage around the minimum of ``x``, those with most in common first; and how much that is."""
+        size = min_words - SHINGLE + 1
+        width = int(np.ceil(similarity * size))
         delta = self.c[x] - self.c[others]
         low, high = np.maximum(self.lo[x], self.lo[others] + delta), np.minimum(self.hi[x], self.hi[others] + delta)
-        fit = (self.rank[others] < self.rank[x]) & (self.hits[x, others] >= width) & (high - low >= room)
-        others, low, high = others[fit], low[fit], high[fit]
-        order = np.lexsort((self.rank[others], -self.hits[x, others]))
+        own, theirs = self.shared(x, others)
+        hits = own.sum(axis=1)
+        fit = np.flatnonzero((self.rank[others] < self.rank[x]) & (hits >= width) & (high - low >= room))
+        fit = fit[np.lexsort((self.rank[others[fit]], -hits[fit]))]
+        if not len(fit):
+            return None
+        others, low, high, hits, own, theirs = (v[fit] for v in (others, low, high, hits, own, theirs))
+        # a passage of the other document lies around its minimum too, or it is all on one side of it
+        room_for = self._room(x, others, own, theirs, slice(None), size, width, similarity, REACH)
+        for part in (slice(0, REACH), slice(REACH + 1, None)):
+            left = np.flatnonzero((room_for < -1e-6) & (theirs[:, part].sum(axis=1) >= width))
+            if len(left):
+                mine, other = self.shared(x, others[left], part)
+                some = mine.sum(axis=1) >= width
+                room_for[left[some]] = self._room(x, others[left[some]], mine[some], other[some], part, size, width, similarity, None)
+        order = np.lexsort((-room_for, np.arange(len(others)) // 64))
+        order = order[room_for[order] >= -1e-6]
         base, at, n = self.c[x] - self.at[x], int(self.at[x]), len(self.words[x]) - SHINGLE + 1
-        for part in np.split(order, range(64, len(order), 64)):
-            own = self._worth(others[part], self.ids[x][None, :], similarity)
-            theirs = self._worth(np.array([x]), self.ids[others[part]], similarity)
-            room_for = most(own, min_words - SHINGLE + 1, REACH) + most(theirs, width)
-            best = np.argsort(-room_for, kind="stable")
-            for k in part[best[room_for[best] >= -1e-6]].tolist():
-                f = int(others[k])
-                where = [(at - int(self.at[f]), max(0, int(low[k] - base)), min(n, int(high[k] - base)))]
-                if any(s <= at and e >= at + SHINGLE for s, e, *_ in matching_passages(self.words[x], self.words[f], where, min_words, similarity)):
-                    return f, int(low[k]), int(high[k])
+        tried = set()
+        for k in order.tolist():
+            f = int(others[k])
+            if self.content[f] in tried:
+                continue
+            tried.add(self.content[f])
+            where = [(at - int(self.at[f]), max(0, int(low[k] - base)), min(n, int(high[k] - base)))]
+            if any(s <= at and e >= at + SHINGLE for s, e, *_ in matching_passages(self.words[x], self.words[f], where, min_words, similarity)):
+                return f, int(low[k]), int(high[k]), int(hits[k])
         return None
 
-    def _worth(self, windows: np.ndarray, ids: np.ndarray, similarity: float) -> np.ndarray:
-        """What each of ``ids`` adds if it is among the window's shingles, and takes if not: two passages are near only if theirs do not sum up to less than zero."""
-        asked = windows[:, None] * self.size + ids
-        met = self.codes[np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)] == asked
-        return np.where(ids < 0, -1e6, met * (1 + similarity) / 2 - similarity)
-
 
-def most(worth: np.ndarray, width: int, at: int | None = None) -> np.ndarray:
-    """The largest sum over ``width`` or more neighbours of each row, the one at ``at`` among them."""
+def most(worth: np.ndarray, width: int, at: int | None = None, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+    """The largest sum over ``width`` or more neighbours of each row, the one at ``at`` among them, that begin and end where they may."""
     n = worth.shape[1]
-    over = np.concatenate([np.zeros((len(worth), 1)), np.cumsum(worth, axis=1)], axis=1)
-    least = np.minimum.accumulate(over, axis=1)
+    over = np.zeros((len(worth), n + 1))
+    np.cumsum(worth, axis=1, out=over[:, 1:])
+    least = np.minimum.accumulate(over[:, :n] if first is None else np.where(first, over[:, :n], np.inf), axis=1)
     end = np.arange(width if at is None else max(at + 1, width), n + 1)
     start = end - width if at is None else np.minimum(at, end - width)
-    return (over[:, end] - least[:, start]).max(axis=1, initial=-np.inf)
+    upto = over[:, end] if last is None else np.where(last[:, end - 1], over[:, end], -np.inf)
+    return (upto - least[:, start]).max(axis=1, initial=-np.inf)
 
 
 SURROUNDINGS = "key long, n long, open boolean, doc long, h int, c int, lo int, hi int, at int, words binary"
@@ -610,20 +666,39 @@ MET = "key long, x long, xh int, c int, hits int, f long, fh int, delta int, lo
 _MET = pa.schema([("key", pa.int64()), ("x", pa.int64()), ("xh", pa.int32()), ("c", pa.int32()), ("hits", pa.int32()), ("f", pa.int64()), ("fh", pa.int32()), ("delta", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
-def met_in_cell(cell: pa.Table, room: int, min_words: int, similarity: float) -> Columns:
-    """Rows (:data:`MET`) of the open windows of a cell that have a partner in it: the other windows of its tile or, in a cell of two tiles, those of the other one."""
-    at, wanted = (cell.column(n).to_numpy() for n in ("at", "open"))
-    doc, h, c, lo, hi, tile = (cell.column(n).to_numpy().astype(np.int64) for n in ("doc", "h", "c", "lo", "hi", "t"))
-    if not wanted.any() or len(doc) < 2:
+def met_in_cells(cells: pa.Table, room: int, min_words: int, similarity: float) -> Columns:
+    """Rows (:data:`MET`) of the open windows of some cells that have a partner in theirs: the other windows of its tile or, in a cell of two tiles, those of the other one."""
+    key, a, b, wanted = (cells.column(n).to_numpy() for n in ("key", "a", "b", "open"))
+    new = np.flatnonzero(_changes(key, a, b))
+    size = np.diff(np.append(new, len(key)))
+    label = np.repeat(np.arange(len(new)), size)
+    some = (np.bincount(label, wanted, len(new)) > 0) & (size > 1)
+    cells = cells.filter(pa.array(some[label]))
+    if not cells.num_rows:
         return _joined([], len(_MET))
-    own = _Cell(doc, h, c, lo, hi, [np.frombuffer(w, np.uint32).astype(np.uint64) for w in cell.column("words").to_pylist()], at)
-    two = tile[0] != tile[-1]
-    key, found = cell.column("key").to_numpy()[0], []
-    for x in np.flatnonzero(wanted).tolist():
-        others = np.flatnonzero(tile != tile[x]) if two else np.arange(len(doc))
-        if (partner := own.partner(x, others, room, min_words, similarity)) is not None:
-            f, low, high = partner
-            found.append((key, doc[x], h[x], c[x], int(own.hits[x, f]), doc[f], h[f], c[x] - c[f], low, high))
+    size = size[some]
+    start = np.cumsum(size) - size
+    key, wanted, at = (cells.column(n).to_numpy() for n in ("key", "open", "at"))
+    doc, h, c, lo, hi, tile = (cells.column(n).to_numpy().astype(np.int64) for n in ("doc", "h", "c", "lo", "hi", "t"))
+    own = _Cell(doc, h, c, lo, hi, [np.frombuffer(w, np.uint32) for w in cells.column("words").to_pylist()], at)
+    label = np.repeat(np.arange(len(size)), size)
+    two = (tile[start] != tile[start + size - 1])[label]
+    windows, found = np.flatnonzero(wanted), []
+    pairs = np.cumsum(size[label[windows]])
+    for part in np.split(windows, np.unique(np.searchsorted(pairs, np.arange(PAIRS, int(pairs[-1]), PAIRS)))):
+        counts = size[label[part]]
+        x, others = np.repeat(part, counts), _spread(start[label[part]], counts)
+        ahead = c[x] - c[others]
+        fit = (own.rank[others] < own.rank[x]) & ~(two[x] & (tile[x] == tile[others]))
+        fit &= np.minimum(hi[x], hi[others] + ahead) - np.maximum(lo[x], lo[others] + ahead) >= room
+        x, others = x[fit], others[fit]
+        fit = own.may_meet(x, others, min_words, similarity)
+        x, others = x[fit], others[fit]
+        for of in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
+            w = int(x[of[0]])
+            if (partner := own.partner(w, others[of], room, min_words, similarity)) is not None:
+                f, low, high, hits = partner
+                found.append((key[w], doc[w], h[w], c[w], hits, doc[f], h[f], c[w] - c[f], low, high))
     return tuple(np.array(v, np.int64) for v in zip(*found, strict=True)) if found else _joined([], len(_MET))
 
 
@@ -663,27 +738,44 @@ def further_links(texts: DataFrame, members: DataFrame, min_words: int, similari
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            if sum(map(len, held)) < TOGETHER:
                 continue
-            new = np.flatnonzero(_changes(*(batch.column(k).to_numpy() for k in range(3))))
-            if held and all(batch.column(k)[0] == held[0].column(k)[0] for k in range(3)):
-                new = new[1:]
-            out = []
-            for start, end in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
-                if start in new and held:
-                    out.append(met_in_cell(pa.Table.from_batches(held), room, min_words, similarity))
-                    held = []
-                if end > start:
-                    held.append(batch.slice(start, end - start))
-            yield _batch(_joined(out, len(_MET)), _MET)
-        if held:
-            yield _batch(met_in_cell(pa.Table.from_batches(held), room, min_words, similarity), _MET)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_changes(*(rows.column(k).to_numpy() for k in range(3))))[-1])  # this cell may go on
+            if last:
+                yield _batch(met_in_cells(rows.slice(0, last), room, min_words, similarity), _MET)
+            held = rows.slice(last).to_batches()
+        if sum(map(len, held)):
+            yield _batch(met_in_cells(pa.Table.from_batches(held), room, min_words, similarity), _MET)
 
     met = cells.mapInArrow(released(compare), MET)
     best = met.groupBy("key", "x", "xh", "c").agg(F.max(F.struct("hits", (-F.col("f")).alias("_f"), "f", "fh", "delta", "lo", "hi")).alias("best"))
     return best.select("x", "xh", *[F.col("best")[n].alias(n) for n in ("f", "fh", "delta", "lo", "hi")])
 
 
+class _Shared:
+    """The shingles of two documents as small numbers: which of each the other has, and how near parts of them are."""
+
+    def __init__(self, sx: np.ndarray, sf: np.ndarray):
+        both = np.concatenate([sx, sf])
+        order = np.argsort(both)
+        ids = np.empty(len(both), np.int64)
+        ids[order] = np.cumsum(_changes(both[order])) - 1
+        self.x, self.f = ids[: len(sx)], ids[len(sx) :]
+        self.size = int(ids[order[-1]]) + 1 if len(ids) else 0
+        self.nx, self.nf = (np.bincount(v, minlength=self.size) for v in (self.x, self.f))
+        self.met, self.met_other = self.nf[self.x] > 0, self.nx[self.f] > 0
+
+    def similarity(self, start: int, end: int, first: int, last: int, least: float = 0.0) -> float:
+        """The Jaccard similarity of the bags of two parts; 0 if their sizes alone keep it below ``least``."""
+        a, b = self.x[start:end], self.f[first:last]
+        if min(len(a), len(b)) < least * max(len(a), len(b)):
+            return 0.0
+        same = int(np.minimum(np.bincount(a, minlength=self.size), np.bincount(b, minlength=self.size)).sum())
+        return same / max(1, len(a) + len(b) - same)
+
+
 class _Alignment:
     """Words of one document laid over those of another: ``place`` holds the partner of every word, -1 without one."""
 
@@ -708,7 +800,7 @@ class _Alignment:
             return
         hit = np.zeros(b - a + 2, np.int8)
         hit[1:-1] = self.sx[a:b] == self.sf[a - delta : b - delta]
-        edges = (np.flatnonzero(np.diff(hit)) + a).tolist()
+        edges = (np.flatnonzero(hit[1:] != hit[:-1]) + a).tolist()
         runs = [(s, e + SHINGLE - 1) for s, e in zip(edges[::2], edges[1::2], strict=True)]
         for s, e in runs:
             self.mark(s, e, delta)
@@ -767,7 +859,10 @@ def matching_passages(
     """
     sx, sf = runs or (shingles(wx), shingles(wf))
     width = min_words - SHINGLE + 1
-    if not (dense(sx, sf, similarity, width) and dense(sf, sx, similarity, int(np.ceil(similarity * width)))):
+    if len(sx) < width or len(sf) < similarity * width:
+        return []
+    bags = _Shared(sx, sf)
+    if not (dense(bags.met, similarity, width) and dense(bags.met_other, similarity, int(np.ceil(similarity * width)))):
         return []
     where: dict[int, tuple[int, int]] = {}
     for delta, lo, hi in shifts:
@@ -777,17 +872,18 @@ def matching_passages(
     for delta, (lo, hi) in sorted(where.items(), key=lambda w: w[1][0] - w[1][1]):  # the widest first
         if not both.inside[lo : hi + SHINGLE - 1].all():
             both.diagonal(delta, lo, hi)
-    out = joined_passages(_parts(both.place), both, min_words, similarity)
+    out = joined_passages(_parts(both.place), both.place, bags, min_words, similarity)
     place = both.place
     at = np.flatnonzero(place >= 0)
     if len(at) < min_words * similarity:
         return out
-    moved = np.abs(np.diff(at - place[at])) > SHIFT
-    follows = np.diff(place, prepend=-2) == 1
-    follows[0] = False
-    follows[1:] &= place[:-1] >= 0
-    shared = np.convolve(follows, np.ones(SHINGLE - 1, int))[SHINGLE - 1 : len(place)] == SHINGLE - 1  # shingles whose words follow each other in both
-    parts = np.split(at, np.flatnonzero((np.diff(at) > SHIFT + 1) | moved) + 1)
+    delta = at - place[at]
+    follows = np.zeros(len(place), np.int64)
+    follows[1:] = (place[1:] - place[:-1] == 1) & (place[:-1] >= 0)
+    upto = np.cumsum(follows)
+    shared = upto[SHINGLE - 1 :] - upto[: len(place) - SHINGLE + 1] == SHINGLE - 1  # shingles whose words follow each other in both
+    cuts = np.flatnonzero((at[1:] - at[:-1] > SHIFT + 1) | (np.abs(delta[1:] - delta[:-1]) > SHIFT)) + 1
+    parts = [at[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True)]
     while parts:
         part = parts.pop()
         if not len(part):
@@ -799,7 +895,7 @@ def matching_passages(
         if len(part) == end - start == last - first and np.array_equal(wx[start:end], wf[first:last]):
             out.append((start, end, first, last, 1.0))
             continue
-        near = bag_similarity(sx[start : end - SHINGLE + 1], sf[first : last - SHINGLE + 1], similarity)
+        near = bags.similarity(start, end - SHINGLE + 1, first, last - SHINGLE + 1, similarity)
         if near >= similarity:
             out.append((start, end, first, last, near))
             continue
@@ -809,7 +905,7 @@ def matching_passages(
             lo, hi = start + span[0], start + span[1] + SHINGLE - 1
             inside = part[(part >= lo) & (part < hi)]
             first, last = int(place[inside].min()), int(place[inside].max()) + 1
-            near = bag_similarity(sx[lo : hi - SHINGLE + 1], sf[first : last - SHINGLE + 1], similarity)
+            near = bags.similarity(lo, hi - SHINGLE + 1, first, max(first, last - SHINGLE + 1), similarity)
             if near >= similarity and not any(a <= lo and hi <= b for a, b, *_ in out):
                 out.append((lo, hi, first, last, near))
             parts += [part[part < lo], part[part >= hi]]
@@ -831,25 +927,13 @@ def densest(shared: np.ndarray, width: int, similarity: float) -> tuple[int, int
     return (start, end) if over[end] - over[start] >= -1e-9 * len(over) else None
 
 
-def dense(own: np.ndarray, other: np.ndarray, share: float, width: int) -> bool:
-    """Whether ``other`` has at least this share of the shingles of some ``width`` or more neighbours of ``own``, as any passage asks for."""
-    if len(own) < width or not len(other):
+def dense(met: np.ndarray, share: float, width: int) -> bool:
+    """Whether at least this share of some ``width`` or more neighbours are met, as any passage asks for."""
+    if len(met) < width:
         return False
-    known = np.sort(other)
-    met = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-    over = np.concatenate([[0.0], np.cumsum(met - share)])
-    return bool((over[width:] - np.minimum.accumulate(over[:-width])).max() >= -1e-9 * len(over))
-
-
-def bag_similarity(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """The Jaccard similarity of two bags; 0 if their sizes alone keep it below ``least``."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
-    mine, own = np.unique(a, return_counts=True)
-    other, theirs = np.unique(b, return_counts=True)
-    _, i, k = np.intersect1d(mine, other, assume_unique=True, return_indices=True)
-    same = int(np.minimum(own[i], theirs[k]).sum())
-    return same / max(1, len(a) + len(b) - same)
+    over = np.zeros(len(met) + 1)
+    np.cumsum(met - share, out=over[1:])
+    return bool((over[width:] - np.minimum.accumulate(over[: len(over) - width])).max() >= -1e-9 * len(over))
 
 
 def _parts(place: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -857,61 +941,64 @@ def _parts(place: np.ndarray) -> list[tuple[int, int, int, int]]:
     at = np.flatnonzero(place >= 0)
     if not len(at):
         return []
-    cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(place[at]) != 1)) + 1
+    there = place[at]
+    cuts = np.flatnonzero((at[1:] - at[:-1] > 1) | (there[1:] - there[:-1] != 1)) + 1
     first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]]) - 1
     return list(zip(at[first].tolist(), (at[last] + 1).tolist(), place[at[first]].tolist(), (place[at[last]] + 1).tolist(), strict=True))
 
 
-def joined_passages(parts: list[tuple[int, int, int, int]], both: _Alignment, min_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+def joined_passages(parts: list[tuple[int, int, int, int]], place: np.ndarray, bags: _Shared, min_words: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """Passages over gaps of more than ``SHIFT`` words, as wide as the similarity lets them be.
 
     Runs of shared shingles that the alignment did not meet count too.  A passage begins and ends with such runs; what lies between
     may be missing in either document as long as the shingles of the whole are near enough.
     """
-    sx, sf = both.sx, both.sf
-    if min(len(sx), len(sf)) < similarity * (min_words - SHINGLE + 1):
+    if min(len(bags.x), len(bags.f)) < similarity * (min_words - SHINGLE + 1):
         return []
-    ux, ix, nx = np.unique(sx, return_index=True, return_counts=True)
-    uf, jf, nf = np.unique(sf, return_index=True, return_counts=True)
-    _, a, b = np.intersect1d(ux[nx == 1], uf[nf == 1], assume_unique=True, return_indices=True)
-    i, k = ix[nx == 1][a], jf[nf == 1][b]
-    free = both.place[i] < 0
-    i, k = i[free], k[free]
+    once = (bags.nx == 1) & (bags.nf == 1)
+    i = np.flatnonzero(once[bags.x] & (place[: len(bags.x)] < 0))
     if len(i):
-        order = np.argsort(i)
-        i, k = i[order], k[order]
-        cuts = np.flatnonzero((np.diff(i) > 1) | (np.diff(k) != 1)) + 1
+        at = np.empty(bags.size, np.int64)
+        at[bags.f] = np.arange(len(bags.f))
+        k = at[bags.x[i]]
+        cuts = np.flatnonzero((i[1:] - i[:-1] > 1) | (k[1:] - k[:-1] != 1)) + 1
         lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(i)]]) - 1
         parts = sorted({*parts, *zip(i[lo].tolist(), (i[hi] + SHINGLE).tolist(), k[lo].tolist(), (k[hi] + SHINGLE).tolist(), strict=True)})
     if len(parts) < 2:
         return []
-    start, end, first, last = (np.array(v) for v in zip(*parts, strict=True))
-    if not ((start[1:] - end[:-1] > SHIFT) | (np.abs((start - first)[1:] - (start - first)[:-1]) > SHIFT)).any():
+    start, end, first, last = np.array(parts).T
+    delta = start - first
+    if not ((start[1:] - end[:-1] > SHIFT) | (np.abs(delta[1:] - delta[:-1]) > SHIFT)).any():
         return []  # the alignment has no such gap
     # shingles shared in order up to a part's end, and those that stand anywhere in the other document: what a span has in common lies between the two
     shared = np.concatenate([[0], np.cumsum(np.maximum(0, end - start - SHINGLE + 1))])
-    met, met_other = (np.concatenate([[0], np.cumsum(np.isin(s, u, kind="sort"))]) for s, u in ((sx, uf), (sf, ux)))
     least = similarity * (min_words - SHINGLE + 1)
+    if shared[-1] < least:
+        return []
+    met, met_other = (np.concatenate([[0], np.cumsum(v)]) for v in (bags.met, bags.met_other))
     out: list[tuple[int, int, int, int, float]] = []
-    done = -1
-    for p in range(len(parts)):
-        if shared[-1] - shared[p] < least:
+    done, n = -1, len(parts)
+    rows = max(1, 4096 // n)
+    for top in range(0, n, rows):
+        if shared[-1] - shared[top] < least:
             break
-        if p <= done:
-            continue
-        widest = int(np.searchsorted(start, start[p] + (shared[-1] - shared[p]) / similarity + SHINGLE, "right"))
-        q = np.arange(p + 1, widest)
+        p, q = np.arange(top, min(n, top + rows))[:, None], np.arange(top + 1, n)[None, :]
         x, f = end[q] - start[p], last[q] - first[p]
         common = shared[q + 1] - shared[p]
-        most = np.minimum(met[np.maximum(end[q] - SHINGLE + 1, start[p])] - met[start[p]], met_other[np.maximum(last[q] - SHINGLE + 1, first[p])] - met_other[first[p]])
+        i, k = np.minimum(start[p], len(met) - 1), np.minimum(first[p], len(met_other) - 1)
+        most = np.minimum(met[np.maximum(end[q] - SHINGLE + 1, i)] - met[i], met_other[np.maximum(last[q] - SHINGLE + 1, k)] - met_other[k])
         sizes = x + f - 2 * (SHINGLE - 1)
-        fit = (x >= min_words) & (f >= 1) & (first[q] >= first[p]) & (common >= similarity * (np.maximum(x, f) - SHINGLE + 1)) & (most >= similarity * (sizes - most))
-        for r in q[fit][::-1].tolist():
-            near = bag_similarity(sx[start[p] : end[r] - SHINGLE + 1], sf[first[p] : last[r] - SHINGLE + 1], similarity)
-            if near >= similarity:
-                out.append((int(start[p]), int(end[r]), int(first[p]), int(last[r]), near))
-                done = r
-                break
+        fit = (q > p) & (x >= min_words) & (f >= 1) & (first[q] >= first[p]) & (common >= similarity * (np.maximum(x, f) - SHINGLE + 1)) & (most >= similarity * (sizes - most))
+        for k in np.flatnonzero(fit.any(axis=1)).tolist():
+            if top + k <= done:
+                continue
+            for r in (np.flatnonzero(fit[k])[::-1] + top + 1).tolist():
+                span = int(start[top + k]), int(end[r]), int(first[top + k]), int(last[r])
+                near = bags.similarity(span[0], span[1] - SHINGLE + 1, span[2], span[3] - SHINGLE + 1, similarity)
+                if near >= similarity:
+                    out.append((*span, near))
+                    done = r
+                    break
     return out
 
 

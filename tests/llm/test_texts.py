@@ -300,6 +300,34 @@ def test_cells_count_what_windows_share():
         assert np.allclose(most(worth, width, own), want)
 
 
+def test_partners_are_told_by_what_lies_around_the_minimum(monkeypatch):
+    """Every window that has a partner gets one, and few that have too little in common around it are compared word by word."""
+    tried = []
+
+    def counted(*args):
+        tried.append(bool(matching_passages(*args)))
+        return matching_passages(*args)
+
+    monkeypatch.setattr("maskmetrics.llm.passages.matching_passages", counted)
+    r, caught = random.Random(7), 0
+    for k in range(6):
+        first, words = [r.randrange(10**6) for _ in range(133)], []
+        for d in range(30):
+            own = [w if 60 <= i < 77 or r.random() > 0.04 else 10**6 + 1000 * d + i for i, w in enumerate(first)]
+            if k % 2:  # 45 words in common are less than a passage
+                own = [w if 42 <= i < 87 else 10**6 + 1000 * d + i for i, w in enumerate(first)]
+            words.append(np.array(own, np.uint64))
+        n = len(words)
+        none, at = np.zeros(n, int), np.full(n, 64)
+        cell = _Cell(np.arange(n), none, at, none, np.full(n, 129), words, at)
+        for x in range(n):
+            want = [any(s <= 64 and e >= 69 for s, e, *_ in matching_passages(words[x], words[f], [(0, 0, 129)])) for f in range(x)]
+            got = cell.partner(x, np.arange(n), 36, 50, 0.8)
+            assert (got is not None) == any(want) and (got is None or want[got[0]])
+            caught += got is not None
+    assert caught > 30 and len(tried) < 4 * caught
+
+
 def test_near_passages_over_wide_gaps():
     for n, gap, at in ((90, 9, 45), (98, 10, 49), (100, 10, 40), (400, 60, 300)):
         p = list(range(n))
